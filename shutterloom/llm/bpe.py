@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,6 +39,11 @@ BATCH_BYTES = 1 << 16
 #: Last bytes of the white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000-200A, U+2028-9, U+202F, U+205F, U+3000).
 _SPACE_ENDS = [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
 
+#: White space in the sense of the tokenizers' pattern, twice in a row or more.
+_RUN = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}")
+#: The byte-level pattern for texts without such runs, where it needs no look-ahead.
+_SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+
 
 def byte_alphabet() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes."""
@@ -61,9 +67,22 @@ class Codec:
         for token, i in vocabulary.items():
             self.bytes_of[i] = token.encode() if token in special else bytes(alphabet[c] for c in token)
         self.forced = self.forced_pairs(self.bytes_of, [s.encode() for s in special])
+        self.special = list(special)
+        self.ranked = self.by_rank(path, vocabulary)
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids
         self.known = Memory(CACHE_ITEMS, CACHE_BYTES)
 
+    def by_rank(self, path: str, vocabulary: dict[str, int]):
+        """An encoder that merges by the rank of the result, for files whose ids follow the order of their merges (then both ways give the same ids)."""
+        import tiktoken
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in json.load(open(path, encoding="utf-8"))["model"].get("merges", [])]
+        made = [vocabulary.get(a + b, -1) for a, b in merges]
+        if any(a >= b for a, b in zip(made, made[1:], strict=False)) or len(made) + 256 + len(self.special) != len(vocabulary):
+            return None
+        ranks = {self.bytes_of[i]: i for t, i in vocabulary.items() if t not in self.special}
+        return tiktoken.Encoding("ranked", pat_str=_SINGLE, mergeable_ranks=ranks, special_tokens={})
+
     @staticmethod
     def forced_pairs(tokens: list[bytes], special: list[bytes]) -> np.ndarray:
         """For each pair of bytes (first * 256 + second): 1 a certain cut, 2 one if the first byte does not end white space, 0 none."""
@@ -109,13 +128,13 @@ class Codec:
 
         Fragments without white space but for one space in front are put into
         one text with a line end between them: that is a token of its own
-        there and stands in none of them, so the library is called seldom.
+        there and stands in none of them, so the encoder is called seldom.
         """
         found: dict[bytes, bytes] = {}
         texts = [f.decode("utf-8", "replace") for f in fragments]
         plain = [i for i, t in enumerate(texts) if t.split() == [t.removeprefix(" ")]] if len(self.line_end) == 1 else []
         for i, k in by_bytes([fragments[j] for j in plain], BATCH_BYTES):
-            ids = np.array(self.library.encode_batch_fast(["\n".join([texts[j] for j in plain[i:k]]) + "\n"], add_special_tokens=False)[0].ids, "<u4")
+            ids = self.stream("\n".join([texts[j] for j in plain[i:k]]) + "\n")
             ends = np.flatnonzero(ids == self.line_end[0]).tolist()
             packed = ids.tobytes()
             found.update(zip((fragments[j] for j in plain[i:k]), (packed[4 * (a + 1) : 4 * b] for a, b in zip([-1, *ends], ends, strict=False)), strict=True))
@@ -125,6 +144,29 @@ class Codec:
                 found[f] = np.array(e.ids, "<u4").tobytes()
         return found
 
+    def stream(self, text: str) -> np.ndarray:
+        """Ids of a text; by the ranked encoder where white space stands alone and no special string occurs."""
+        if self.ranked is None or self.has_special(text) or _RUN.search(text):
+            return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(self.ranked.encode_ordinary(text), "<u4")
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def encode_stream(self, texts: list[bytes]) -> list[bytes]:
+        """As `encode_all`, without remembering fragments: those between two runs of white space go to the ranked encoder as one, for their ids only follow each other."""
+        out = [b""] * len(texts)
+        rest = []
+        for i, raw in enumerate(texts):
+            text = raw.decode("utf-8", "replace")
+            if self.ranked is None or len(raw) > PART_BYTES or self.has_special(text) or _RUN.search(text):
+                rest.append(i)
+            else:
+                out[i] = np.array(self.ranked.encode_ordinary(text), "<u4").tobytes()
+        for i, packed in zip(rest, self.encode_all([texts[i] for i in rest]), strict=True):
+            out[i] = packed
+        return out
+
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         return self.encode_all([text])[0]
