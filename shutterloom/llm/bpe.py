@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from .common import Memory, as_bytes, by_bytes, one_thread, tokenizer_path
 
 #: Fragments of each generation that a task remembers, and the longest one that it keeps on.
-CACHE_ITEMS, CACHE_BYTES = 300_000, 96
+CACHE_ITEMS, CACHE_BYTES = 200_000, 96
 #: Texts are handled by so many bytes, a longer one in parts that end at forced boundaries.
 PART_BYTES = 1 << 20
 #: New fragments go to the library by so many bytes.
@@ -257,6 +257,22 @@ def ids_sha256(ids: Column) -> Column:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """For each row: the key, `ids`, and `decoded`, the text of these ids."""
-    encoded = docs.select(F.col(f"`{id_col}`"), encode(F.col(f"`{text}`"), tokenizer).alias("ids"))
-    return encoded.withColumn("decoded", decode(F.col("ids"), tokenizer))
+    """For each row: the key as `id_col`, `ids`, and `decoded`, the text of these ids.
+
+    Both steps run in one worker, a few megabytes of text at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(tokenizer)
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            for i, k in by_bytes(texts):
+                packed = own.encode_all(texts[i:k])
+                ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                decoded = pa.array([own.decode(x) for x in id_slices(ids)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, k - i), ids, decoded], names=[id_col, "ids", "decoded"])
+
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

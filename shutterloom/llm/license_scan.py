@@ -2,8 +2,8 @@
 
 A rule has a label, a level (1: identifier line, 2: notice, 3: name,
 4: bare mention), a keyword and a regular expression over the words of a text
-(A-Z in lower case, one space between words). A text is looked at if it holds
-any keyword; a rule is tried if its own keyword occurs. Matches of all rules
+(A-Z in lower case, one space between words). A text is looked at if one of its
+words may stand in a match; a rule is tried if its own keyword occurs. Matches of all rules
 are intervals; one that lies inside another of the same or a higher level
 (levels count down) is suppressed, of two equal ones the earlier rule stays.
 
@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the contract: phrase and label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: The signs between words: ASCII but for letters and digits.
-_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The signs between words: ASCII but for letters and digits. Named one by one, Java looks them up in a bitmap.
+_BETWEEN = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 #: Licence families: label, keyword, name as a regular expression over words, identifier words.
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat) licen[cs]e", "mit"),
-    ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", "mit 0"),
+    ("mit", "mit licen", r"mit licen[cs]e", "mit"),
+    ("mit", "expat licen", r"expat licen[cs]e", "expat"),
+    ("mit-0", "mit no attribution", r"mit no attribution(?: licen[cs]e)?", "mit 0"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v)?1 1", "apache 1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?licen[cs]e (?:version |v)?2(?: 0)?", "apache 2 0"),
     ("gpl-1.0", "general public", r"(?:gnu )?general public licen[cs]e (?:version |v)?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
@@ -43,7 +43,7 @@ FAMILIES = (
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd (?:3|three) clause)(?: licen[cs]e)?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd (?:4|four) clause)(?: licen[cs]e)?", "bsd 4 clause"),
     ("0bsd", "bsd", r"(?:zero clause bsd|0bsd)(?: licen[cs]e)?", "0bsd"),
-    ("isc", "isc", r"isc licen[cs]e", "isc"),
+    ("isc", "isc licen", r"isc licen[cs]e", "isc"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", "zlib"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e (?:version |v)?1 1", "mpl 1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e (?:version |v)?2(?: 0)?", "mpl 2 0"),
@@ -57,7 +57,7 @@ FAMILIES = (
     ("bsl-1.0", "boost", r"boost software licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "bsl 1 0"),
     ("busl-1.1", "business source", r"business source licen[cs]e(?: (?:version |v)?1 1)?", "busl 1 1"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "what the", r"do what the \w+ you want to public licen[cs]e", "wtfpl"),
+    ("wtfpl", "want to public", r"do what the \w+ you want to public licen[cs]e", "wtfpl"),
     ("artistic-1.0", "artistic", r"artistic licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "artistic 1 0"),
     ("artistic-2.0", "artistic", r"artistic licen[cs]e (?:version |v)?2(?: 0)?", "artistic 2 0"),
     ("python-2.0", "python", r"(?:python software foundation|psf) licen[cs]e(?: (?:version |v)?2(?: 0)?)?", "python 2 0"),
@@ -73,7 +73,8 @@ FAMILIES = (
     ("odbl-1.0", "open database", r"(?:odc )?open database licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "odbl 1 0"),
     ("odc-by-1.0", "open data", r"open data commons attribution licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "odc by 1 0"),
     ("pddl-1.0", "public domain", r"public domain dedication and licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "pddl 1 0"),
-    ("cc0-1.0", "cc0", r"(?:cc0|creative commons zero)(?: (?:universal )?(?:version |v)?1(?: 0)?)?", "cc0 1 0"),
+    ("cc0-1.0", "creative commons zero", r"creative commons zero(?: (?:universal )?(?:version |v)?1(?: 0)?)?", "cc0 1"),
+    ("cc0-1.0", "cc0", r"cc0(?: (?:universal )?(?:version |v)?1(?: 0)?)?", "cc0 1 0"),
     ("elastic-2.0", "elastic", r"elastic licen[cs]e(?: (?:version |v)?2(?: 0)?)?", "elastic 2 0"),
     ("sspl-1.0", "server side", r"server side public licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "sspl 1 0"),
     ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "upl 1 0"),
@@ -129,6 +130,8 @@ SINGLE = (
     ("license-reference", 4, "licen", r"(?:subject to|under) the terms (?:and conditions )?of the licen[cs]e"),
 )
 _UNDER = r"(?:(?:dual )?licensed|released|distributed|published|available|provided|covered|made available|free to use) (?:only )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:gnu )?"
+#: Whole words of which any match of a rule whose keyword ends so holds one; of other keywords it is the longest word.
+_ANCHORS = {"licen": ("licence", "license", "under"), "mit licen": ("licence", "license"), "expat licen": ("licence", "license"), "isc licen": ("licence", "license"), "bsd": ("bsd", "freebsd", "0bsd")}
 _CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
 
 
@@ -137,12 +140,12 @@ def rules() -> list[tuple[str, int, str, str]]:
     out: list[tuple[str, int, str, str]] = []
     families = list(FAMILIES)
     for label, words, name in _CC:
-        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
-            v = version.replace(".", " ")
-            families.append((f"{label}-{version}", "cc", f"(?:cc {words}|creative commons {name})(?: licen[cs]e)?(?: (?:international|unported))? {v}(?: (?:international|unported))?", f"cc {words} {v}"))
-        families.append((label, "commons", f"creative commons {name}(?: licen[cs]e)?", f"cc {words}"))
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0", ""):
+            v = "(?: (?:international|unported))? " + version.replace(".", " ") + "(?: (?:international|unported))?" if version else ""
+            full = f"{label}-{version}".rstrip("-")
+            families.append((full, f"cc {words}", f"cc {words}(?: licen[cs]e)?{v}", f"cc {words} {version.replace('.', ' ')}".rstrip()))
+            families.append((full, "creative commons", f"creative commons {name}(?: licen[cs]e)?{v}", f"creative commons {words} {version.replace('.', ' ')}".rstrip()))
     for label, keyword, name, words in families:
-        keyword = "c" if keyword == "cc" else keyword  # the long names have no "cc"
         out.append((label, 1, "spdx", f"spdx licen[cs]e identifier {words}"))
         out.append((label, 2, keyword, f"{_UNDER}{name}"))
         out.append((label, 3, keyword, name))
@@ -197,15 +200,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     Detections are structs (start, end: characters of the text's words joined
     by spaces, with one in front; level; label).
     """
-    words = F.split(F.coalesce(F.col("text"), F.lit("")), _BETWEEN, -1)
+    # lower() also folds letters beyond A-Z; no such letter becomes a sign, so the words are the same in number and place
+    words = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), _BETWEEN, -1)
     count = (F.size("w") - F.when(F.element_at("w", 1) == "", 1).otherwise(0) - F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)).cast("long")
-    keywords = sorted({w for _, _, w, _ in rules() if len(w) > 1} | {p.split()[-1] for p, _ in BASE} | {"cc", "creative"}, key=len)
-    keywords = [w for i, w in enumerate(keywords) if not any(k in w for k in keywords[:i])]
-    gate = "(?i)" + "|".join(w.replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+") for w in keywords)
+    gate = F.array(*[F.lit(w) for w in sorted({_ANCHORS.get(w, (max(w.split(), key=len),)) for _, _, w, _ in rules()} | {("license",)}) for w in w])
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("text"))
-    rows = rows.select(id_col, words.alias("w"), F.coalesce(F.col("text").rlike(gate), F.lit(False)).alias("looked_at"))
-    joined = F.concat(F.lit(" "), F.trim(F.translate(F.array_join("w", " "), _UPPER, _LOWER)), F.lit(" "))
-    rows = rows.select(id_col, count.alias("n_words"), F.when(F.col("looked_at"), joined).alias("norm"))
+    rows = rows.select(id_col, words.alias("w"))
+    joined = F.concat(F.lit(" "), F.trim(F.array_join("w", " ")), F.lit(" "))
+    rows = rows.select(id_col, count.alias("n_words"), F.when(F.arrays_overlap("w", gate), joined).alias("norm"))
 
     norm = F.col("norm")
     cut = [F.split(norm, f"(?<= ){phrase}(?= )", -1).alias(label) for phrase, label in BASE]
