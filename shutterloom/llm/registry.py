@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, quality, token_counts, token_store, url_filter
+from . import bpe, decontaminate, language_id, license_scan, quality, token_counts, token_store, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,9 +36,10 @@ def queries() -> dict[str, Query]:
         "op4_token_store": token_store.op4_token_store,
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_language_id": language_id.op8_language_id,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.OP6_SQL}
+    return {"op6_url_filter": url_filter.OP6_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
