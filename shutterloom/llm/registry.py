@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, quality, token_counts, token_store, url_filter
+from . import bpe, decontaminate, jaccard_join, language_id, license_scan, quality, token_counts, token_store, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op3_license_scan": op3_license_scan,
         "op4_token_store": token_store.op4_token_store,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_language_id": language_id.op8_language_id,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_quality": quality.op10_quality,
