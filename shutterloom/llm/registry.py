@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language_id, license_scan, quality, token_counts, token_store, url_filter
+from . import bpe, decontaminate, embedding_join, jaccard_join, language_id, license_scan, quality, token_counts, token_store, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_license_scan": op3_license_scan,
         "op4_token_store": token_store.op4_token_store,
+        "op5_embedding_join": embedding_join.op5_embedding_join,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_language_id": language_id.op8_language_id,
@@ -43,4 +44,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.OP6_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op5_embedding_join": embedding_join.OP5_SQL, "op6_url_filter": url_filter.OP6_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
