@@ -30,19 +30,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterloom.operators.components import connected_components
 
 from .common import LOWER_TABLE, Memory, as_bytes, by_bytes, materialise, table
 
-#: Counters of shingle buckets; what is sent to all executors has this size for any input.
-BUCKETS = 1 << 20
+#: Counters of shingle buckets; what is sent to all executors has this size (4 bytes each) for any input.
+BUCKETS = 1 << 22
+#: A task counts up to this in a bucket; more doesn't change what is rare.
+MOST_COUNT = 255
 #: Sets in a tile of a family.
 TILE = 512
 #: Two representatives are strongly linked if they share this part of the shorter prefix.
-STRONG = 0.5
+STRONG = 0.25
 
 
 @dataclass(frozen=True)
@@ -98,27 +100,26 @@ def outline(keys: np.ndarray) -> bytes:
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc, n, key, outline) for documents and (null, chunk, counts) with the bucket counts of each task, in one pass."""
+    """Rows (doc, n, key) for documents and (chunk, counts) with the bucket counts of each task, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
-        names = ["doc", "n", "key", "outline", "chunk", "counts"]
+        counts = np.zeros(BUCKETS, np.uint8)
+        names = ["doc", "n", "key", "chunk", "counts"]
         for batch in batches:
-            n, key, lines = [], [], []
-            for own in as_bytes(batch.column(1)):
-                keys = shingles(own, size)
-                np.add.at(counts, (keys & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-                n.append(len(keys))
-                key.append(set_key(keys))
-                lines.append(outline(keys))
-            none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(lines, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            texts, n, key = as_bytes(batch.column(1)), [], []
+            for i, k in by_bytes(texts, 1 << 21):
+                found = [shingles(own, size) for own in texts[i:k]]
+                n += map(len, found)
+                key += map(set_key, found)
+                buckets, times = np.unique(np.concatenate(found) & np.uint64(BUCKETS - 1), return_counts=True)
+                counts[buckets] = np.minimum(counts[buckets] + times, MOST_COUNT)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         parts = counts.reshape(64, -1)
-        used = [i for i in range(64) if parts[i].any()]
-        none = pa.nulls(len(used))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], names=names)
+        for i in range(64):
+            if parts[i].any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, key long, outline binary, chunk int, counts binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, key long, chunk int, counts binary")
 
 
 def bucket_counts(found: DataFrame) -> np.ndarray:
@@ -128,18 +129,18 @@ def bucket_counts(found: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros((64, BUCKETS // 64), np.uint64)
-    for chunk, counts in found.filter("chunk IS NOT NULL").select("chunk", "counts").repartition(64, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        out[chunk] = np.frombuffer(counts, np.uint64)
+    out = np.zeros((64, BUCKETS // 64), np.uint32)
+    for chunk, counts in found.filter("chunk IS NOT NULL").select("chunk", "counts").repartition(64, "chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+        out[chunk] = np.frombuffer(counts, np.uint32)
     return out.reshape(-1)
 
 
 def postings(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
     """Prefix shingles (h, key, n, pos) of every document; a task writes those of equal sets once."""
-    shipped = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
+    shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, done = shipped.value, Memory(500_000, 64)
@@ -154,7 +155,9 @@ def postings(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
                         continue
                     done.young[mark.to_bytes(8, "little", signed=True)] = True
                     first = rule.prefix(len(keys))
-                    by = np.lexsort((keys, order[(keys & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:first]
+                    # rare buckets first, then by key: one order for all documents
+                    rank = order[keys & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(32) | keys >> np.uint64(32)
+                    by = np.argsort(rank, kind="stable")[:first]
                     h.append(keys[by])
                     key.append(np.full(first, mark, np.int64))
                     n.append(np.full(first, len(keys), np.int32))
@@ -258,13 +261,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     found = materialise(summaries(rows, rule.size), "shingle-sets")
     counts = bucket_counts(found)
-    per_doc = found.filter("chunk IS NULL").select("doc", "n", "key", "outline")
-    reps = per_doc.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.first("outline").alias("outline"))
+    per_doc = found.filter("chunk IS NULL").select("doc", "n", "key")
+    reps = per_doc.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
 
-    # lists of prefix shingles with two sets or more; equal rows of different tasks fall together
-    listed = postings(rows, counts, rule).groupBy("h", "key").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
-    heads = listed.groupBy("h").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1").select(F.col("h").alias("h0"), F.col("head.key").alias("anchor"), F.col("head.n").alias("anchor_n"))
-    lists = materialise(listed.join(heads, F.col("h") == F.col("h0")).select("h", "key", "n", "pos", "anchor", "anchor_n"), "prefix-lists")
+    # lists of prefix shingles with two sets or more, by one shuffle; equal rows of different tasks fall together
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    listed = postings(rows, counts, rule).repartition(int(parts), "h").groupBy("h", "key").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
+    whole = Window.partitionBy("h")
+    headed = listed.withColumns({"head": F.min(F.struct("key", "n")).over(whole), "m": F.count("*").over(whole)}).filter("m > 1")
+    lists = materialise(headed.select("h", "key", "n", "pos", F.col("head.key").alias("anchor"), F.col("head.n").alias("anchor_n")), "prefix-lists")
 
     prefix = lambda n: F.col(n) - F.ceil(F.col(n) * rule.percent / 100) + 1
     strong = lists.filter("key <> anchor").groupBy("key", "anchor", "n", "anchor_n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= STRONG * F.least(prefix("n"), prefix("anchor_n")))
@@ -276,26 +281,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     placed = placed.join(home.select(F.col("k").alias("ka"), F.col("f").alias("fa")), F.col("anchor") == F.col("ka"), "left").withColumn("fa", F.coalesce("fa", "anchor"))
     mixed = placed.select("h", "key", "n", "pos", "f", (F.col("f") == F.col("fa")).alias("at_home"))
     strays = mixed.filter("NOT at_home").select(F.col("h").alias("h2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("f").alias("f2"))
-    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + F.least("pos", "pos2")
+    # at the first shingle that two sets share, no more than the rest of either can be shared; there a similar pair passes
+    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     kept = (F.col("h") == F.col("h2")) & (F.col("f") != F.col("f2")) & (F.col("at_home") | (F.col("key") < F.col("key2"))) & (100 * F.least("n", "n2") >= rule.percent * F.greatest("n", "n2")) & ((100 + rule.percent) * room >= rule.percent * (F.col("n") + F.col("n2")))
-    pairs = mixed.join(strays, kept).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
-    lines = reps.select("key", "outline")
-    outlined = pairs.join(lines.toDF("a", "line_a"), "a").join(lines.toDF("b", "line_b"), "b")
-    cross = materialise(outlined.filter(suffix_passes(rule.percent)(F.col("line_a"), F.col("line_b"))).select("a", "b"), "pairs")
+    pairs = materialise(mixed.join(strays, kept).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct(), "pairs")
 
     sizes = families.groupBy("component").agg(F.count("*").alias("members"))
     in_family = families.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("family"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    needed = in_family.select("key").unionByName(cross.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    needed = in_family.select("key").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
     texts = rows.join(reps.join(needed, "key", "left_semi").select(F.col("rep"), "key"), F.col("doc") == F.col("rep"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(k, s) for k, own in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if set_key(s := shingles(own, rule.size)) == k]  # rows with a repeated id may have another text
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary()), pa.array([outline(s) for _, s in kept], pa.binary())], names=["key", "shingles", "outline"])
 
-    sets = materialise(texts.select("key", "text").mapInArrow(to_sets, "key long, shingles binary").dropDuplicates(["key"]), "sets")
-    inside = family_links(in_family.join(sets, "key").select("family", "tiles", "key", "shingles"), rule.percent)
-    verified = cross.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))
+    sets = materialise(texts.select("key", "text").mapInArrow(to_sets, "key long, shingles binary, outline binary").dropDuplicates(["key"]), "sets")
+    inside = family_links(in_family.join(sets.drop("outline"), "key").select("family", "tiles", "key", "shingles"), rule.percent)
+    lines, bodies = sets.select("key", "outline"), sets.select("key", "shingles")
+    outlined = pairs.join(lines.toDF("a", "line_a"), "a").join(lines.toDF("b", "line_b"), "b")
+    cross = outlined.filter(suffix_passes(rule.percent)(F.col("line_a"), F.col("line_b"))).select("a", "b")
+    verified = cross.join(bodies.toDF("a", "set_a"), "a").join(bodies.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))
     links = materialise(inside.unionByName(verified.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "links")
 
     # components by key, named by their smallest document
