@@ -107,32 +107,31 @@ def tile_links(x: np.ndarray, own: np.ndarray, side: np.ndarray, n: np.ndarray,
     two = len(np.unique(side)) > 1
     owners = np.flatnonzero(own)
     place = np.arange(len(x))
+    low = x[:, parts[block]].astype(np.float32)
+    half = squares[block].astype(np.float32) / 2
     for at in range(0, len(owners), 256):
         i = owners[at : at + 256]
-        ok = ~own[None, :] | (place[None, :] > i[:, None])
+        # in range of the block: 2 x.y >= |x|^2 + |y|^2 - budget, with room for single precision
+        near = low[i] @ low.T >= half[i][:, None] + (half - np.float32(budgets[block] / 2 + 1e-5))[None, :]
+        r, c = np.nonzero(near)
+        ok = ~own[c] | (place[c] > i[r])
         if two:
-            ok &= side[None, :] != side[i][:, None]
-        unsure = np.zeros(ok.shape, bool)
-        for b in range(block + 1):
-            p = parts[b]
-            d = squares[b][i][:, None] + squares[b][None, :] - 2 * (x[i, p] @ x[:, p].T)
-            if b == block:
-                ok &= d <= budgets[b] + EPS
-            else:
-                ok &= d > budgets[b] - EPS
-            unsure |= np.abs(d - budgets[b]) <= EPS
-        if not ok.any():
-            continue
-        if ok.mean() > 0.02:
-            ok &= x[i] @ x.T >= cosine - EPS
-            r, c = np.nonzero(ok)
-        else:
-            r, c = np.nonzero(ok)
-            keep = np.einsum("ij,ij->i", x[i[r]], x[c]) >= cosine - EPS
-            r, c = r[keep], c[keep]
+            ok &= side[c] != side[i[r]]
+        r, c = r[ok], c[ok]
+        unsure = np.zeros(len(r), bool)
+        for part in np.array_split(np.arange(len(r)), 1 + len(r) // 20_000):
+            d = (x[i[r[part]]] - x[c[part]]) ** 2
+            by_block = np.add.reduceat(d, [p.start for p in parts], 1)[:, : block + 1] - np.array(budgets[: block + 1])
+            unsure[part] = (np.abs(by_block) <= EPS).any(1)
+            ok[: len(r)][part] = (by_block[:, -1] <= EPS) & (by_block[:, :-1] > -EPS).all(1)
+        ok = ok[: len(r)]
+        r, c, unsure = r[ok], c[ok], unsure[ok]
+        cosines = np.concatenate([np.einsum("ij,ij->i", x[i[r[q]]], x[c[q]]) for q in np.array_split(np.arange(len(r)), 1 + len(r) // 20_000)])
+        ok = cosines >= cosine - EPS
+        r, c, unsure = r[ok], c[ok], unsure[ok] | (np.abs(cosines[ok] - cosine) <= EPS)
         # the few at an edge, by a formula that gives the same bits in every tile
         keep = np.ones(len(r), bool)
-        for k in np.flatnonzero(unsure[r, c] | (np.abs(np.einsum("ij,ij->i", x[i[r]], x[c]) - cosine) <= EPS)).tolist():
+        for k in np.flatnonzero(unsure).tolist():
             u, v = x[i[r[k]]], x[c[k]]
             within = [float(((u[p] - v[p]) ** 2).sum()) <= budgets[b] for b, p in enumerate(parts[: block + 1])]
             keep[k] = within[block] and not any(within[:block]) and float((u * v).sum()) >= cosine

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, Memory, as_bytes, table
+from .common import ALNUM_TABLE, as_bytes, table
 
 GRAM_MOST = 5
 #: A language's share among words or n-grams that it was never seen with.
 SMOOTH = 0.5
 #: Scores count as if of so many words at most, so that long texts don't all end at 1.
 WORDS_IN_SCORE = 20
+#: Words whose scores a task remembers.
+WORDS_KEPT = 400_000
 
 
 def grams(word: str) -> Iterator[list[str]]:
@@ -63,34 +65,44 @@ class Model:
             table.setdefault((kind, unit), np.zeros(len(place)))[place[lang]] += n
             totals.setdefault(kind, np.zeros(len(place)))[place[lang]] += n
         self.words: dict[bytes, tuple[float, ...]] = {}
-        self.units: dict[str, np.ndarray] = {}
+        self.units: dict[str, tuple[float, ...]] = {}
         for (kind, unit), n in table.items():
-            scores = np.log((n + SMOOTH) / (totals[kind] + SMOOTH * len(table)))
+            scores = tuple(np.log((n + SMOOTH) / (totals[kind] + SMOOTH * len(table))).tolist())
             if kind == "w":
                 self.words[unit.encode()] = scores
             else:
                 self.units[unit] = scores
 
-    def unseen(self, word: bytes) -> np.ndarray:
+    def unseen(self, word: bytes) -> tuple[float, ...]:
+        units = self.units
         for found in grams(word.decode("utf-8", "replace")):
-            if known := [self.units[g] for g in found if g in self.units]:
-                return np.mean(known, 0)
-        return np.zeros(len(self.langs))
+            if known := [units[g] for g in found if g in units]:
+                return tuple([sum(column) / len(known) for column in zip(*known, strict=True)])
+        return (0.0,) * len(self.langs)
 
     def predictor(self):
-        seen = Memory(200_000, 64)
+        place: dict[bytes, int] = {}  # of a word's scores in the rows
+        rows = np.zeros((WORDS_KEPT, len(self.langs)))
 
         def predict(text: bytes) -> tuple[str, float]:
             if not self.langs or not has_letter(text):
                 return "und", 0.0
             counted = Counter(words_of(text))
-            for w in seen.missing(list(counted)):
-                scores = self.words.get(w)
-                seen.young[w] = self.unseen(w) if scores is None else scores
-            n = np.fromiter(counted.values(), float, len(counted))
-            total = n @ np.array([seen.young[w] for w in counted]) if len(n) else np.zeros(len(self.langs))
-            seen.trim()
-            total *= min(1.0, WORDS_IN_SCORE / max(n.sum(), 1.0))
+            if len(place) + len(counted) > WORDS_KEPT:
+                place.clear()
+            total = np.zeros(len(self.langs))
+            listed = list(counted)
+            for at in range(0, len(listed), WORDS_KEPT // 2):
+                part = listed[at : at + WORDS_KEPT // 2]
+                if at:
+                    place.clear()
+                for w in part:
+                    if w not in place:
+                        rows[len(place)] = self.words.get(w) or self.unseen(w)
+                        place[w] = len(place)
+                n = np.fromiter(map(counted.__getitem__, part), float, len(part))
+                total += n @ rows[np.fromiter(map(place.__getitem__, part), np.int64, len(part))]
+            total *= min(1.0, WORDS_IN_SCORE / max(counted.total(), 1))
             odds = np.exp(total - total.max())
             best = int(odds.argmax())
             return self.langs[best], float(odds[best] / odds.sum())
