@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +12,9 @@ from shutterloom.functions.fingerprint import colour_distance, frame_agreement,
 #: The largest threshold, default tolerances.
 MOST_THRESHOLD, ASPECT_TOLERANCE, DURATION_TOLERANCE, COLOUR_TOLERANCE, FRAME_TOLERANCE = 20, 0.12, 0.15, 48.0, 0.4
 #: Bits that a band should have at least: narrower ones make lists that grow with the square of the input.
-BAND_BITS = 11
+BAND_BITS = 7
+#: Hashes in a tile, where bands are too narrow.
+TILE = 4096
 
 
 def aspect_compatible(w1: Column, h1: Column, w2: Column, h2: Column, tolerance: float = ASPECT_TOLERANCE) -> Column:
@@ -45,20 +47,49 @@ def layout(threshold: int) -> list[tuple[int, int]]:
 
 
 def bands(phash: Column, threshold: int) -> Column:
-    """Keys (band, value), one of which two hashes within `threshold` bits share.
+    """Keys (band, value), one of which two hashes within `threshold` bits share: threshold + 1 chunks of nearly equal width."""
+    return F.array(*[F.struct(F.lit(i).alias("band"), part.alias("value")) for i, part in enumerate(chunks(phash, threshold + 1))])
+
 
-    Two such hashes agree in all but `threshold` of m chunks, so in any choice
-    of m - threshold chunks at least one combination is equal: with m = t + 1
-    the keys are single chunks. For larger thresholds single chunks get too
-    narrow; then there are t + 2 or t + 3 chunks and keys of two or three.
+def _in_tiles(distinct: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of distinct hashes (k, h) by tiles, for thresholds at which any band is shared by most pairs.
+
+    Tiles hold a bounded number of hashes, are compared as matrices of
+    bits, and give only the pairs within the threshold.
     """
-    threshold = min(MOST_THRESHOLD, max(0, threshold))
-    size = 1
-    while size < 3 and size * 64 / (threshold + size) < BAND_BITS:
-        size += 1
-    parts = chunks(phash, threshold + size)
-    keys = [F.struct(F.lit(i).alias("band"), F.xxhash64(*[parts[k] for k in own]).alias("value") if size > 1 else parts[own[0]].alias("value")) for i, own in enumerate(combinations(range(len(parts)), size))]
-    return F.array(*keys)
+    tiles = distinct.agg(F.greatest(F.ceil(F.count("*") / TILE), F.lit(1))).first()[0]
+    key = distinct.schema["k"].dataType.simpleString()
+    spread = distinct.withColumn("t", F.pmod(F.xxhash64("h"), F.lit(tiles)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(int(tiles) - 1))))
+    spread = spread.select("k", "h", "t", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"))
+
+    def run(tile: pa.Table) -> pa.Table:
+        h, t, k = tile.column("h").to_numpy().view(np.uint64), tile.column("t").to_numpy(), tile.column("k").combine_chunks()
+        crossing, out = t.min() != t.max(), [[], [], []]
+        for at in range(0, len(h), 256):
+            d = np.bitwise_count(h[at : at + 256, None] ^ h[None, :])
+            ok = d <= threshold
+            ok &= np.arange(len(h))[None, :] > np.arange(at, min(at + 256, len(h)))[:, None]
+            if crossing:
+                ok &= t[at : at + 256, None] != t[None, :]
+            r, c = np.nonzero(ok)
+            for column, found in zip(out, (r + at, c, d[r, c]), strict=True):
+                column.append(found)
+        r, c, d = (np.concatenate(x) for x in out)
+        return pa.table([k.take(pa.array(r)), k.take(pa.array(c)), pa.array(d.astype(np.int32))], names=["ka", "kb", "distance"])
+
+    found = spread.groupBy("x", "y").applyInArrow(run, f"ka {key}, kb {key}, distance int")
+    return found.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "distance")
+
+
+def _near(distinct: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a < b, distance) of distinct rows (k, h); a hash may occur more than once."""
+    if 64 // (threshold + 1) < BAND_BITS:
+        return _in_tiles(distinct, threshold)
+    banded = distinct.select("k", "h", F.explode(bands(F.col("h"), threshold)).alias("band"))
+    a, b = banded.toDF("ka", "ha", "band"), banded.toDF("kb", "hb", "band2")
+    near = hamming64(F.col("ha"), F.col("hb"))
+    found = a.join(b, (F.col("band") == F.col("band2")) & (F.col("ka") < F.col("kb")) & (near <= threshold))
+    return found.select(F.col("ka").alias("a"), F.col("kb").alias("b"), near.cast("int").alias("distance")).distinct()
 
 
 def hamming_pairs(items: DataFrame, threshold: int, key: str = "item_id", phash: str = "phash") -> DataFrame:
@@ -68,13 +99,8 @@ def hamming_pairs(items: DataFrame, threshold: int, key: str = "item_id", phash:
     hashes, whose smallest item stands for all; the others are linked to it by
     `equal_hash_links`. Null hashes take no part.
     """
-    threshold = min(MOST_THRESHOLD, max(0, threshold))
     distinct = items.filter(F.col(phash).isNotNull()).groupBy(F.col(phash).alias("h")).agg(F.min(key).alias("k"))
-    banded = distinct.select("k", "h", F.explode(bands(F.col("h"), threshold)).alias("band"))
-    a, b = banded.toDF("ka", "ha", "band"), banded.toDF("kb", "hb", "band2")
-    near = hamming64(F.col("ha"), F.col("hb"))
-    found = a.join(b, (F.col("band") == F.col("band2")) & (F.col("ka") < F.col("kb")) & (near <= threshold))
-    return found.select(F.col("ka").alias("a"), F.col("kb").alias("b"), near.cast("int").alias("distance")).distinct()
+    return _near(distinct.select("k", "h"), min(MOST_THRESHOLD, max(0, threshold)))
 
 
 def equal_hash_links(items: DataFrame, key: str = "item_id", phash: str = "phash") -> DataFrame:
@@ -94,11 +120,10 @@ def image_links(items: DataFrame, threshold: int = 6, aspect: float = ASPECT_TOL
     same = F.xxhash64("phash", "width", "height", "color_sig")
     heads = known.withColumn("s", same).groupBy("s").agg(F.min("item_id").alias("k"), F.first("phash").alias("h"), F.first("width").alias("w"), F.first("height").alias("t"), F.first("color_sig").alias("c"))
     star = known.withColumn("s", same).join(heads.select(F.col("s").alias("s2"), "k"), F.col("s") == F.col("s2")).filter("item_id <> k").select(F.col("k").alias("a"), F.col("item_id").alias("b"), F.lit(0).alias("distance"))
-    banded = heads.select("k", "h", "w", "t", "c", F.explode(bands(F.col("h"), threshold)).alias("band"))
-    a, b = banded.toDF("ka", "ha", "wa", "ta", "ca", "band"), banded.toDF("kb", "hb", "wb", "tb", "cb", "band2")
-    near = hamming64(F.col("ha"), F.col("hb"))
-    fits = (near <= threshold) & aspect_compatible(F.col("wa"), F.col("ta"), F.col("wb"), F.col("tb"), aspect) & colour_compatible(F.col("ca"), F.col("cb"), colour)
-    found = a.join(b, (F.col("band") == F.col("band2")) & (F.col("ka") < F.col("kb")) & fits).select(F.col("ka").alias("a"), F.col("kb").alias("b"), near.cast("int").alias("distance")).distinct()
+    one, two = heads.select(F.col("k").alias("ka"), F.col("w").alias("wa"), F.col("t").alias("ta"), F.col("c").alias("ca")), heads.select(F.col("k").alias("kb"), F.col("w").alias("wb"), F.col("t").alias("tb"), F.col("c").alias("cb"))
+    fits = aspect_compatible(F.col("wa"), F.col("ta"), F.col("wb"), F.col("tb"), aspect) & colour_compatible(F.col("ca"), F.col("cb"), colour)
+    near = _near(heads.select("k", "h"), threshold)
+    found = near.join(one, F.col("a") == F.col("ka")).join(two, F.col("b") == F.col("kb")).filter(fits).select("a", "b", "distance")
     return found.unionByName(star)
 
 
@@ -117,7 +142,8 @@ def video_links(videos: DataFrame, threshold: int = 6, frame_tolerance: float =
     At least a part of 1 - `frame_tolerance` of the frames must agree place by
     place, so two linked videos share a band of some frame at one place: these
     bands drive the join. `strict_layout` also asks that the first frames
-    share a chunk of the fixed layout.
+    share a chunk of the fixed layout. Above a threshold of 8 the bands are a few
+    bits wide and most pairs become candidates; use it on small catalogues.
     """
     threshold = min(MOST_THRESHOLD, max(0, threshold))
     if frame_tolerance >= 1:
