@@ -36,7 +36,11 @@ def roots(paths: Sequence[str]) -> list[str]:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a root: path, file_size, file_modified. The content column isn't read."""
+    """Files below a root: path, file_size, file_modified. The content column isn't read.
+
+    Spark itself leaves out files and folders whose names begin with `.` or
+    `_`; a listing made elsewhere can hold them, `scan` then decides.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     local = F.regexp_replace(F.col("path"), "^file:/*", "/")
     return files.select(local.alias("path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modified"), F.lit("/" + root.removeprefix("file:").strip("/")).alias("source_root"))
