@@ -44,4 +44,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_join": embedding_join.OP5_SQL, "op6_url_filter": url_filter.OP6_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op5_embedding_join": embedding_join.OP5_SQL, "op6_url_filter": url_filter.OP6_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
