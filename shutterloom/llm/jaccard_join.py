@@ -25,12 +25,12 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterloom.operators.components import connected_components
@@ -94,9 +94,10 @@ def set_key(keys: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def outline(keys: np.ndarray) -> bytes:
-    """Counts of a set by the top 6 bits of its keys, for the suffix filter."""
-    return np.minimum(np.bincount((keys >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype("<u2").tobytes()
+def outline(keys: np.ndarray) -> np.ndarray:
+    """256 bits of a set, as 4 signed longs: whether an odd number of its keys falls into each of 256 bins, for the suffix filter."""
+    odd = np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
@@ -228,19 +229,10 @@ def family_links(members: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("family", "a", "b").applyInArrow(run, "src long, dst long")
 
 
-def suffix_passes(percent: int):
-    """Whether the outlines of two sets allow the similarity: they differ in at least the sum of the differences of their counts."""
-
-    @F.arrow_udf("boolean")
-    def passes(one: pa.Array, two: pa.Array) -> pa.Array:
-        a = np.frombuffer(b"".join(one.to_pylist()), "<u2").reshape(-1, 64).astype(np.int64)
-        b = np.frombuffer(b"".join(two.to_pylist()), "<u2").reshape(-1, 64).astype(np.int64)
-        total = a.sum(1) + b.sum(1)
-        most = (total - np.abs(a - b).sum(1)) // 2
-        # outlines stop at 65535 a count; beyond it nothing is concluded
-        return pa.array((100 * most >= percent * (total - most)) | (a.max(1) >= 65535) | (b.max(1) >= 65535))
-
-    return passes
+def suffix_passes(percent: int) -> Column:
+    """Whether the outlines of two sets allow the similarity: each bin in which they differ holds a shingle that only one of them has."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)])
+    return (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
 
 
 def similar(percent: int):
@@ -293,14 +285,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(k, s) for k, own in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if set_key(s := shingles(own, rule.size)) == k]  # rows with a repeated id may have another text
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary()), pa.array([outline(s) for _, s in kept], pa.binary())], names=["key", "shingles", "outline"])
-
-    sets = materialise(texts.select("key", "text").mapInArrow(to_sets, "key long, shingles binary, outline binary").dropDuplicates(["key"]), "sets")
-    inside = family_links(in_family.join(sets.drop("outline"), "key").select("family", "tiles", "key", "shingles"), rule.percent)
-    lines, bodies = sets.select("key", "outline"), sets.select("key", "shingles")
-    outlined = pairs.join(lines.toDF("a", "line_a"), "a").join(lines.toDF("b", "line_b"), "b")
-    cross = outlined.filter(suffix_passes(rule.percent)(F.col("line_a"), F.col("line_b"))).select("a", "b")
+            # rows with a repeated id may have another text; a set that comes twice only gives the same links again
+            kept = [(k, s) for k, own in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if set_key(s := shingles(own, rule.size)) == k]
+            lines = np.array([outline(s) for _, s in kept], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary()), *[pa.array(lines[:, i]) for i in range(4)]], names=["key", "shingles", "o0", "o1", "o2", "o3"])
+
+    sets = materialise(texts.select("key", "text").mapInArrow(to_sets, "key long, shingles binary, o0 long, o1 long, o2 long, o3 long"), "sets")
+    inside = family_links(in_family.join(sets.select("key", "shingles"), "key").select("family", "tiles", "key", "shingles"), rule.percent)
+    bodies = sets.select("key", "shingles")
+    line = lambda side: sets.select(F.col("key").alias(side), (F.octet_length("shingles") / 8).cast("int").alias(f"size_{side}"), *[F.col(f"o{i}").alias(f"{side}{i}") for i in range(4)])
+    outlined = pairs.join(line("a"), "a").join(line("b"), "b")
+    cross = outlined.filter(suffix_passes(rule.percent)).select("a", "b")
     verified = cross.join(bodies.toDF("a", "set_a"), "a").join(bodies.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))
     links = materialise(inside.unionByName(verified.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "links")
 
