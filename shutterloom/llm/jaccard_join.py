@@ -43,6 +43,8 @@ BUCKETS = 1 << 22
 MOST_COUNT = 255
 #: Sets in a tile of a family.
 TILE = 512
+#: Columns of a set's outline.
+OUTLINE = ["o0", "o1", "o2", "o3"]
 #: Two representatives are strongly linked if they share this part of the shorter prefix.
 STRONG = 0.25
 
@@ -101,26 +103,28 @@ def outline(keys: np.ndarray) -> np.ndarray:
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc, n, key) for documents and (chunk, counts) with the bucket counts of each task, in one pass."""
+    """Rows (doc, n, key, o0 .. o3) for documents and (chunk, counts) with the bucket counts of each task, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint8)
-        names = ["doc", "n", "key", "chunk", "counts"]
+        names = ["doc", "n", "key", *OUTLINE, "chunk", "counts"]
         for batch in batches:
-            texts, n, key = as_bytes(batch.column(1)), [], []
+            texts, n, key, lines = as_bytes(batch.column(1)), [], [], []
             for i, k in by_bytes(texts, 1 << 21):
                 found = [shingles(own, size) for own in texts[i:k]]
                 n += map(len, found)
                 key += map(set_key, found)
+                lines += map(outline, found)
                 buckets, times = np.unique(np.concatenate(found) & np.uint64(BUCKETS - 1), return_counts=True)
                 counts[buckets] = np.minimum(counts[buckets] + times, MOST_COUNT)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            sides = np.array(lines, np.int64).reshape(-1, len(OUTLINE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), *map(pa.array, sides.T), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         parts = counts.reshape(64, -1)
         for i in range(64):
             if parts[i].any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (1 + len(OUTLINE)), pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, key long, chunk int, counts binary")
+    return docs.select("doc", "text").mapInArrow(run, f"doc long, n int, key long, {' long, '.join(OUTLINE)} long, chunk int, counts binary")
 
 
 def bucket_counts(found: DataFrame) -> np.ndarray:
@@ -253,8 +257,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     found = materialise(summaries(rows, rule.size), "shingle-sets")
     counts = bucket_counts(found)
-    per_doc = found.filter("chunk IS NULL").select("doc", "n", "key")
-    reps = per_doc.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
+    per_doc = found.filter("chunk IS NULL").select("doc", "n", "key", *OUTLINE)
+    # equal sets have equal sizes and outlines
+    reps = materialise(per_doc.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep"), *[F.first(c).alias(c) for c in ["n", *OUTLINE]]), "representatives")
 
     # lists of prefix shingles with two sets or more, by one shuffle; equal rows of different tasks fall together
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -276,7 +281,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # at the first shingle that two sets share, no more than the rest of either can be shared; there a similar pair passes
     room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     kept = (F.col("h") == F.col("h2")) & (F.col("f") != F.col("f2")) & (F.col("at_home") | (F.col("key") < F.col("key2"))) & (100 * F.least("n", "n2") >= rule.percent * F.greatest("n", "n2")) & ((100 + rule.percent) * room >= rule.percent * (F.col("n") + F.col("n2")))
-    pairs = materialise(mixed.join(strays, kept).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct(), "pairs")
+    met = mixed.join(strays, kept).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+    # the suffix filter needs outlines alone: sets are made only for pairs that pass it
+    line = lambda side: reps.select(F.col("key").alias(side), F.col("n").alias(f"size_{side}"), *[F.col(o).alias(f"{side}{i}") for i, o in enumerate(OUTLINE)])
+    outlined = met.join(line("a"), "a").join(line("b"), "b")
+    pairs = materialise(outlined.filter(suffix_passes(rule.percent)).select("a", "b"), "pairs")
 
     sizes = families.groupBy("component").agg(F.count("*").alias("members"))
     in_family = families.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("family"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
@@ -287,16 +296,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in batches:
             # rows with a repeated id may have another text; a set that comes twice only gives the same links again
             kept = [(k, s) for k, own in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if set_key(s := shingles(own, rule.size)) == k]
-            lines = np.array([outline(s) for _, s in kept], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary()), *[pa.array(lines[:, i]) for i in range(4)]], names=["key", "shingles", "o0", "o1", "o2", "o3"])
-
-    sets = materialise(texts.select("key", "text").mapInArrow(to_sets, "key long, shingles binary, o0 long, o1 long, o2 long, o3 long"), "sets")
-    inside = family_links(in_family.join(sets.select("key", "shingles"), "key").select("family", "tiles", "key", "shingles"), rule.percent)
-    bodies = sets.select("key", "shingles")
-    line = lambda side: sets.select(F.col("key").alias(side), (F.octet_length("shingles") / 8).cast("int").alias(f"size_{side}"), *[F.col(f"o{i}").alias(f"{side}{i}") for i in range(4)])
-    outlined = pairs.join(line("a"), "a").join(line("b"), "b")
-    cross = outlined.filter(suffix_passes(rule.percent)).select("a", "b")
-    verified = cross.join(bodies.toDF("a", "set_a"), "a").join(bodies.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["key", "shingles"])
+
+    sets = materialise(texts.select("key", "text").mapInArrow(to_sets, "key long, shingles binary"), "sets")
+    inside = family_links(in_family.join(sets, "key").select("family", "tiles", "key", "shingles"), rule.percent)
+    verified = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))
     links = materialise(inside.unionByName(verified.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "links")
 
     # components by key, named by their smallest document
