@@ -45,6 +45,8 @@ MOST_COUNT = 255
 TILE = 512
 #: Columns of a set's outline.
 OUTLINE = ["o0", "o1", "o2", "o3"]
+#: Longs of bits that tell which texts are wanted again.
+SIEVE_WORDS = 1 << 18
 #: Two representatives are strongly linked if they share this part of the shorter prefix.
 STRONG = 0.25
 
@@ -252,6 +254,19 @@ def similar(percent: int):
     return linked
 
 
+def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose `doc` may be a `rep` of `wanted`, so that other texts aren't shuffled.
+
+    Hashes of the ids set bits of SIEVE_WORDS longs, which bounds what is
+    broadcast; a full sieve lets all rows through and changes no result.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * SIEVE_WORDS))
+    word = lambda c: F.shiftright(place(c), 6)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) AS int))")
+    bits = wanted.groupBy(word("rep").alias("word")).agg(F.bit_or(bit("rep")).alias("bits"))
+    return rows.join(F.broadcast(bits), (word("doc") == F.col("word")) & (F.col("bits").bitwiseAND(bit("doc")) != 0), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rule: Rule = NEAR) -> DataFrame:
     """Per row: the key as `id_col`, n_shingles, component_id."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -289,18 +304,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     sizes = families.groupBy("component").agg(F.count("*").alias("members"))
     in_family = families.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("family"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    needed = in_family.select("key").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
-    texts = rows.join(reps.join(needed, "key", "left_semi").select(F.col("rep"), "key"), F.col("doc") == F.col("rep"))
+    in_pair = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    members = in_family.withColumn("paired", F.lit(False)).unionByName(in_pair.withColumn("paired", F.lit(True)), allowMissingColumns=True)
+    needed = members.groupBy("key").agg(F.max("family").alias("family"), F.max("tiles").alias("tiles"), F.max("paired").alias("paired"))
+    wanted = materialise(reps.select("rep", "key").join(needed, "key"), "wanted")
+    texts = sieved(rows, wanted).join(wanted, F.col("doc") == F.col("rep"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # rows with a repeated id may have another text; a set that comes twice only gives the same links again
-            kept = [(k, s) for k, own in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if set_key(s := shingles(own, rule.size)) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["key", "shingles"])
-
-    sets = materialise(texts.select("key", "text").mapInArrow(to_sets, "key long, shingles binary"), "sets")
-    inside = family_links(in_family.join(sets, "key").select("family", "tiles", "key", "shingles"), rule.percent)
-    verified = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))
+            sets = [shingles(own, rule.size) for own in as_bytes(batch.column("text"))]
+            same = pa.array([set_key(s) == k for k, s in zip(batch.column("key").to_pylist(), sets, strict=True)], pa.bool_())
+            held = batch.select(["key", "family", "tiles", "paired"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
+            yield held.filter(same)
+
+    sets = materialise(texts.select("key", "family", "tiles", "paired", "text").mapInArrow(to_sets, "key long, family long, tiles int, paired boolean, shingles binary"), "sets")
+    inside = family_links(sets.filter("family IS NOT NULL").select("family", "tiles", "key", "shingles"), rule.percent)
+    paired = sets.filter("paired").select("key", "shingles")
+    verified = pairs.join(paired.toDF("a", "set_a"), "a").join(paired.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))
     links = materialise(inside.unionByName(verified.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "links")
 
     # components by key, named by their smallest document
