@@ -132,6 +132,8 @@ SINGLE = (
 _UNDER = r"(?:(?:dual )?licensed|released|distributed|published|available|provided|covered|made available|free to use) (?:only )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:gnu )?"
 #: Whole words of which any match of a rule whose keyword ends so holds one; of other keywords it is the longest word.
 _ANCHORS = {"licen": ("licence", "license", "under"), "mit licen": ("licence", "license"), "expat licen": ("licence", "license"), "isc licen": ("licence", "license"), "bsd": ("bsd", "freebsd", "0bsd")}
+#: Names that patterns also join with a version to one word.
+_ANCHORS |= {name: (name, *[f"{name}{v}{n}" for v in ("", "v") for n in numbers]) for name, numbers in (("gpl", "123"), ("lgpl", "23"), ("agpl", "3"))}
 _CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
 
 

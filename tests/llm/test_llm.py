@@ -1,12 +1,15 @@
 """Operators against brute force, the tokenizers library, round trips and held-out labels, on small odd inputs."""
 
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
 import sys
 import zlib
 from collections import Counter
+from re import _parser as sre
 
 import numpy as np
 import public_tokenizers as P
@@ -121,6 +124,50 @@ def test_license_scan(spark, odd):
         assert r.base_labels == sorted(base) and r.labels == sorted(base | {d[4] for d in kept}) and 0 <= r.score <= 1
 
 
+def _wordings(pattern, most=60):
+    """Texts that a rule's pattern matches: all combinations of its alternatives, or as many drawn ones where there are more."""
+    rng = random.Random(0)
+
+    def of(items):
+        parts = [one(*item) for item in items]
+        if math.prod(map(len, parts)) <= most:
+            return list(dict.fromkeys("".join(p) for p in itertools.product(*parts)))
+        # each alternative of each part, among drawn ones of the others
+        drawn = ["".join([*map(rng.choice, parts[:k]), x, *map(rng.choice, parts[k + 1 :])]) for k, part in enumerate(parts) for x in part]
+        return list(dict.fromkeys(drawn))
+
+    def one(op, arg):
+        op = str(op)
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return ["x" if str(a) == "CATEGORY_WORD" else "1" if str(a) == "CATEGORY_DIGIT" else chr(a) for _, a in arg]
+        if op == "BRANCH":
+            return [t for branch in arg[1] for t in of(branch)]
+        if op == "SUBPATTERN":
+            return of(arg[-1])
+        assert op == "MAX_REPEAT", op
+        return ["", *of(arg[2])] if arg[0] == 0 else of(arg[2])
+
+    return of(sre.parse(pattern))
+
+
+def test_license_scan_of_single_mentions(spark):
+    """One mention of each alternative of each pattern and no other word: no rule may need words beside its own."""
+    cases = sorted({t for _, _, _, rx in license_scan.rules() for t in _wordings(rx)} | {"This tool is GPLv3.", "gnu gplv2", "LGPLv2 1", "lgpl3", "AGPLv3", "agpl3"})
+    rules = [(label, level, k, word, re.compile(f"(?<= )(?:{rx})(?= )", re.ASCII)) for k, (label, level, word, rx) in enumerate(license_scan.rules())]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    wrong = []
+    for r in license_scan.scan(df).collect():
+        norm = " " + " ".join(re.findall("[0-9a-z]+", cases[r.doc_id].lower())) + " "
+        found = [(m.start(), m.end(), level, k, label) for label, level, k, word, rx in rules if word in norm for m in rx.finditer(norm)]
+        kept = [d for d in found if not any(e is not d and e[2] <= d[2] and e[0] <= d[0] and e[1] >= d[1] and (e[:2] != d[:2] or e[2:4] < d[2:4]) for e in found)]
+        want = sorted((d[0], d[1], d[2], d[4]) for d in kept)
+        if sorted((d.start, d.end, d.level, d.label) for d in r.detections) != want:
+            wrong.append((cases[r.doc_id], want))
+    assert not wrong, (len(wrong), wrong[:10])
+
+
 def test_embeddings_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_join, "CELL", 8)
     monkeypatch.setattr(embedding_join, "TILE", 16)
