@@ -3,7 +3,8 @@
 A rule has a label, a level (1: identifier line, 2: notice, 3: name,
 4: bare mention), a keyword and a regular expression over the words of a text
 (A-Z in lower case, one space between words). A text is looked at if one of its
-words may stand in a match; a rule is tried if its own keyword occurs. Matches of all rules
+words may stand in a match; a rule is tried if its own keyword, which each of its
+matches holds, occurs. Matches of all rules
 are intervals; one that lies inside another of the same or a higher level
 (levels count down) is suppressed, of two equal ones the earlier rule stays.
 
@@ -60,7 +61,8 @@ FAMILIES = (
     ("wtfpl", "want to public", r"do what the \w+ you want to public licen[cs]e", "wtfpl"),
     ("artistic-1.0", "artistic", r"artistic licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "artistic 1 0"),
     ("artistic-2.0", "artistic", r"artistic licen[cs]e (?:version |v)?2(?: 0)?", "artistic 2 0"),
-    ("python-2.0", "python", r"(?:python software foundation|psf) licen[cs]e(?: (?:version |v)?2(?: 0)?)?", "python 2 0"),
+    ("python-2.0", "python", r"python software foundation licen[cs]e(?: (?:version |v)?2(?: 0)?)?", "python 2 0"),
+    ("python-2.0", "psf licen", r"psf licen[cs]e(?: (?:version |v)?2(?: 0)?)?", "python 2 0"),
     ("php-3.01", "php", r"php licen[cs]e(?: (?:version |v)?3(?: 01)?)?", "php 3 01"),
     ("ruby", "ruby", r"ruby licen[cs]e", "ruby"),
     ("openssl", "openssl", r"openssl licen[cs]e", "openssl"),
@@ -105,7 +107,7 @@ SINGLE = (
     ("mpl-2.0", 2, "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
     ("bsl-1.0", 2, "permission is hereby", r"permission is hereby granted free of charge to any person or organization"),
     ("proprietary", 2, "proprietary", r"(?:confidential and proprietary|proprietary and confidential)"),
-    ("proprietary", 2, "unauthorized", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
+    ("proprietary", 2, "unauthori", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
     ("proprietary", 2, "without the prior", r"without the prior written (?:permission|consent)"),
     ("all-rights-reserved", 2, "rights reserved", r"all rights reserved"),
     ("some-rights-reserved", 2, "rights reserved", r"some rights reserved"),
@@ -126,12 +128,12 @@ SINGLE = (
     ("copyright", 4, "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
     ("copyright", 4, "copyright", r"copyright"),
     ("license-reference", 4, "licen", r"(?:see|in|refer to) (?:the )?(?:file )?licen[cs]e(?: file| txt| md)?"),
-    ("license-reference", 4, "licen", r"(?:licensed|released|distributed|published) under"),
+    ("license-reference", 4, "ed under", r"(?:licensed|released|distributed|published) under"),
     ("license-reference", 4, "licen", r"(?:subject to|under) the terms (?:and conditions )?of the licen[cs]e"),
 )
 _UNDER = r"(?:(?:dual )?licensed|released|distributed|published|available|provided|covered|made available|free to use) (?:only )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:gnu )?"
 #: Whole words of which any match of a rule whose keyword ends so holds one; of other keywords it is the longest word.
-_ANCHORS = {"licen": ("licence", "license", "under"), "mit licen": ("licence", "license"), "expat licen": ("licence", "license"), "isc licen": ("licence", "license"), "bsd": ("bsd", "freebsd", "0bsd")}
+_ANCHORS = {"licen": ("licence", "license"), "mit licen": ("licence", "license"), "expat licen": ("licence", "license"), "isc licen": ("licence", "license"), "psf licen": ("psf",), "unauthori": ("unauthorised", "unauthorized"), "bsd": ("bsd", "freebsd", "0bsd")}
 #: Names that patterns also join with a version to one word.
 _ANCHORS |= {name: (name, *[f"{name}{v}{n}" for v in ("", "v") for n in numbers]) for name, numbers in (("gpl", "123"), ("lgpl", "23"), ("agpl", "3"))}
 _CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}

@@ -168,6 +168,19 @@ def test_license_scan_of_single_mentions(spark):
     assert not wrong, (len(wrong), wrong[:10])
 
 
+def test_license_keywords_are_in_each_match(spark):
+    """The keyword of a rule excludes no wording of its own pattern; a scan finds what the patterns alone find."""
+    rules = license_scan.rules()
+    assert [(word, t) for _, _, word, rx in rules for t in _wordings(rx) if word not in f" {t} "] == []
+    cases = ["PSF License 2.0", "Licensed under the terms of the PSF licence", "Unauthorised copying is forbidden.", "unauthorized use", "Published under a pseudonym", "released under protest", "SPDX-License-Identifier: Python-2.0"]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in license_scan.scan(df).collect():
+        norm = " " + " ".join(re.findall("[0-9a-z]+", cases[r.doc_id].lower())) + " "
+        found = [(m.start(), m.end(), level, k, label) for k, (label, level, _, rx) in enumerate(rules) for m in re.finditer(f"(?<= )(?:{rx})(?= )", norm, re.ASCII)]
+        kept = [d for d in found if not any(e is not d and e[2] <= d[2] and e[0] <= d[0] and e[1] >= d[1] and (e[:2] != d[:2] or e[2:4] < d[2:4]) for e in found)]
+        assert kept and sorted((d.start, d.end, d.level, d.label) for d in r.detections) == sorted((d[0], d[1], d[2], d[4]) for d in kept), cases[r.doc_id]
+
+
 def test_embeddings_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_join, "CELL", 8)
     monkeypatch.setattr(embedding_join, "TILE", 16)
