@@ -16,6 +16,9 @@ Equal vectors with equal labels are one representative with a count. Only
 counts of links and spanning links leave a tile, never pairs. Vectors that are
 null, zero, or hold null or non-finite components, and such without a label,
 link with nothing. Rows that repeat an id share its links and component.
+Rows without an id link like others. Representatives have numbers of their
+own; a component is named by its smallest id at the end, by null if none of its
+rows has one (such rows are all kept, as they can't be told apart).
 """
 
 from __future__ import annotations
@@ -161,8 +164,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec"), F.col(f"`{vector}`").alias("embedding"), F.col(f"`{label}`").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = rows.withColumn("usable", F.coalesce(F.col("label").isNotNull() & finite, F.lit(False)))
-    same = usable.filter("usable").groupBy("label", "embedding").agg(F.min("vec").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
-    reps = materialise(same, "vectors")
+    same = usable.filter("usable").groupBy("label", "embedding").agg(F.min("vec").alias("smallest"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
+    # numbers are never null, as ids may be; they hold once they are written
+    reps = materialise(same.withColumn("rep", F.monotonically_increasing_id()), "vectors")
 
     most = reps.groupBy("label", "dim").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
     bits = max(0, min(BLOCK, math.ceil(math.log2(max(1, most / CELL)))))
@@ -176,11 +180,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.filter("rep <> root"), "rep", "root")
-    known = reps.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "rep", "n").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    own = known.select("l", "e", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = reps.select("rep", "smallest").join(groups, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("smallest").alias("name"))
+    known = reps.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "rep", "n", "smallest").join(links, "rep", "left").join(groups.join(named, "component"), F.col("rep") == F.col("node"), "left")
+    own = known.select("l", "e", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("name", "smallest").alias("component"))
     out = usable.join(own, F.col("usable") & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     component = F.coalesce("component", "vec")
-    return out.select(F.col("vec").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec") == component).alias("kept"))
+    return out.select(F.col("vec").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec").eqNullSafe(component).alias("kept"))
 
 
 def op5_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:

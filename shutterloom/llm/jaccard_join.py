@@ -16,7 +16,8 @@ representatives are joined on prefix shingles:
 Links give components; a document's component is the smallest id reachable.
 Texts without words, empty and null texts have no shingles and link with
 nothing. Repeated ids are treated as one document each time they occur: rows
-are kept, and they share the component of their text.
+are kept, and they share the component of their text. Rows without an id link
+like others; their component is null only if none of its rows has an id.
 """
 
 from __future__ import annotations
@@ -308,7 +309,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = in_family.withColumn("paired", F.lit(False)).unionByName(in_pair.withColumn("paired", F.lit(True)), allowMissingColumns=True)
     needed = members.groupBy("key").agg(F.max("family").alias("family"), F.max("tiles").alias("tiles"), F.max("paired").alias("paired"))
     wanted = materialise(reps.select("rep", "key").join(needed, "key"), "wanted")
-    texts = sieved(rows, wanted).join(wanted, F.col("doc") == F.col("rep"))
+    texts = sieved(rows, wanted).join(wanted, F.col("doc") == F.col("rep")).select("key", "family", "tiles", "paired", "text")
+
+    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = as_bytes(batch.column(0))
+            for i, k in by_bytes(own, 1 << 21):
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(shingles(t, rule.size)) for t in own[i:k]], pa.int64()), batch.column(0).slice(i, k - i)], names=["own", "text"])
+
+    # sets that only rows without an id hold are found by their key, one text each
+    nameless = rows.filter("doc IS NULL AND text IS NOT NULL").select("text").mapInArrow(to_keys, "own long, text string").groupBy("own").agg(F.first("text").alias("text"))
+    texts = texts.unionByName(wanted.filter("rep IS NULL").join(nameless, F.col("key") == F.col("own")).select("key", "family", "tiles", "paired", "text"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             held = batch.select(["key", "family", "tiles", "paired"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
             yield held.filter(same)
 
-    sets = materialise(texts.select("key", "family", "tiles", "paired", "text").mapInArrow(to_sets, "key long, family long, tiles int, paired boolean, shingles binary"), "sets")
+    sets = materialise(texts.mapInArrow(to_sets, "key long, family long, tiles int, paired boolean, shingles binary"), "sets")
     inside = family_links(sets.filter("family IS NOT NULL").select("family", "tiles", "key", "shingles"), rule.percent)
     paired = sets.filter("paired").select("key", "shingles")
     verified = pairs.join(paired.toDF("a", "set_a"), "a").join(paired.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))

@@ -206,6 +206,29 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embedding_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_without_id(spark):
+    """Rows with a null id link like others; ids beyond 2^53 keep their digits."""
+    a, b = 2**53 + 1, 2**53 + 3
+    turns = [(a, 0), (None, 20), (b, 40), (None, 120), (None, 120), (None, 135), (7, 250), (None, 250), (8, 320)]
+    rows = [(i, [math.cos(math.radians(t)), math.sin(math.radians(t))], 1) for i, t in turns] + [(None, None, 1), (None, [1.0, 0.0], None)]
+    got = embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert dict(got.dtypes)["component_id"] == "bigint"
+    want = [(a, 1, a, True), (None, 2, a, False), (b, 1, a, False)] + [(None, 2, None, True)] * 3 + [(7, 1, 7, True), (None, 1, 7, False), (8, 0, 8, True)] + [(None, 0, None, True)] * 2
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_near_duplicates_without_id(spark):
+    """Sets that only rows with a null id hold carry links between others."""
+
+    def words(name, start):
+        return " ".join(f"{name}{i}" for i in range(start, start + 100))
+
+    rows = [(1, words("a", 0)), (None, words("a", 5)), (None, words("a", 5)), (2, words("a", 10)), (None, words("b", 0)), (None, words("b", 5)), (3, words("c", 0)), (None, words("c", 0)), (None, None), (None, "")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rule=jaccard_join.Rule(size=1, percent=90)).collect()
+    want = [(1, 100, 1), (None, 100, 1), (None, 100, 1), (2, 100, 1), (None, 100, None), (None, 100, None), (3, 100, 3), (None, 100, 3), (None, 0, None), (None, 0, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "a://example.com/en/", "a://xexample.com/en/", "a://b.net/es/1", "a://net/fr/", "a://b.net/esx", "x://cheap-pills.example.org/en/", "x://pills.com", "x://pills.com/", "x://h?a/b", "x://h/p#q?r://z"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
