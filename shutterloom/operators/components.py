@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shutterloom.scratch import checkpointed
+
 #: Rounds are O(log^2 n) by theory, a handful in practice; more than this means a defect.
 MOST_ROUNDS = 60
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shutterloom-')}")
-    return df.checkpoint(eager=True)
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Rows (node, component) for every node of `edges`; a component is named by its smallest node.
 
@@ -27,7 +20,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     alone = pairs.filter("u = v").select("u").distinct()
-    now = _checkpointed(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = checkpointed(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -36,7 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         small_least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         joined = large.join(small_least, F.col("u") == F.col("k"))
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        now = _checkpointed(small)
+        now = checkpointed(small)
         new = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if new == state:
             break
