@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to lower case; everything ASCII that is neither a letter nor a digit to a space.
@@ -17,6 +20,8 @@ ALNUM_TABLE = bytes(
 )
 #: A-Z to lower case, nothing else.
 LOWER_TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+#: A-Z to lower case; ASCII white space (what `bytes.split` parts words at) to a space.
+SPACED_TABLE = bytes(0x20 if 0x09 <= c <= 0x0D else x for c, x in enumerate(LOWER_TABLE))
 
 #: Bytes of text that an operator handles at once inside a task.
 CHUNK_BYTES = 4 << 20
@@ -45,10 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).keep(df, name)
+
+
+class Tables:
+    """Intermediate Parquet tables in the shared folder, which can be deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write `df` and read it again."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -77,6 +100,59 @@ def by_bytes(items: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(items)
 
 
+#: Fixed random values of bytes and an odd factor, for hashes of words.
+_VALUES = np.random.default_rng(1_618_033).integers(1, 2**64, 256, np.uint64)
+_VALUES[0x20] = 0
+_FACTOR = 0x9FB21C651E98DF25 | 2
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+#: Bytes that are hashed at once; a longer word is hashed by itself.
+_SPAN = 1 << 17
+
+
+@lru_cache(maxsize=2)
+def _powers(factor: int) -> np.ndarray:
+    out = np.full(_SPAN + 1, factor, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def hashed_words(texts: list[bytes], table: bytes = SPACED_TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and for each text and the end the number of words before it.
+
+    `table` translates bytes first; it makes a space of what stands between
+    words. A word's hash is a polynomial in its bytes' values, mixed, so that
+    all words are hashed by differences of one running sum.
+    """
+    joined = b" ".join(texts).translate(table) + b" "
+    whole = np.frombuffer(joined, np.uint8)
+    up, down = _powers(_FACTOR), _powers(_INVERSE)
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(whole):
+        stop = joined.rfind(b" ", at, at + _SPAN) + 1
+        if stop <= at:  # a word longer than a span
+            stop = joined.index(b" ", at) + 1
+            hashes.append(np.array([xxhash.xxh3_64_intdigest(joined[at : stop - 1])], np.uint64))
+            places.append(np.array([at]))
+            at = stop
+            continue
+        b = whole[at:stop]
+        edges = np.flatnonzero(np.diff(b != 0x20, prepend=False))
+        start, end = edges[::2], edges[1::2]
+        total = np.cumsum(_VALUES[b] * up[: len(b)])
+        before = np.where(start > 0, total[start - 1], np.uint64(0))
+        hashes.append(_mixed((total[end - 1] - before) * down[start]))
+        places.append(start + at)
+        at = stop
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.concatenate(([0], np.cumsum(lengths + 1)))
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), begins)
+
+
 def one_thread() -> None:
     """A task has one core: the tokenizers library must not start threads of its own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

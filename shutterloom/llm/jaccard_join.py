@@ -26,30 +26,32 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterloom.operators.components import connected_components
 
-from .common import LOWER_TABLE, Memory, as_bytes, by_bytes, materialise, table
+from .common import SPACED_TABLE, Tables, as_bytes, by_bytes, hashed_words, table
 
 #: Counters of shingle buckets; what is sent to all executors has this size (4 bytes each) for any input.
 BUCKETS = 1 << 22
 #: A task counts up to this in a bucket; more doesn't change what is rare.
-MOST_COUNT = 255
-#: Sets in a tile of a family.
-TILE = 512
-#: Columns of a set's outline.
-OUTLINE = ["o0", "o1", "o2", "o3"]
+MOST_COUNT = 65_535
+#: Lists of a shingle whose bucket counts more are headed in parts of about so many sets.
+HOT_LIST = 20_000
+#: Sets, and bytes of sets, in a tile of a family.
+TILE, TILE_BYTES = 2048, 16 << 20
+#: Bits of the outline of a small set; larger sets have a bit for about two shingles.
+OUTLINE_BITS = 256
 #: Longs of bits that tell which texts are wanted again.
 SIEVE_WORDS = 1 << 18
 #: Two representatives are strongly linked if they share this part of the shorter prefix.
 STRONG = 0.25
+#: Bytes of text whose shingles a task makes at once.
+TEXT_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -68,66 +70,74 @@ class Rule:
 NEAR = Rule()
 
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> Memory:
-    return Memory(300_000, 64)
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """For each text the distinct 64-bit keys of its shingles, ascending; a shorter sequence is one shingle."""
+    for i, k in by_bytes(texts, TEXT_BYTES):
+        h, begins = hashed_words(texts[i:k], SPACED_TABLE)
+        keys = _mixed_runs(h, size) if len(h) >= size else h[:0]
+        for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False):
+            own = np.sort(keys[a : b - size + 1]) if b - a >= size else _mixed_runs(h[a:b], b - a) if b > a else h[:0]
+            yield own[np.diff(own, prepend=~own[:1]) != 0] if len(own) > 1 else own
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _word_hashes()
-    known.young.update((w, xxhash.xxh3_64_intdigest(w)) for w in known.missing(words))
-    out = np.fromiter(map(known.young.__getitem__, words), np.uint64, len(words))
-    known.trim()
-    return out
-
-
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """Distinct 64-bit keys of the shingles, ascending; a shorter sequence is one shingle."""
-    words = text.translate(LOWER_TABLE).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
-    n = min(size, len(words))
+def _mixed_runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A key for each run of n words."""
     key = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
         key = (key ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return np.unique(key * np.uint64(0xBF58476D1CE4E5B9))
+    return key * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
+    return next(shingle_sets([text], size))
+
+
+def set_keys(keys: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two longs: its key, and the one in use if different sets have that key."""
+    digest = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def set_key(keys: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
+def outline(keys: np.ndarray) -> bytes:
+    """Bits of a set for the suffix filter: whether an odd number of its keys falls into each of so many equal ranges (a power of two)."""
+    bits = max(OUTLINE_BITS, 1 << max(0, (len(keys) // 2 - 1).bit_length()))
+    odd = np.bincount((keys >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def outline(keys: np.ndarray) -> np.ndarray:
-    """256 bits of a set, as 4 signed longs: whether an odd number of its keys falls into each of 256 bins, for the suffix filter."""
-    odd = np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8")
+def differences(one: bytes, two: bytes) -> int:
+    """Ranges in which two outlines differ, each of which holds a shingle that only one set has; the finer outline is folded to the other."""
+    a, b = sorted((np.unpackbits(np.frombuffer(one, np.uint8)), np.unpackbits(np.frombuffer(two, np.uint8))), key=len)
+    return int((a ^ np.bitwise_xor.reduce(b.reshape(len(a), -1), 1)).sum())
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc, n, key, o0 .. o3) for documents and (chunk, counts) with the bucket counts of each task, in one pass."""
+    """Rows (doc, n, key, key2, outline) for documents and (chunk, counts) with the bucket counts of each task, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint8)
-        names = ["doc", "n", "key", *OUTLINE, "chunk", "counts"]
+        counts = np.zeros(BUCKETS, np.uint16)
+        names = ["doc", "n", "key", "key2", "outline", "chunk", "counts"]
         for batch in batches:
-            texts, n, key, lines = as_bytes(batch.column(1)), [], [], []
-            for i, k in by_bytes(texts, 1 << 21):
-                found = [shingles(own, size) for own in texts[i:k]]
+            texts, n, keys, lines = as_bytes(batch.column(1)), [], [], []
+            for i, k in by_bytes(texts, TEXT_BYTES):
+                found = list(shingle_sets(texts[i:k], size))
                 n += map(len, found)
-                key += map(set_key, found)
+                keys += map(set_keys, found)
                 lines += map(outline, found)
-                buckets, times = np.unique(np.concatenate(found) & np.uint64(BUCKETS - 1), return_counts=True)
+                # of a bucket that occurs more than once only the last sum is kept, so sums are made by sorting
+                buckets = np.sort((np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.uint32))
+                ends = np.flatnonzero(np.diff(buckets, append=~buckets[-1:]))
+                buckets, times = buckets[ends], np.diff(ends, prepend=-1)
                 counts[buckets] = np.minimum(counts[buckets] + times, MOST_COUNT)
-            sides = np.array(lines, np.int64).reshape(-1, len(OUTLINE))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.int64()), *map(pa.array, sides.T), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            one, two = np.array(keys, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(one), pa.array(two), pa.array(lines, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         parts = counts.reshape(64, -1)
         for i in range(64):
             if parts[i].any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (1 + len(OUTLINE)), pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.select("doc", "text").mapInArrow(run, f"doc long, n int, key long, {' long, '.join(OUTLINE)} long, chunk int, counts binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, key long, key2 long, outline binary, chunk int, counts binary")
 
 
 def bucket_counts(found: DataFrame) -> np.ndarray:
@@ -137,44 +147,52 @@ def bucket_counts(found: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.uint64)
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(zlib.decompress(packed), np.uint16).astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
     out = np.zeros((64, BUCKETS // 64), np.uint32)
-    for chunk, counts in found.filter("chunk IS NOT NULL").select("chunk", "counts").repartition(64, "chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
-        out[chunk] = np.frombuffer(counts, np.uint32)
+    summed = found.filter("chunk IS NOT NULL").select("chunk", "counts").repartition(64, "chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
+    for chunk, counts in zip(summed.column(0).to_pylist(), summed.column(1), strict=True):
+        out[chunk] = np.frombuffer(counts.as_buffer(), np.uint32)
     return out.reshape(-1)
 
 
-def postings(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
-    """Prefix shingles (h, key, n, pos) of every document; a task writes those of equal sets once."""
-    shipped = docs.sparkSession.sparkContext.broadcast(counts)
+def postings(docs: DataFrame, counts: np.ndarray, rule: Rule, clashing: frozenset[int]) -> DataFrame:
+    """Prefix shingles (h, part, key, n, pos) of every document; a task writes those of equal sets once.
+
+    `part` is -1, or deals the sets of a shingle that may be very common to a few parts.
+    """
+    shipped, hot = docs.sparkSession.sparkContext.broadcast(counts), HOT_LIST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, done = shipped.value, Memory(500_000, 64)
+        order, done = shipped.value, set()
         for batch in batches:
             texts = as_bytes(batch.column(0))
-            for i, k in by_bytes(texts, 1 << 20):
-                h, key, n, pos = [np.zeros(0, np.uint64)], [], [], []
-                for own in texts[i:k]:
-                    keys = shingles(own, rule.size)
-                    mark = set_key(keys)
-                    if not len(keys) or not done.missing([mark.to_bytes(8, "little", signed=True)]):
+            for i, k in by_bytes(texts, TEXT_BYTES):
+                h, part, key, n, pos = [], [], [], [], []
+                for keys in shingle_sets(texts[i:k], rule.size):
+                    mark, second = set_keys(keys)
+                    mark = second if mark in clashing else mark
+                    if not len(keys) or mark in done:
                         continue
-                    done.young[mark.to_bytes(8, "little", signed=True)] = True
+                    done.add(mark)
                     first = rule.prefix(len(keys))
                     # rare buckets first, then by key: one order for all documents
-                    rank = order[keys & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(32) | keys >> np.uint64(32)
+                    often = order[keys & np.uint64(BUCKETS - 1)]
+                    rank = often.astype(np.uint64) << np.uint64(32) | keys >> np.uint64(32)
                     by = np.argsort(rank, kind="stable")[:first]
+                    often = often[by].astype(np.int64)
                     h.append(keys[by])
+                    part.append(np.where(often > hot, mark % (often // hot + 1), -1))
                     key.append(np.full(first, mark, np.int64))
                     n.append(np.full(first, len(keys), np.int32))
                     pos.append(np.arange(first, dtype=np.int32))
-                done.trim()
                 if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(n)), pa.array(np.concatenate(pos))], names=["h", "key", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(part), pa.int32()), pa.array(np.concatenate(key)), pa.array(np.concatenate(n)), pa.array(np.concatenate(pos))], names=["h", "part", "key", "n", "pos"])
+                if len(done) > 500_000:
+                    done.clear()
 
-    return docs.select("text").mapInArrow(run, "h long, key long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "h long, part int, key long, n int, pos int")
 
 
 class _Sets:
@@ -236,10 +254,16 @@ def family_links(members: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("family", "a", "b").applyInArrow(run, "src long, dst long")
 
 
-def suffix_passes(percent: int) -> Column:
-    """Whether the outlines of two sets allow the similarity: each bin in which they differ holds a shingle that only one of them has."""
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)])
-    return (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+def may_link(percent: int):
+    """The suffix filter: whether two sets' outlines and sizes allow the similarity."""
+
+    @F.arrow_udf("boolean")
+    def allowed(a: pa.Array, b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
+        sizes = size_a.to_numpy(zero_copy_only=False) + size_b.to_numpy(zero_copy_only=False).astype(np.int64)
+        differ = np.array([differences(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], np.int64)
+        return pa.array((100 + percent) * differ <= (100 - percent) * sizes, pa.bool_())
+
+    return allowed
 
 
 def similar(percent: int):
@@ -268,27 +292,31 @@ def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bits), (word("doc") == F.col("word")) & (F.col("bits").bitwiseAND(bit("doc")) != 0), "left_semi")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rule: Rule = NEAR) -> DataFrame:
-    """Per row: the key as `id_col`, n_shingles, component_id."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    found = materialise(summaries(rows, rule.size), "shingle-sets")
-    counts = bucket_counts(found)
-    per_doc = found.filter("chunk IS NULL").select("doc", "n", "key", *OUTLINE)
-    # equal sets have equal sizes and outlines
-    reps = materialise(per_doc.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep"), *[F.first(c).alias(c) for c in ["n", *OUTLINE]]), "representatives")
-
-    # lists of prefix shingles with two sets or more, by one shuffle; equal rows of different tasks fall together
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    listed = postings(rows, counts, rule).repartition(int(parts), "h").groupBy("h", "key").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
-    whole = Window.partitionBy("h")
-    headed = listed.withColumns({"head": F.min(F.struct("key", "n")).over(whole), "m": F.count("*").over(whole)}).filter("m > 1")
-    lists = materialise(headed.select("h", "key", "n", "pos", F.col("head.key").alias("anchor"), F.col("head.n").alias("anchor_n")), "prefix-lists")
-
-    prefix = lambda n: F.col(n) - F.ceil(F.col(n) * rule.percent / 100) + 1
-    strong = lists.filter("key <> anchor").groupBy("key", "anchor", "n", "anchor_n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= STRONG * F.least(prefix("n"), prefix("anchor_n")))
-    families = materialise(connected_components(strong, "key", "anchor"), "families")
+def prefix_lists(listed: DataFrame, any_hot: bool, tables: Tables) -> DataFrame:
+    """Lists (h, key, n, pos, anchor, anchor_n) of shingles in the prefixes of two sets or more; the anchor is the smallest key.
 
-    # pairs of different families: in each list those outside the list's own family (its anchor's) meet all others
+    Only (h, part) meet in one task, so a list that may be very long is headed
+    in parts, whose heads then fall together.
+    """
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = listed.repartition(parts, "h", "part").groupBy("h", "part", "key").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
+    whole = Window.partitionBy("h", "part")
+    headed = once.withColumns({"head": F.min(F.struct("key", "n")).over(whole), "m": F.count("*").over(whole)}).filter("m > 1 OR part >= 0")
+    headed = tables.keep(headed.select("h", "part", "key", "n", "pos", F.col("head.key").alias("anchor"), F.col("head.n").alias("anchor_n"), "m"), "prefix-lists")
+    columns = ["h", "key", "n", "pos", "anchor", "anchor_n"]
+    if not any_hot:
+        return headed.select(columns)
+    hot = headed.filter("part >= 0")
+    heads = hot.filter("key = anchor").groupBy("h").agg(F.min(F.struct("key", "n")).alias("head"), F.sum("m").alias("m")).filter("m > 1")
+    joined = hot.select("h", "key", "n", "pos").join(heads.select("h", F.col("head.key").alias("anchor"), F.col("head.n").alias("anchor_n")), "h")
+    return headed.filter("part < 0").select(columns).unionByName(joined.select(columns))
+
+
+def cross_pairs(lists: DataFrame, families: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs (a, b) of sets in different families that the length and positional filters allow.
+
+    In each list those outside the list's own family (its anchor's) meet all others.
+    """
     home = families.select(F.col("node").alias("k"), F.col("component").alias("f"))
     placed = lists.select("h", "key", "n", "pos", "anchor").join(home, F.col("key") == F.col("k"), "left").withColumn("f", F.coalesce("f", "key")).drop("k")
     placed = placed.join(home.select(F.col("k").alias("ka"), F.col("f").alias("fa")), F.col("anchor") == F.col("ka"), "left").withColumn("fa", F.coalesce("fa", "anchor"))
@@ -297,25 +325,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # at the first shingle that two sets share, no more than the rest of either can be shared; there a similar pair passes
     room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     kept = (F.col("h") == F.col("h2")) & (F.col("f") != F.col("f2")) & (F.col("at_home") | (F.col("key") < F.col("key2"))) & (100 * F.least("n", "n2") >= rule.percent * F.greatest("n", "n2")) & ((100 + rule.percent) * room >= rule.percent * (F.col("n") + F.col("n2")))
-    met = mixed.join(strays, kept).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+    return mixed.join(strays, kept).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rule: Rule = NEAR) -> DataFrame:
+    """Per row: the key as `id_col`, n_shingles, component_id."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    tables = Tables(rows.sparkSession)
+    found = tables.keep(summaries(rows, rule.size), "shingle-sets")
+    counts = bucket_counts(found)
+    per_doc = found.filter("chunk IS NULL").select("doc", "n", "key", "key2", "outline")
+    # different sets with one 64-bit key: by n sets of which n * n / 2^65 are expected, so there are few if any
+    clashing = per_doc.filter("n > 0").groupBy("key").agg(F.min("key2").alias("one"), F.max("key2").alias("two")).filter("one <> two").select("key")
+    clashing = frozenset(r[0] for r in clashing.collect())
+    if clashing:
+        per_doc = per_doc.withColumn("key", F.when(F.col("key").isin(*clashing), F.col("key2")).otherwise(F.col("key")))
+    # equal sets have equal sizes and outlines
+    reps = tables.keep(per_doc.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("outline").alias("outline")), "representatives")
+
+    lists = prefix_lists(postings(rows, counts, rule, clashing), bool((counts > HOT_LIST).any()), tables)
+    prefix = lambda n: F.col(n) - F.ceil(F.col(n) * rule.percent / 100) + 1
+    strong = lists.filter("key <> anchor").groupBy("key", "anchor", "n", "anchor_n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= STRONG * F.least(prefix("n"), prefix("anchor_n")))
+    families = tables.keep(connected_components(strong, "key", "anchor"), "families")
+
     # the suffix filter needs outlines alone: sets are made only for pairs that pass it
-    line = lambda side: reps.select(F.col("key").alias(side), F.col("n").alias(f"size_{side}"), *[F.col(o).alias(f"{side}{i}") for i, o in enumerate(OUTLINE)])
-    outlined = met.join(line("a"), "a").join(line("b"), "b")
-    pairs = materialise(outlined.filter(suffix_passes(rule.percent)).select("a", "b"), "pairs")
+    line = lambda side: reps.select(F.col("key").alias(side), F.col("n").alias(f"size_{side}"), F.col("outline").alias(f"outline_{side}"))
+    outlined = cross_pairs(lists, families, rule).join(line("a"), "a").join(line("b"), "b")
+    pairs = tables.keep(outlined.filter(may_link(rule.percent)("outline_a", "outline_b", "size_a", "size_b")).select("a", "b"), "pairs")
+    tables.drop("prefix-lists")
 
-    sizes = families.groupBy("component").agg(F.count("*").alias("members"))
-    in_family = families.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("family"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+    sizes = families.join(reps.select(F.col("key").alias("node"), "n"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
+    in_family = families.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("family"), "tiles")
     in_pair = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     members = in_family.withColumn("paired", F.lit(False)).unionByName(in_pair.withColumn("paired", F.lit(True)), allowMissingColumns=True)
     needed = members.groupBy("key").agg(F.max("family").alias("family"), F.max("tiles").alias("tiles"), F.max("paired").alias("paired"))
-    wanted = materialise(reps.select("rep", "key").join(needed, "key"), "wanted")
+    wanted = tables.keep(reps.select("rep", "key").join(needed, "key"), "wanted")
     texts = sieved(rows, wanted).join(wanted, F.col("doc") == F.col("rep")).select("key", "family", "tiles", "paired", "text")
 
+    def mark(keys: np.ndarray) -> int:
+        one, two = set_keys(keys)
+        return two if one in clashing else one
+
     def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = as_bytes(batch.column(0))
-            for i, k in by_bytes(own, 1 << 21):
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(shingles(t, rule.size)) for t in own[i:k]], pa.int64()), batch.column(0).slice(i, k - i)], names=["own", "text"])
+            for i, k in by_bytes(own, TEXT_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(map(mark, shingle_sets(own[i:k], rule.size)), pa.int64()), batch.column(0).slice(i, k - i)], names=["own", "text"])
 
     # sets that only rows without an id hold are found by their key, one text each
     nameless = rows.filter("doc IS NULL AND text IS NOT NULL").select("text").mapInArrow(to_keys, "own long, text string").groupBy("own").agg(F.first("text").alias("text"))
@@ -323,27 +378,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # rows with a repeated id may have another text; a set that comes twice only gives the same links again
-            sets = [shingles(own, rule.size) for own in as_bytes(batch.column("text"))]
-            same = pa.array([set_key(s) == k for k, s in zip(batch.column("key").to_pylist(), sets, strict=True)], pa.bool_())
-            held = batch.select(["key", "family", "tiles", "paired"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield held.filter(same)
-
-    sets = materialise(texts.mapInArrow(to_sets, "key long, family long, tiles int, paired boolean, shingles binary"), "sets")
+            own = as_bytes(batch.column("text"))
+            for i, k in by_bytes(own, TEXT_BYTES):
+                part = batch.slice(i, k - i)
+                # rows with a repeated id may have another text; a set that comes twice only gives the same links again
+                sets = list(shingle_sets(own[i:k], rule.size))
+                same = pa.array([mark(s) == key for key, s in zip(part.column("key").to_pylist(), sets, strict=True)], pa.bool_())
+                held = part.select(["key", "family", "tiles", "paired"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
+                yield held.filter(same)
+
+    sets = tables.keep(texts.mapInArrow(to_sets, "key long, family long, tiles int, paired boolean, shingles binary"), "sets")
     inside = family_links(sets.filter("family IS NOT NULL").select("family", "tiles", "key", "shingles"), rule.percent)
     paired = sets.filter("paired").select("key", "shingles")
     verified = pairs.join(paired.toDF("a", "set_a"), "a").join(paired.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))
-    links = materialise(inside.unionByName(verified.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "links")
+    links = tables.keep(inside.unionByName(verified.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "links")
+    tables.drop("wanted", "sets", "pairs", "families")
 
     # components by key, named by their smallest document
     groups = connected_components(links).select(F.col("node").alias("key"), "component")
     named = reps.select("key", "rep").join(groups, "key")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_key = named.join(smallest, "component").select("key", "component_id")
-    classes = reps.select("key", "rep").join(by_key, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    # a table of its own, so that Spark can split the rows of a set that very many documents have
+    classes = tables.keep(reps.select("key", "rep").join(by_key, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")), "classes")
+    tables.drop("links", "representatives")
     out = per_doc.select("doc", "n", F.when(F.col("n") > 0, F.col("key")).alias("own")).join(classes, F.col("own") == F.col("key"), "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
+
 OP7_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
