@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -11,7 +10,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shutterloom.scratch import shared_dir
 
 #: A-Z to lower case; everything ASCII that is neither a letter nor a digit to a space.
 ALNUM_TABLE = bytes(
@@ -31,23 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is `spark.checkpoint.dir`; only where that is unset (tests, a laptop)
-    a temporary folder of this machine is taken and set as checkpoint folder.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    own = f"file://{tempfile.mkdtemp(prefix='shutterloom-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
     return Tables(df.sparkSession).keep(df, name)
@@ -74,10 +59,22 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df.checkpoint()` in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Longs of bits of a sieve.
+SIEVE_WORDS = 1 << 18
+
+
+def sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows whose 64-bit `key` may be a `wanted_key`, so that other rows aren't shuffled to a join.
+
+    Keys set bits of SIEVE_WORDS longs, which bounds what is broadcast; a full
+    sieve lets all rows through and changes no result.
+    """
+    place = lambda c: F.pmod(c, F.lit(64 * SIEVE_WORDS))
+    marked = wanted.select(place(wanted_key).alias("_p")).select(F.shiftright("_p", 6).alias("_word"), F.expr("shiftleft(1L, cast(_p % 64 AS int))").alias("_bit"))
+    bits = marked.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    own = rows.withColumn("_p", place(key))
+    kept = own.join(F.broadcast(bits), (F.shiftright("_p", 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, cast(_p % 64 AS int))")) != 0), "left_semi")
+    return kept.drop("_p")
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -121,6 +118,40 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class Words:
+    """The words of texts: `hashes` in order, `begins` (for each text and the end, the number of words before it), and their bytes."""
+
+    def __init__(self, texts: list[bytes], table: bytes):
+        self.joined = joined = b" ".join(texts).translate(table) + b" "
+        whole = np.frombuffer(joined, np.uint8)
+        up, down = _powers(_FACTOR), _powers(_INVERSE)
+        hashes, starts, ends, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while at < len(whole):
+            stop = joined.rfind(b" ", at, at + _SPAN) + 1
+            if stop <= at:  # a word longer than a span
+                stop = joined.index(b" ", at) + 1
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(joined[at : stop - 1])], np.uint64))
+                starts.append(np.array([at]))
+                ends.append(np.array([stop - 1]))
+                at = stop
+                continue
+            b = whole[at:stop]
+            edges = np.flatnonzero(np.diff(b != 0x20, prepend=False))
+            start, end = edges[::2], edges[1::2]
+            total = np.cumsum(_VALUES[b] * up[: len(b)])
+            before = np.where(start > 0, total[start - 1], np.uint64(0))
+            hashes.append(_mixed((total[end - 1] - before) * down[start]))
+            starts.append(start + at)
+            ends.append(end + at)
+            at = stop
+        self.hashes, self.starts, self.ends = np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.begins = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(lengths + 1))))
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.joined[self.starts[i] : self.ends[i]]
+
+
 def hashed_words(texts: list[bytes], table: bytes = SPACED_TABLE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and for each text and the end the number of words before it.
 
@@ -128,29 +159,13 @@ def hashed_words(texts: list[bytes], table: bytes = SPACED_TABLE) -> tuple[np.nd
     words. A word's hash is a polynomial in its bytes' values, mixed, so that
     all words are hashed by differences of one running sum.
     """
-    joined = b" ".join(texts).translate(table) + b" "
-    whole = np.frombuffer(joined, np.uint8)
-    up, down = _powers(_FACTOR), _powers(_INVERSE)
-    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    while at < len(whole):
-        stop = joined.rfind(b" ", at, at + _SPAN) + 1
-        if stop <= at:  # a word longer than a span
-            stop = joined.index(b" ", at) + 1
-            hashes.append(np.array([xxhash.xxh3_64_intdigest(joined[at : stop - 1])], np.uint64))
-            places.append(np.array([at]))
-            at = stop
-            continue
-        b = whole[at:stop]
-        edges = np.flatnonzero(np.diff(b != 0x20, prepend=False))
-        start, end = edges[::2], edges[1::2]
-        total = np.cumsum(_VALUES[b] * up[: len(b)])
-        before = np.where(start > 0, total[start - 1], np.uint64(0))
-        hashes.append(_mixed((total[end - 1] - before) * down[start]))
-        places.append(start + at)
-        at = stop
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.concatenate(([0], np.cumsum(lengths + 1)))
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), begins)
+    words = Words(texts, table)
+    return words.hashes, words.begins
+
+
+def distinct(sorted_values: np.ndarray) -> np.ndarray:
+    """The distinct values of a sorted array."""
+    return sorted_values[np.diff(sorted_values, prepend=~sorted_values[:1]) != 0] if len(sorted_values) > 1 else sorted_values
 
 
 def one_thread() -> None:
@@ -184,6 +199,10 @@ class Memory:
             lacking.difference_update(kept)
         return list(lacking)
 
+    def clear(self) -> None:
+        """Forgets all; workers live on after a task."""
+        self.young, self.older = {}, {}
+
     def trim(self) -> None:
         """Keeps the bounds; call it between texts."""
         if len(self.young) > self.most:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.operators.components import connected_components
 
-from .common import SPACED_TABLE, Tables, as_bytes, by_bytes, hashed_words, table
+from .common import SPACED_TABLE, Tables, as_bytes, by_bytes, distinct, hashed_words, sieved, table
 
 #: Counters of shingle buckets; what is sent to all executors has this size (4 bytes each) for any input.
 BUCKETS = 1 << 22
@@ -46,8 +46,6 @@ HOT_LIST = 20_000
 TILE, TILE_BYTES = 2048, 16 << 20
 #: Bits of the outline of a small set; larger sets have a bit for about two shingles.
 OUTLINE_BITS = 256
-#: Longs of bits that tell which texts are wanted again.
-SIEVE_WORDS = 1 << 18
 #: Two representatives are strongly linked if they share this part of the shorter prefix.
 STRONG = 0.25
 #: Bytes of text whose shingles a task makes at once.
@@ -77,7 +75,7 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
         keys = _mixed_runs(h, size) if len(h) >= size else h[:0]
         for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False):
             own = np.sort(keys[a : b - size + 1]) if b - a >= size else _mixed_runs(h[a:b], b - a) if b > a else h[:0]
-            yield own[np.diff(own, prepend=~own[:1]) != 0] if len(own) > 1 else own
+            yield distinct(own)
 
 
 def _mixed_runs(h: np.ndarray, n: int) -> np.ndarray:
@@ -279,19 +277,6 @@ def similar(percent: int):
     return linked
 
 
-def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose `doc` may be a `rep` of `wanted`, so that other texts aren't shuffled.
-
-    Hashes of the ids set bits of SIEVE_WORDS longs, which bounds what is
-    broadcast; a full sieve lets all rows through and changes no result.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * SIEVE_WORDS))
-    word = lambda c: F.shiftright(place(c), 6)
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) AS int))")
-    bits = wanted.groupBy(word("rep").alias("word")).agg(F.bit_or(bit("rep")).alias("bits"))
-    return rows.join(F.broadcast(bits), (word("doc") == F.col("word")) & (F.col("bits").bitwiseAND(bit("doc")) != 0), "left_semi")
-
-
 def prefix_lists(listed: DataFrame, any_hot: bool, tables: Tables) -> DataFrame:
     """Lists (h, key, n, pos, anchor, anchor_n) of shingles in the prefixes of two sets or more; the anchor is the smallest key.
 
@@ -360,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = in_family.withColumn("paired", F.lit(False)).unionByName(in_pair.withColumn("paired", F.lit(True)), allowMissingColumns=True)
     needed = members.groupBy("key").agg(F.max("family").alias("family"), F.max("tiles").alias("tiles"), F.max("paired").alias("paired"))
     wanted = tables.keep(reps.select("rep", "key").join(needed, "key"), "wanted")
-    texts = sieved(rows, wanted).join(wanted, F.col("doc") == F.col("rep")).select("key", "family", "tiles", "paired", "text")
+    texts = sieved(rows, F.xxhash64("doc"), wanted, F.xxhash64("rep")).join(wanted, F.col("doc") == F.col("rep")).select("key", "family", "tiles", "paired", "text")
 
     def mark(keys: np.ndarray) -> int:
         one, two = set_keys(keys)
