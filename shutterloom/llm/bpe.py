@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -41,10 +43,18 @@ _SPACE_ENDS = [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
 
 #: White space in the sense of the tokenizers' pattern, twice in a row or more.
 _RUN = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}")
+#: Bytes that all white space beyond ASCII has, and a table that makes a space of white space in ASCII.
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_TO_SPACE = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 #: The byte-level pattern for texts without such runs, where it needs no look-ahead.
 _SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
 
+def has_run(raw: bytes, text: str) -> bool:
+    """Whether white space stands twice in a row; texts without any beyond ASCII are looked through as bytes."""
+    return bool(_RUN.search(text)) if any(s in raw for s in _WIDE) else b"  " in raw.translate(_TO_SPACE)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -159,10 +169,13 @@ class Codec:
         rest = []
         for i, raw in enumerate(texts):
             text = raw.decode("utf-8", "replace")
-            if self.ranked is None or len(raw) > PART_BYTES or self.has_special(text) or _RUN.search(text):
+            if self.ranked is None or len(raw) > PART_BYTES or self.has_special(text) or has_run(raw, text):
                 rest.append(i)
             else:
-                out[i] = np.array(self.ranked.encode_ordinary(text), "<u4").tobytes()
+                ids = array("I", self.ranked.encode_ordinary(text))
+                if sys.byteorder != "little":
+                    ids.byteswap()
+                out[i] = ids.tobytes()
         for i, packed in zip(rest, self.encode_all([texts[i] for i in rest]), strict=True):
             out[i] = packed
         return out

@@ -28,8 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shutterloom.scratch import shared_dir
+
 from . import bpe
-from .common import as_bytes, by_bytes, shared_dir, table
+from .common import as_bytes, by_bytes, table
 
 #: A shard ends with the document that fills it; longer documents have a shard of their own.
 SHARD_IDS = 1 << 19
@@ -61,7 +63,7 @@ def build(ids: np.ndarray, ends: np.ndarray, doc_ids: list[int | None]) -> bytes
             listing.append((ones, len(block)))
             blocks.append(block)
             ones += int(np.bitwise_count(raw).sum())
-        now = np.concatenate((now[~mask], now[mask]))
+        now = np.concatenate((np.compress(~mask, now), np.compress(mask, now)))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], "<i8")
     directory = packer.compress(np.array(listing, "<u4").tobytes() + alphabet.tobytes() + np.asarray(ends, "<u4").tobytes() + docs.tobytes() + known.tobytes())
@@ -157,8 +159,8 @@ class Shard:
             bits = np.concatenate([self.block(p, k) for k in range(self.per_plane)])[: self.n].view(bool) if self.n else np.zeros(0, bool)
             zeros = self.zeros[p]
             up = np.empty_like(now)
-            up[~bits] = now[:zeros]
-            up[bits] = now[zeros:] | (1 << (self.planes - 1 - p))
+            up[np.flatnonzero(~bits)] = now[:zeros]
+            up[np.flatnonzero(bits)] = now[zeros:] | (1 << (self.planes - 1 - p))
             now = up
         return self.alphabet[now]
 
@@ -182,13 +184,14 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for i, k in by_bytes(texts):
+            for i, k in by_bytes(texts, bpe.PART_BYTES):
                 for key, packed in zip(keys[i:k], own.encode_stream(texts[i:k]), strict=True):
                     held.append(packed + tail)
                     ends.append((ends[-1] if ends else 0) + len(packed) // 4 + 1)
                     ids.append(key)
                     if ends[-1] >= SHARD_IDS:
                         yield close()
+        own.known.clear()
         if ids:
             yield close()
 
@@ -199,42 +202,49 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     ordered.mapInArrow(shards, "part int, shard int, n_ids long, first_doc long, payload binary").write.option("compression", "uncompressed").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a folder of shards: doc_id, start (ids of all documents before it), ids.
-
-    The start is that in the shard plus the ids of the shards before, which
-    are summed over one row per file (not per document).
-    """
-    files = spark.read.parquet(path)
+def shard_starts(files: DataFrame) -> DataFrame:
+    """Rows (p, s, start): the ids before each shard, summed over one row per file (not per document)."""
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # as many rows as the writing job had tasks
     offsets = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("shard")
-    starts = files.select("part", "shard", "n_ids").withColumn("shard_start", F.sum("n_ids").over(inside) - F.col("n_ids")).join(offsets, "part").select(F.col("part").alias("p"), F.col("shard").alias("s"), (F.col("part_start") + F.col("shard_start")).alias("start"))
+    placed = files.select("part", "shard", "n_ids").withColumn("shard_start", F.sum("n_ids").over(inside) - F.col("n_ids")).join(offsets, "part")
+    return placed.select(F.col("part").alias("p"), F.col("shard").alias("s"), (F.col("part_start") + F.col("shard_start")).alias("start"))
+
+
+def documents(files: DataFrame, kind: str, of_shard) -> DataFrame:
+    """The documents of shard files: doc_id, start (ids of all documents before it), and the column `value`.
+
+    `of_shard` gives the column's Arrow values, of type `kind`, from a shard's ids and its documents' ends.
+    Only its result is shuffled, to meet the starts of the shards.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, number, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(payload)
-                tokens = shard.tokens()
-                begins = np.concatenate(([0], shard.ends[:-1]))
+                ends = np.concatenate(([0], shard.ends))
                 keys = pa.array(shard.doc_ids, pa.int64(), mask=~shard.doc_known)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], shard.ends)), pa.int32()), pa.array(tokens.view("<i4")))
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), keys, pa.array(begins, pa.int64()), lists], names=["part", "shard", "doc_id", "begin", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), keys, pa.array(ends[:-1]), pa.array(np.diff(ends)), of_shard(shard.tokens(), ends)], names=["part", "shard", "doc_id", "begin", "n_tokens", "value"])
+
+    out = files.select("part", "shard", "payload").mapInArrow(rows, f"part int, shard int, doc_id long, begin long, n_tokens long, value {kind}")
+    return out.join(shard_starts(files), (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s"))).select("doc_id", (F.col("begin") + F.col("start")).alias("start"), "n_tokens", "value")
 
-    out = files.select("part", "shard", "payload").mapInArrow(rows, "part int, shard int, doc_id long, begin long, ids array<int>")
-    return out.join(starts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s"))).select("doc_id", (F.col("begin") + F.col("start")).alias("start"), "ids")
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a folder of shards: doc_id, start, n_tokens, ids."""
+    lists = lambda tokens, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view("<i4")))
+    return documents(spark.read.parquet(path), "array<int>", lists).withColumnRenamed("value", "ids")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start, n_tokens and the crc32 of its ids, from the files in `path`."""
+    """Per document: doc_id, start, n_tokens and the crc32 of its ids, from the files in `path`; no ids leave the task that reads them."""
 
-    @F.arrow_udf("long")
-    def crc32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            yield pa.array([zlib.crc32(x.tobytes()) for x in bpe.id_slices(column)], pa.int64())
+    def crc32(tokens: np.ndarray, ends: np.ndarray) -> pa.Array:
+        packed = memoryview(tokens.astype("<u4", copy=False).tobytes())
+        return pa.array([zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.int64())
 
-    return read(spark, path).select("doc_id", F.col("start").cast("long"), F.size("ids").cast("long").alias("n_tokens"), crc32(F.col("ids")).alias("ids_crc32"))
+    return documents(spark.read.parquet(path), "long", crc32).withColumnRenamed("value", "ids_crc32")
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
