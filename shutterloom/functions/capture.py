@@ -27,9 +27,9 @@ def capture_ts_from_name(name: Column) -> Column:
 
 
 def parse_exif_ts(text: Column) -> Column:
-    """`YYYY?MM?DD?hh?mm?ss` by places, 19 characters at least; separators aren't looked at."""
+    """`YYYY?MM?DD?hh?mm?ss` by places, digits only in these, 19 characters at least; separators aren't looked at."""
     t = F.trim(text)
-    part = lambda at, n: F.substring(t, at, n).try_cast("int")
+    part = lambda at, n: F.regexp_extract(F.substring(t, at, n), rf"^(\d{{{n}}})$", 1).try_cast("int")
     return F.when(F.length(t) >= 19, make_ts_checked(part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), part(18, 2)))
 
 

@@ -46,10 +46,15 @@ def content_identity(content_hash: Column, quick_signature: Column, item_id: Col
 def phash_of_coefficients(coefficients: Column) -> Column:
     """64 transform coefficients as bits: bit i is set if coefficient i is above the median (mean of the 32nd and 33rd)."""
     wide = F.transform(coefficients, lambda x: x.cast("double"))
-    ordered = F.array_sort(wide)
-    median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    bits = F.transform(wide, lambda x, i: F.when(x > median, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(coefficients) == 64, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+
+    def bits(one: Column) -> Column:
+        median = (F.element_at(one["sorted"], 32) + F.element_at(one["sorted"], 33)) / 2
+        shifted = F.transform(one["c"], lambda x, i: F.when(x > median, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(shifted, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    # a list of one element names the sorted values, so that they are sorted once a row
+    once = F.transform(F.array(F.struct(wide.alias("c"), F.array_sort(wide).alias("sorted"))), bits)
+    return F.when(F.size(coefficients) == 64, F.element_at(once, 1))
 
 
 def frame_agreement(a: Column, b: Column, tolerance: int) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from shutterloom import schema
 
 
+#: Blanks and line ends of Unicode, as a character class.
+_BLANKS = r"\s\x0b\x85\p{Z}"
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)$", 1)
 
@@ -60,8 +64,9 @@ def normalize_path(path: Column) -> Column:
 
 
 def sanitize_component(text: Column, most: int = 120) -> Column:
-    """A file name component: separators become `-`, control signs go, blanks at the ends go, `most` code points at most."""
-    cleaned = F.trim(F.regexp_replace(F.translate(text, "/:", "--"), r"[\x00-\x1f]", ""))
+    """A file name component: separators become `-`, control signs go, blanks and line ends (of Unicode too) at the ends go, `most` code points at most."""
+    bare = F.regexp_replace(F.translate(text, "/:", "--"), r"[\x00-\x1f]", "")
+    cleaned = F.regexp_replace(bare, rf"^[{_BLANKS}]+|[{_BLANKS}]+$", "")
     return F.when(cleaned.isin("", ".", ".."), F.lit("_")).otherwise(F.left(cleaned, F.lit(most)))
 
 

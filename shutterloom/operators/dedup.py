@@ -118,6 +118,43 @@ def apply_decisions(members: DataFrame, kept: DataFrame | None = None, dispositi
     return members.withColumn("is_redundant", F.when(F.col("disposition") == "keepAll", False).when(F.col("disposition") == "discardAll", True).otherwise(~F.col("is_keep")))
 
 
+def of_kind(groups: DataFrame, dup_kind: str | None) -> DataFrame:
+    """Groups of one kind (exact, similarImage, similarVideo); all for None."""
+    return groups if dup_kind is None else groups.filter(F.col("dup_kind") == dup_kind)
+
+
+def toggle_keep(decided: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Members after a click on one member of some groups: `clicks` (group_id, item_id), one a group.
+
+    A kept member is given up unless it is the last one; another is kept too.
+    The group then goes by selection, whatever it had before, and its reason is
+    `manual`, unless nothing changed. `decided` comes from `apply_decisions`.
+    """
+    clicked = clicks.select(F.col("group_id").alias("_g"), F.col("item_id").alias("_i"))
+    own = Window.partitionBy("group_id")
+    rows = decided.join(clicked, F.col("group_id") == F.col("_g"), "left").withColumn("_hit", F.coalesce(F.col("item_id") == F.col("_i"), F.lit(False)))
+    rows = rows.withColumns({"_known": F.max("_hit").over(own), "_kept": F.count_if("is_keep").over(own), "_was": F.max(F.col("_hit") & F.col("is_keep")).over(own)})
+    changed = F.col("_known") & ~(F.col("_was") & (F.col("_kept") <= 1))
+    keep = F.when(changed & F.col("_hit"), ~F.col("is_keep")).otherwise(F.col("is_keep"))
+    reason = F.col("keep_reason") if "keep_reason" in decided.columns else F.lit(None).cast("string")
+    rows = rows.withColumns({"keep_reason": F.when(changed, F.lit("manual")).otherwise(reason), "is_keep": keep, "disposition": F.when(F.col("_known"), "bySelection").otherwise(F.col("disposition"))})
+    rows = rows.withColumn("is_redundant", F.when(F.col("disposition") == "keepAll", False).when(F.col("disposition") == "discardAll", True).otherwise(~F.col("is_keep")))
+    return rows.drop("_g", "_i", "_hit", "_known", "_kept", "_was")
+
+
+def toggle_disposition(dispositions: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Dispositions (group_id, disposition) after clicks on them, one a group: the same again means by selection."""
+    asked = clicks.select("group_id", F.col("disposition").alias("_new"))
+    both = dispositions.join(asked, "group_id", "full")
+    same = F.coalesce(F.col("disposition") == F.col("_new"), F.lit(False))
+    return both.select("group_id", F.when(F.col("_new").isNull(), F.col("disposition")).when(same, "bySelection").otherwise(F.col("_new")).alias("disposition"))
+
+
+def reset_decisions(members: DataFrame) -> DataFrame:
+    """All groups as recommended again: members of `groups_and_members` without any decision."""
+    return apply_decisions(members)
+
+
 def reclaimable(decided: DataFrame) -> DataFrame:
     """Bytes and files to be freed per group."""
     return decided.groupBy("group_id").agg(F.coalesce(F.sum(F.when(F.col("is_redundant"), F.col("file_size"))), F.lit(0)).alias("reclaimable_bytes"), F.count_if("is_redundant").alias("redundant_files"), F.min("disposition").alias("disposition"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,8 @@ from shutterloom.functions.fingerprint import colour_distance, frame_agreement,
 MOST_THRESHOLD, ASPECT_TOLERANCE, DURATION_TOLERANCE, COLOUR_TOLERANCE, FRAME_TOLERANCE = 20, 0.12, 0.15, 48.0, 0.4
 #: Bits that a band should have at least: narrower ones make lists that grow with the square of the input.
 BAND_BITS = 7
+#: Lists of a key hold about 2 to this many hashes at most, as far as up to three chunks together allow it.
+LIST_BITS = 6
 #: Hashes in a tile, where bands are too narrow.
 TILE = 4096
 
@@ -81,15 +86,41 @@ def _in_tiles(distinct: DataFrame, threshold: int) -> DataFrame:
     return found.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "distance")
 
 
+def chunk_groups(phash: Column, threshold: int, together: int) -> Column:
+    """Keys of a hash: all choices of `together` out of threshold + together chunks, with the chunks' values.
+
+    Two hashes within the threshold have at least `together` chunks in common,
+    so they share such a key.
+    """
+    parts = chunks(phash, threshold + together)
+    picks = list(combinations(range(len(parts)), together))
+    return F.array(*[F.struct(F.lit(i).alias("pick"), F.xxhash64(*[parts[c] for c in pick]).alias("value")) for i, pick in enumerate(picks)])
+
+
+def first_meeting(a: Column, b: Column, threshold: int, together: int) -> Column:
+    """The number of the choice made of the first `together` chunks that two hashes share; by it a pair is found once."""
+    same = F.filter(F.array(*[F.when(x == y, F.lit(i)) for i, (x, y) in enumerate(zip(chunks(a, threshold + together), chunks(b, threshold + together), strict=True))]), lambda i: i.isNotNull())
+    picks = {pick: i for i, pick in enumerate(combinations(range(threshold + together), together))}
+    listed = F.create_map(*[F.lit(x) for pick, i in picks.items() for x in (",".join(map(str, pick)), i)])
+    return listed[F.array_join(F.transform(F.slice(same, 1, together), lambda i: i.cast("string")), ",")]
+
+
 def _near(distinct: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a < b, distance) of distinct rows (k, h); a hash may occur more than once."""
+    """Pairs (a < b, distance) of distinct rows (k, h); a hash may occur more than once.
+
+    The more hashes there are, the more chunks a key takes together, so that
+    its bits grow with them and lists stay short.
+    """
     if 64 // (threshold + 1) < BAND_BITS:
         return _in_tiles(distinct, threshold)
-    banded = distinct.select("k", "h", F.explode(bands(F.col("h"), threshold)).alias("band"))
-    a, b = banded.toDF("ka", "ha", "band"), banded.toDF("kb", "hb", "band2")
+    most = distinct.count()
+    together = next((t for t in (1, 2, 3) if 64 * t // (threshold + t) >= math.log2(max(most, 2)) - LIST_BITS), 3)
+    keyed = distinct.select("k", "h", F.posexplode(chunk_groups(F.col("h"), threshold, together)).alias("_", "key")).drop("_")
+    a, b = keyed.toDF("ka", "ha", "key"), keyed.toDF("kb", "hb", "key2")
     near = hamming64(F.col("ha"), F.col("hb"))
-    found = a.join(b, (F.col("band") == F.col("band2")) & (F.col("ka") < F.col("kb")) & (near <= threshold))
-    return found.select(F.col("ka").alias("a"), F.col("kb").alias("b"), near.cast("int").alias("distance")).distinct()
+    found = a.join(b, (F.col("key") == F.col("key2")) & (F.col("ka") < F.col("kb")) & (near <= threshold))
+    once = found.filter(F.col("key.pick") == first_meeting(F.col("ha"), F.col("hb"), threshold, together))
+    return once.select(F.col("ka").alias("a"), F.col("kb").alias("b"), near.cast("int").alias("distance"))
 
 
 def hamming_pairs(items: DataFrame, threshold: int, key: str = "item_id", phash: str = "phash") -> DataFrame:
@@ -127,33 +158,28 @@ def image_links(items: DataFrame, threshold: int = 6, aspect: float = ASPECT_TOL
     return found.unionByName(star)
 
 
-def heads_meet(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two hashes share a chunk of the fixed layout."""
-    out = F.lit(False)
-    for start, bits in layout(threshold):
-        mask = F.lit((1 << bits) - 1)
-        out = out | (F.shiftrightunsigned(a, start).bitwiseAND(mask) == F.shiftrightunsigned(b, start).bitwiseAND(mask))
-    return out
-
-
 def video_links(videos: DataFrame, threshold: int = 6, frame_tolerance: float = FRAME_TOLERANCE, duration_tolerance: float = DURATION_TOLERANCE, strict_layout: bool = True) -> DataFrame:
     """Links (a, b, distance) between videos (item_id, frames, duration).
 
     At least a part of 1 - `frame_tolerance` of the frames must agree place by
-    place, so two linked videos share a band of some frame at one place: these
-    bands drive the join. `strict_layout` also asks that the first frames
-    share a chunk of the fixed layout. Above a threshold of 8 the bands are a few
-    bits wide and most pairs become candidates; use it on small catalogues.
+    place. `strict_layout` also asks that the first frames share a chunk of
+    the fixed layout; these chunks are then the key of the join. Without it
+    the bands of all frames are: above a threshold of 8 they are a few bits
+    wide and most pairs become candidates; use that on small catalogues.
     """
     threshold = min(MOST_THRESHOLD, max(0, threshold))
     if frame_tolerance >= 1:
         raise ValueError("a frame tolerance of 1 or more links all videos")
     known = videos.filter(F.size("frames") > 0).select("item_id", "frames", "duration")
-    banded = known.select("item_id", "frames", "duration", F.posexplode("frames").alias("place", "frame")).select("item_id", "frames", "duration", "place", F.explode(bands(F.col("frame"), threshold)).alias("band"))
-    a = banded.toDF("ka", "fa", "da", "pa", "ba")
-    b = banded.toDF("kb", "fb", "db", "pb", "bb")
-    pairs = a.join(b, (F.col("pa") == F.col("pb")) & (F.col("ba") == F.col("bb")) & (F.col("ka") < F.col("kb")) & duration_compatible(F.col("da"), F.col("db"), duration_tolerance)).dropDuplicates(["ka", "kb"])
-    scored = pairs.withColumn("s", frame_agreement(F.col("fa"), F.col("fb"), threshold)).filter(F.col("s.ratio") >= 1.0 - frame_tolerance)
     if strict_layout:
-        scored = scored.filter(heads_meet(F.element_at("fa", 1), F.element_at("fb", 1), threshold))
-    return scored.select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.round("s.mean").cast("int").alias("distance"))
+        first = F.element_at("frames", 1)
+        keys = F.array(*[F.struct(F.lit(i).alias("place"), F.shiftrightunsigned(first, start).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for i, (start, bits) in enumerate(layout(threshold))])
+        keyed = known.select("item_id", "frames", "duration", F.explode(keys).alias("key"))
+    else:
+        keyed = known.select("item_id", "frames", "duration", F.posexplode("frames").alias("place", "frame")).select("item_id", "frames", "duration", F.explode(F.transform(bands(F.col("frame"), threshold), lambda b: F.struct(F.col("place").alias("place"), b.alias("value")))).alias("key"))
+    a, b = keyed.toDF("ka", "fa", "da", "key"), keyed.toDF("kb", "fb", "db", "key2")
+    score = frame_agreement(F.col("fa"), F.col("fb"), threshold)
+    meet = (F.col("key") == F.col("key2")) & (F.col("ka") < F.col("kb")) & duration_compatible(F.col("da"), F.col("db"), duration_tolerance)
+    # pairs that agree are few, so they fall together after the test, by their ids alone
+    scored = a.join(b, meet).select(F.col("ka").alias("a"), F.col("kb").alias("b"), score.alias("s")).filter(F.col("s.ratio") >= 1.0 - frame_tolerance)
+    return scored.select("a", "b", F.round("s.mean").cast("int").alias("distance")).distinct()

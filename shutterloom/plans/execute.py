@@ -102,6 +102,6 @@ def undo_plan(journal: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def undo_report(undone: DataFrame) -> DataFrame:
-    """Per session: restored, removed copies, failed."""
+    """Per session: restored, removed copies (those that were still there), failed."""
     done = F.col("undo_status") == "undone"
-    return undone.groupBy("session_id").agg(F.count_if(done & (F.col("op_kind") != "copy")).alias("restored"), F.count_if(done & (F.col("op_kind") == "copy")).alias("removed_copies"), F.count_if(~done).alias("failed"))
+    return undone.groupBy("session_id").agg(F.count_if(done & (F.col("op_kind") != "copy")).alias("restored"), F.count_if(F.col("undo_action") == "trashCopy").alias("removed_copies"), F.count_if(~done).alias("failed"))

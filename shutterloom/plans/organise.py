@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shutterloom import schema
 from shutterloom.functions import templates, text
+from shutterloom.scratch import checkpointed, numbered
 
 #: Sources or labels of capture times in reasons.
 _BY_DEVICE = ("{camera}", "{make}", "{model}")
@@ -87,6 +88,18 @@ def considered(items: DataFrame, f: Filter, redundant: DataFrame | None = None,
     return rows.join(out.withColumn("_out", F.lit(True)), "parent_path", "left").withColumn("is_excluded", F.coalesce("_out", F.lit(False))).drop("_out")
 
 
+def kept_names(decided: DataFrame) -> DataFrame:
+    """Rows (group_id, keep_name): the first kept member's name, with the number of kept ones where there are several."""
+    kept = decided.filter(~F.col("is_redundant")).groupBy("group_id").agg(F.min_by(text.file_name(F.col("path")), "member_rank").alias("_first"), F.count("*").alias("_n"))
+    several = F.concat("_first", F.lit(schema.REASONS["several"][0]), F.col("_n").cast("string"), F.lit(schema.REASONS["several"][1]))
+    return kept.select("group_id", F.when(F.col("_n") > 1, several).otherwise(F.col("_first")).alias("keep_name"))
+
+
+def scan_counters(items: DataFrame) -> DataFrame:
+    """Of scanned items: cached_hits and failures."""
+    return items.agg(F.count_if(_column(items, "is_hit", "boolean")).alias("cached_hits"), F.count_if(_column(items, "error").isNotNull()).alias("failures"))
+
+
 def counters(rows: DataFrame) -> DataFrame:
     """considered, filtered_out, excluded: an excluded redundant item counts though it goes on."""
     passed = F.col("reject_reason").isNull()
@@ -109,8 +122,8 @@ def prepared(rows: DataFrame, rule: Rule, f: Filter) -> DataFrame:
     kept = kept.withColumn("stable_dir", join(base, folder(F.lit(0))))
     uses_seq = "{seq}" in rule.folder_template or "{seq}" in rule.rename_template
     if uses_seq:
-        order = Window.partitionBy("stable_dir").orderBy(F.asc_nulls_last("captured_at"), "file_name", "path")
-        kept = kept.withColumn("seq", F.row_number().over(order) - 1 + rule.sequence_start)
+        ranked = numbered(kept, ["stable_dir"], [F.asc_nulls_last("captured_at"), F.asc("file_name"), F.asc("path"), F.asc("item_id")], "seq")
+        kept = ranked.withColumn("seq", (F.col("seq") - 1 + rule.sequence_start).cast("int"))
     else:
         kept = kept.withColumn("seq", F.lit(rule.sequence_start))
     target = join(base, folder(F.col("seq"))) if "{seq}" in rule.folder_template else F.col("stable_dir")
@@ -164,13 +177,13 @@ def _resolver(policy: str):
                     if policy == "skip":
                         outcome = "skipped"
                     elif policy == "overwrite" and on_disk and not in_batch and not claimed:
-                        over, note = True, "（同名文件将先移入回收站，再落位）"
+                        over, note = True, schema.NOTES["replaced"]
                     else:
                         final = numbered(name)
                         if policy == "overwrite":
-                            note = "（与本次计划内其他文件重名，自动加序号）" if in_batch else "（目标位置的文件本次也要移动，自动加序号）"
+                            note = schema.NOTES["in_batch"] if in_batch else schema.NOTES["claimed"]
                         else:
-                            note = "（目标已存在，自动加序号）" if on_disk else "（与本次计划内其他文件重名，自动加序号）"
+                            note = schema.NOTES["on_disk"] if on_disk else schema.NOTES["in_batch"]
                 reserved.add(final)
                 for column, value in zip(out, (item, final, outcome, note, over), strict=True):
                     column.append(value)
@@ -180,41 +193,100 @@ def _resolver(policy: str):
     return resolve
 
 
+def _suffixed(name: Column, number: Column) -> Column:
+    """`name` with `_number` before its ending."""
+    ext = text.raw_extension(name)
+    return F.concat(text.stem(name), F.lit("_"), number.cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+
+
+def _without_number(names: DataFrame, name: str) -> DataFrame:
+    """Of `names` those that a number may have made from another name: base_name and the number are added."""
+    ext = text.raw_extension(F.col(name))
+    parts = F.regexp_extract(text.stem(F.col(name)), r"^(.+)_([1-9]\d{0,17})$", 1), F.regexp_extract(text.stem(F.col(name)), r"^(.+)_([1-9]\d{0,17})$", 2)
+    made = names.withColumn("_stem", parts[0]).filter("_stem <> ''")
+    return made.withColumn("base_name", F.concat("_stem", F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))).withColumn("number", parts[1].cast("long")).drop("_stem")
+
+
+def free_numbers(wanting: DataFrame, disk: DataFrame) -> DataFrame:
+    """For rows (target_dir, desired_name, item_id, turn) the turn-th number that no file on `disk` (disk_dir, disk_name) has: adds `number`.
+
+    With the taken numbers of a name in order, the i-th (from 1) being d, d - i
+    numbers before it are free; so a row's number is its turn plus how many
+    taken ones have fewer free numbers before them than its turn.
+    """
+    taken = _without_number(disk, "disk_name").join(wanting.select("target_dir", "desired_name").distinct(), (F.col("disk_dir") == F.col("target_dir")) & (F.col("base_name") == F.col("desired_name")), "left_semi").select("disk_dir", "base_name", "number").distinct()
+    place = F.row_number().over(Window.partitionBy("disk_dir", "base_name").orderBy("number"))
+    gaps = taken.withColumn("free", F.col("number") - place).groupBy("disk_dir", "base_name").agg(F.array_sort(F.collect_list("free")).alias("gaps"))
+    joined = wanting.join(gaps, (F.col("target_dir") == F.col("disk_dir")) & (F.col("desired_name") == F.col("base_name")), "left")
+    return joined.withColumn("number", F.col("turn") + F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("turn"))), F.lit(0))).drop("disk_dir", "base_name", "gaps")
+
+
 def resolved(rows: DataFrame, rule: Rule, inventory: DataFrame) -> DataFrame:
     """Rows to archive with final_name, outcome, note, overwrites.
 
-    Families in which all desired names differ and none is on disk keep their
-    names by columns alone; only contested families are replayed in scan
-    order, each for itself.
+    Who keeps a name and which number the others get is settled by columns.
+    Only where a number could make a name that another row asks for (`x` twice
+    beside `x_1`) the rows of that family are replayed in scan order.
     """
-    rows = rows.withColumns({"family": _family(F.col("desired_name")), "in_place": F.col("desired") == F.col("path")})
-    disk = inventory.select("path").distinct().select(text.parent(F.col("path")).alias("disk_dir"), text.file_name(F.col("path")).alias("disk_name"))
-    disk = disk.withColumn("disk_family", _family(F.col("disk_name")))
+    known = inventory.groupBy("path").agg(F.max(_column(inventory, "file_identity")).alias("disk_identity"))
+    disk = known.select(text.parent(F.col("path")).alias("disk_dir"), text.file_name(F.col("path")).alias("disk_name"), F.col("path").alias("disk_path"), "disk_identity")
     claimed = rows.select(F.col("path").alias("_c")).distinct()
     rows = rows.join(claimed, F.col("desired") == F.col("_c"), "left").withColumn("claimed", F.col("_c").isNotNull()).drop("_c")
-    own = rows.groupBy("target_dir", "family").agg(F.count("*").alias("m"), F.count_distinct("desired_name").alias("names"))
-    there = disk.groupBy(F.col("disk_dir").alias("target_dir"), F.col("disk_family").alias("family")).agg(F.lit(True).alias("met"))
-    contested = own.join(there, ["target_dir", "family"], "left").filter("m > names OR met").select("target_dir", "family")
-    marked = rows.join(contested.withColumn("contested", F.lit(True)), ["target_dir", "family"], "left")
-    calm = marked.filter("contested IS NULL").select("item_id", F.col("desired_name").alias("final_name"), F.when(F.col("in_place"), "alreadyPlaced").otherwise("transfer").alias("outcome"), F.lit("").alias("note"), F.lit(False).alias("overwrites"))
-    key = rows.schema["item_id"].dataType.simpleString()
-    names = ["target_dir", "family", "on_disk", "item_id", "desired_name", "in_place", "claimed", "scan_ordinal"]
-    busy = marked.filter("contested").withColumn("on_disk", F.lit(False)).select(*names)
-    met = disk.join(contested, (F.col("disk_dir") == F.col("target_dir")) & (F.col("disk_family") == F.col("family")), "left_semi")
-    kind = {f.name: f.dataType for f in busy.schema}
-    met = met.select(F.col("disk_dir").alias("target_dir"), F.col("disk_family").alias("family"), F.lit(True).alias("on_disk"), F.lit(None).cast(kind["item_id"]).alias("item_id"), F.col("disk_name").alias("desired_name"), F.lit(False).alias("in_place"), F.lit(False).alias("claimed"), F.lit(None).cast(kind["scan_ordinal"]).alias("scan_ordinal"))
-    ordered = busy.unionByName(met).repartition("target_dir", "family").sortWithinPartitions("target_dir", "family", F.desc("on_disk"), "scan_ordinal", "item_id")
-    replayed = ordered.drop("scan_ordinal").mapInArrow(_resolver(rule.conflict), _RESOLVED.format(key=key))
-    return rows.drop("family").join(calm.unionByName(replayed), "item_id")
+    rows = rows.join(disk.select("disk_path", "disk_identity"), F.col("desired") == F.col("disk_path"), "left").withColumn("on_disk", F.col("disk_path").isNotNull()).drop("disk_path")
+    in_place = text.normalize_path(F.col("desired")) == text.normalize_path(F.col("path"))
+    if "file_identity" in rows.columns:
+        # one file can have two paths: what stands at the wished place may be the item itself or another item's source
+        in_place |= F.coalesce(F.col("disk_identity") == F.col("file_identity"), F.lit(False))
+        owned = rows.select(F.col("file_identity").alias("_f")).filter("_f IS NOT NULL").distinct()
+        rows = rows.join(owned, F.col("disk_identity") == F.col("_f"), "left").withColumn("claimed", F.col("claimed") | F.col("_f").isNotNull()).drop("_f")
+    rows = rows.withColumn("in_place", in_place).drop("disk_identity")
+    turn = F.struct("scan_ordinal", "item_id")
+    first = rows.groupBy("target_dir", "desired_name").agg(F.min(turn).alias("first"), F.min(F.when(F.col("in_place"), turn)).alias("first_placed")).select(F.col("target_dir").alias("_d"), F.col("desired_name").alias("_n"), "first", "first_placed")
+    rows = rows.join(first, (F.col("target_dir") == F.col("_d")) & (F.col("desired_name") == F.col("_n"))).drop("_d", "_n")
+    is_first = turn == F.col("first")
+    over = F.lit(rule.conflict == "overwrite") & is_first & F.col("on_disk") & ~F.col("claimed") & ~F.col("in_place")
+    # the first row takes the name if it may; else only a file that is in its place has it
+    given = ~F.col("on_disk") | (F.lit(rule.conflict == "overwrite") & ~F.col("claimed"))
+    in_batch = (given & ~is_first) | F.coalesce(F.col("first_placed") < turn, F.lit(False))
+    meets = ~F.col("in_place") & (F.col("on_disk") | ~is_first)
+    rows = checkpointed(rows.withColumns({"meets": meets, "over": over, "in_batch": in_batch}).drop("first", "first_placed"))
+
+    wanting = rows.filter("meets AND NOT over")
+    if rule.conflict == "skip":
+        outcome = F.when(F.col("in_place"), "alreadyPlaced").when(F.col("meets"), "skipped").otherwise("transfer")
+        return rows.withColumns({"final_name": F.col("desired_name"), "outcome": outcome, "note": F.lit(""), "overwrites": F.lit(False)}).drop("in_place", "claimed", "on_disk", "meets", "over", "in_batch")
+
+    # names that a number may meet, and the families that have any
+    asked = _without_number(rows.select("target_dir", "desired_name").distinct(), "desired_name")
+    chained = asked.join(wanting.select(F.col("target_dir").alias("_d"), F.col("desired_name").alias("_n")).distinct(), (F.col("target_dir") == F.col("_d")) & (F.col("base_name") == F.col("_n")), "left_semi").select("target_dir", _family(F.col("desired_name")).alias("family")).distinct()
+    marked = rows.withColumn("family", _family(F.col("desired_name"))).join(chained.withColumn("chained", F.lit(True)), ["target_dir", "family"], "left").withColumn("chained", F.coalesce("chained", F.lit(False)))
+
+    turns = numbered(marked.filter("NOT chained AND meets AND NOT over").select("target_dir", "desired_name", "item_id", "scan_ordinal"), ["target_dir", "desired_name"], [F.asc("scan_ordinal"), F.asc("item_id")], "turn")
+    numbers = free_numbers(turns.select("target_dir", "desired_name", "item_id", "turn"), disk.select("disk_dir", "disk_name")).select("item_id", _suffixed(F.col("desired_name"), F.col("number")).alias("made"))
+    if rule.conflict == "overwrite":
+        why = F.when(F.col("in_batch"), schema.NOTES["in_batch"]).otherwise(schema.NOTES["claimed"])
+    else:
+        why = F.when(F.col("on_disk"), schema.NOTES["on_disk"]).otherwise(schema.NOTES["in_batch"])
+    note = F.when(F.col("over"), schema.NOTES["replaced"]).when(F.col("meets"), why).otherwise("")
+    calm = marked.filter("NOT chained").join(numbers, "item_id", "left").withColumns({"final_name": F.coalesce("made", "desired_name"), "outcome": F.when(F.col("in_place"), "alreadyPlaced").otherwise("transfer"), "note": note, "overwrites": F.col("over")})
+    names = [*rows.columns, "final_name", "outcome", "note", "overwrites"]
+
+    there = disk.withColumn("_family", _family(F.col("disk_name"))).join(chained, (F.col("disk_dir") == F.col("target_dir")) & (F.col("_family") == F.col("family")), "left_semi")
+    kind = {f.name: f.dataType for f in rows.schema}
+    met = there.select(F.col("disk_dir").alias("target_dir"), F.col("_family").alias("family"), F.lit(True).alias("listed"), F.lit(None).cast(kind["item_id"]).alias("item_id"), F.col("disk_name").alias("desired_name"), F.lit(False).alias("in_place"), F.lit(False).alias("claimed"), F.lit(None).cast(kind["scan_ordinal"]).alias("scan_ordinal"))
+    busy = marked.filter("chained").select("target_dir", "family", F.lit(False).alias("listed"), "item_id", "desired_name", "in_place", "claimed", "scan_ordinal")
+    ordered = busy.unionByName(met).repartition("target_dir", "family").sortWithinPartitions("target_dir", "family", F.desc("listed"), "scan_ordinal", "item_id")
+    replayed = ordered.drop("scan_ordinal").mapInArrow(_resolver(rule.conflict), _RESOLVED.format(key=kind["item_id"].simpleString()))
+    return calm.select(names).unionByName(marked.filter("chained").join(replayed, "item_id").select(names)).drop("in_place", "claimed", "on_disk", "meets", "over", "in_batch")
 
 
 def build(rows: DataFrame, rule: Rule, f: Filter, inventory: DataFrame) -> DataFrame:
     """Operations of considered rows: op_ordinal, op_kind, item_id, paths, reason, group_id, file_size, selected, overwrites_existing, target_dir."""
     ready = prepared(rows, rule, f)
     cleaned = F.col("is_redundant") & F.lit(f.clean_redundant)
-    label = F.create_map(*[F.lit(x) for kv in {"exact": "完全重复", "similarImage": "相似图片", "similarVideo": "相似视频"}.items() for x in kv])
+    label = F.create_map(*[F.lit(x) for kv in schema.GROUP_LABELS.items() for x in kv])
     kind = F.coalesce(label[F.col("dup_kind")], F.col("dup_kind"))
-    why = F.when(F.col("disposition") == "discardAll", F.concat(kind, F.lit(" · 已设为整组都不保留"))).otherwise(F.concat(kind, F.lit("冗余副本 · 同组保留「"), F.coalesce("keep_name", F.lit("组内保留项")), F.lit("」")))
+    why = F.when(F.col("disposition") == "discardAll", F.concat(kind, F.lit(schema.REASONS["discardAll"]))).otherwise(F.concat(kind, F.lit(schema.REASONS["kept"]), F.coalesce("keep_name", F.lit(schema.REASONS["unnamed"])), F.lit("」")))
     common = [F.col("scan_ordinal").alias("op_ordinal"), "item_id", F.col("path").alias("source_path")]
     rest = ["group_id", "file_size", F.col("kind").alias("media_kind"), "file_name"]
     trash = ready.filter(cleaned).select(*common, F.lit("trash").alias("op_kind"), F.lit(None).cast("string").alias("destination_path"), why.alias("reason"), *rest, F.lit(True).alias("selected"), F.lit(False).alias("overwrites_existing"), F.lit(None).cast("string").alias("target_dir"))
@@ -224,11 +296,11 @@ def build(rows: DataFrame, rule: Rule, f: Filter, inventory: DataFrame) -> DataF
     final = F.concat("target_dir", F.lit("/"), "final_name")
     moved = F.lit("copy") if rule.transfer == "copy" else F.when(F.col("target_dir") == text.parent(F.col("path")), "rename").otherwise("move")
     by_device = any(v in rule.folder_template for v in _BY_DEVICE)
-    about = F.concat(F.lit("按设备归档："), text.camera_label(_column(done, "make"), _column(done, "model"))) if by_device else F.when(F.col("captured_at").isNotNull(), F.concat(F.lit("拍摄时间 "), text.captured_label(F.col("captured_at")), F.lit("（来源："), F.col("time_source"), F.lit("）"))).otherwise("拍摄时间未识别")
-    reason = F.concat_ws(" · ", about, F.lit("按命名规则重命名" if rule.rename_template.strip() else None), F.when(_column(done, "latitude", "double").isNotNull(), "含 GPS"), F.nullif(F.col("note"), F.lit("")))
+    about = F.concat(F.lit(schema.REASONS["by_device"]), text.camera_label(_column(done, "make"), _column(done, "model"))) if by_device else F.when(F.col("captured_at").isNotNull(), F.concat(F.lit(schema.REASONS["taken"]), text.captured_label(F.col("captured_at")), F.lit(schema.REASONS["source"]), F.col("time_source"), F.lit("）"))).otherwise(schema.REASONS["no_time"])
+    reason = F.concat_ws(" · ", about, F.lit(schema.REASONS["renamed"] if rule.rename_template.strip() else None), F.when(_column(done, "latitude", "double").isNotNull(), schema.REASONS["gps"]), F.nullif(F.col("note"), F.lit("")))
     op = F.when(F.col("outcome") == "transfer", moved).otherwise(F.col("outcome"))
     place = F.when(F.col("outcome") == "alreadyPlaced", F.col("path")).otherwise(final)
-    said = F.when(F.col("outcome") == "alreadyPlaced", "已在目标位置，无需处理").when(F.col("outcome") == "skipped", "目标已存在，按策略跳过").otherwise(reason)
+    said = F.when(F.col("outcome") == "alreadyPlaced", schema.REASONS["placed"]).when(F.col("outcome") == "skipped", schema.REASONS["skipped"]).otherwise(reason)
     archive = done.select(*common, op.alias("op_kind"), place.alias("destination_path"), said.alias("reason"), F.lit(None).cast(ready.schema["group_id"].dataType).alias("group_id"), *rest[1:], (F.col("outcome") == "transfer").alias("selected"), F.col("overwrites").alias("overwrites_existing"), "target_dir")
     return trash.unionByName(archive)
 
@@ -240,11 +312,15 @@ def trash_only(items: DataFrame, picked: DataFrame) -> DataFrame:
 
 
 def trash_only_warnings(members: DataFrame, picked: DataFrame) -> DataFrame:
-    """Rows (code, n): groups picked as a whole, picked members that are to be kept."""
+    """Rows (code, n, bytes): files picked and their bytes, groups picked as a whole and their members, picked members that are to be kept."""
+    whole = F.col("disposition") == "keepAll" if "disposition" in members.columns else F.lit(False)
+    stays = whole | (F.col("is_keep") & (F.col("disposition") != "discardAll") if "disposition" in members.columns else F.col("is_keep"))
     mine = members.join(picked.select("item_id", F.lit(1).alias("p")), "item_id", "left")
-    per = mine.groupBy("group_id").agg(F.count("*").alias("m"), F.count("p").alias("k"), F.count_if(F.col("is_keep") & F.col("p").isNotNull()).alias("keepers"))
-    facts = per.agg(F.count_if(F.col("m") == F.col("k")).alias("whole_groups"), F.coalesce(F.sum("keepers"), F.lit(0)).alias("picked_keepers"))
-    return facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in ("whole_groups", "picked_keepers")])))
+    per = mine.groupBy("group_id").agg(F.count("*").alias("m"), F.count("p").alias("k"), F.count_if(stays & F.col("p").isNotNull()).alias("keepers"))
+    facts = per.agg(F.count_if(F.col("m") == F.col("k")).alias("whole_groups"), F.coalesce(F.sum(F.when(F.col("m") == F.col("k"), F.col("m"))), F.lit(0)).alias("whole_group_members"), F.coalesce(F.sum("keepers"), F.lit(0)).alias("picked_keepers"))
+    named = facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n"), F.lit(0).cast("long").alias("bytes")) for c in ("whole_groups", "whole_group_members", "picked_keepers")])))
+    total = picked.agg(F.count("*").alias("n"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("bytes"))
+    return total.select(F.lit("picked").alias("code"), "n", "bytes").unionByName(named)
 
 
 def transfer_summary(operations: DataFrame) -> DataFrame:
@@ -280,7 +356,8 @@ def warnings(rows: DataFrame, operations: DataFrame, rule: Rule, f: Filter, grou
     if groups is not None:
         hit = groups.filter(F.col("disposition") == "discardAll") if f.clean_redundant else groups
         code = "discarded_groups" if f.clean_redundant else "uncleaned_groups"
-        out = out.unionByName(one(hit.agg(F.count("*").alias("n")), [(code, "n", None)]))
+        sums = hit.agg(F.count("*").alias("n"), F.coalesce(F.sum("member_count"), F.lit(0)).alias("m"))
+        out = out.unionByName(one(sums, [(code, "n", None), *([("discarded_members", "m", None)] if f.clean_redundant else [])]))
     if rule.destination is not None:
         inside = rows.select("source_root").distinct().agg(F.count_if(text.is_under(F.lit(rule.destination), F.col("source_root"))).alias("n"))
         out = out.unionByName(one(inside.select(F.least("n", F.lit(1)).alias("n")), [("destination_inside_source", "n", None)]))
@@ -290,6 +367,21 @@ def warnings(rows: DataFrame, operations: DataFrame, rule: Rule, f: Filter, grou
     return out.unionByName(spark.createDataFrame(fixed, "code string, n long, bytes long")).filter("n > 0")
 
 
+def of_kinds(operations: DataFrame, *kinds: str) -> DataFrame:
+    """Operations of some kinds; all without any."""
+    return operations.filter(F.col("op_kind").isin(*kinds)) if kinds else operations
+
+
+def mutating(operations: DataFrame) -> DataFrame:
+    """What would change files: selected operations of mutating kinds."""
+    return operations.filter(F.col("selected") & F.col("op_kind").isin(*schema.MUTATING))
+
+
+def destructive(operations: DataFrame) -> DataFrame:
+    """What would go to the trash."""
+    return operations.filter(F.col("selected") & (F.col("op_kind") == "trash"))
+
+
 def select_operations(operations: DataFrame, on: bool, kinds: Sequence[str] = schema.MUTATING) -> DataFrame:
     """Set or clear the mark of mutating operations of some kinds."""
     hit = F.col("op_kind").isin(*[k for k in kinds if k in schema.MUTATING])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterloom.functions import capture, fingerprint, templates, text
@@ -123,14 +123,58 @@ def hamming_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.clusters(similarity.hamming_pairs(rows, 20, "vec_id").unionByName(similarity.equal_hash_links(rows, "vec_id")))
 
 
-@query()
+#: Hashes a few bits apart: of every three, the first one's with some bits turned.
+_CLOSE = _PHASH.replace("hashed AS", "plain AS") + """,
+hashed AS (SELECT a.vec_id, a.video_id, a.frame_idx, xor(b.h, CAST([0, 5, 1099512676360][a.vec_id % 3 + 1] AS HUGEINT)) AS h FROM plain a JOIN plain b ON b.vec_id = a.vec_id - a.vec_id % 3)"""
+
+
+def close_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir)
+    base = rows.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("v"), F.col("phash").alias("h"))
+    turned = F.element_at(F.array(*[F.lit(x).cast("long") for x in (0, 5, 1099512676360)]), (F.col("vec_id") % 3 + 1).cast("int"))
+    return rows.join(base, F.col("vec_id") - F.col("vec_id") % 3 == F.col("v")).select("vec_id", "video_id", "frame_idx", F.col("h").bitwiseXOR(turned).alias("phash"))
+
+
+_SIMILAR = _PHASH.replace("WITH raw", "WITH RECURSIVE raw") + """,
+items AS (SELECT vec_id AS item_id, h, 120000 * (1 + vec_id % 3) * (1 + vec_id % 3) AS pixels, vec_id * 10 AS file_size, concat('/v/', CAST(vec_id AS STRING), '.jpg') AS path FROM hashed),
+links AS (SELECT a.item_id AS a, b.item_id AS b, CAST(bit_count(CAST(xor(a.h, b.h) AS HUGEINT)) AS INT) AS distance FROM items a JOIN items b ON a.item_id < b.item_id AND bit_count(CAST(xor(a.h, b.h) AS HUGEINT)) <= {t}),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.seen = both_ways.a),
+member AS (SELECT min(seen) AS group_id, node AS item_id FROM reach GROUP BY node),
+per AS (SELECT group_id, count(*) AS member_count, count(DISTINCT h) AS identities FROM member JOIN items USING (item_id) GROUP BY group_id),
+far AS (SELECT group_id, max(distance) AS most FROM links JOIN member ON a = item_id GROUP BY group_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pixels DESC, file_size DESC) AS r FROM member JOIN items USING (item_id)),
+best AS (SELECT group_id, h AS best_hash, pixels AS best_pixels FROM ranked WHERE r = 1),
+rival AS (SELECT group_id, min_by(pixels, r) AS rival_pixels FROM ranked JOIN best USING (group_id) WHERE h <> best_hash GROUP BY group_id)
+SELECT group_id, CASE WHEN identities = 1 THEN 'exact' ELSE 'similarImage' END AS dup_kind, member_count, CAST(CASE WHEN identities = 1 THEN 0 ELSE most END AS INT) AS max_distance,
+  CASE WHEN identities = 1 THEN 'exactDuplicate' WHEN best_pixels <> rival_pixels THEN 'highestResolution' ELSE 'largestFile' END AS keep_reason
+FROM per JOIN far USING (group_id) JOIN best USING (group_id) LEFT JOIN rival USING (group_id)"""
+
+
+def _similar(hashed: DataFrame, threshold: int) -> DataFrame:
+    rows = hashed.select(F.col("vec_id").alias("item_id"), "phash", "frame_idx", "video_id")
+    items = rows.withColumns({"kind": F.lit("image"), "width": (F.lit(400) * (1 + F.col("item_id") % 3)).cast("int"), "height": (F.lit(300) * (1 + F.col("item_id") % 3)).cast("int"), "color_sig": F.lit(None).cast("array<short>"), "time_source": F.lit("exif"), "file_size": F.col("item_id") * 10, "path": F.concat(F.lit("/v/"), F.col("item_id").cast("string"), F.lit(".jpg")), "identity": F.concat(F.lit("h:"), F.col("phash").cast("string"))})
+    links = similarity.image_links(items, threshold).unionByName(dedup.identity_links(items))
+    return dedup.groups_and_members(items, dedup.clusters(links), links)[0]
+
+
+@query(_SIMILAR.replace("{t}", "20"))
 def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images with perceptual hashes in one graph of exact and near links."""
-    rows = frames(spark, sf_dir).select(F.col("vec_id").alias("item_id"), "phash", "frame_idx", "video_id")
-    items = rows.withColumns({"kind": F.lit("image"), "width": (F.lit(400) * (1 + F.col("item_id") % 3)).cast("int"), "height": (F.lit(300) * (1 + F.col("item_id") % 3)).cast("int"), "color_sig": F.lit(None).cast("array<short>"), "time_source": F.lit("exif"), "file_size": F.col("item_id") * 10, "path": F.concat(F.lit("/v/"), F.col("item_id").cast("string"), F.lit(".jpg")), "identity": F.concat(F.lit("h:"), F.col("phash").cast("string"))})
-    links = similarity.image_links(items, 20).unionByName(dedup.identity_links(items))
-    groups, _ = dedup.groups_and_members(items, dedup.clusters(links), links)
-    return groups
+    return _similar(frames(spark, sf_dir), 20)
+
+
+@query(_SIMILAR.replace("{t}", "6").replace(_PHASH.replace("WITH raw", "WITH RECURSIVE raw"), _CLOSE.replace("WITH raw", "WITH RECURSIVE raw")))
+def similar_groups_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `similar_groups` with the usual threshold, over hashes a few bits apart."""
+    return _similar(close_frames(spark, sf_dir), 6)
+
+
+@query(_NEAR.replace("<= 20", "<= 8").replace(_PHASH, _CLOSE) + " SELECT a, b, distance FROM links")
+def hamming_join_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the largest threshold that is joined by chunks."""
+    rows = close_frames(spark, sf_dir)
+    return similarity.hamming_pairs(rows, 8, "vec_id").unionByName(similarity.equal_hash_links(rows, "vec_id"))
 
 
 _SEQ = _PHASH + ", seqs AS (SELECT video_id, list(h ORDER BY frame_idx) AS f FROM hashed GROUP BY video_id), d AS (SELECT a.video_id AS a, b.video_id AS b, list_transform(range(1, least(len(a.f), len(b.f)) + 1), lambda i: bit_count(CAST(xor(a.f[i], b.f[i]) AS HUGEINT))) AS ds, greatest(len(a.f), len(b.f)) AS n FROM seqs a JOIN seqs b ON b.video_id = a.video_id + 1)"
@@ -144,11 +188,29 @@ def frame_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.inline(F.array(fingerprint.frame_agreement(F.col("fa"), F.col("fb"), 28))))
 
 
-@query()
+_VIDEO = _PHASH + """,
+videos AS (SELECT vec_id AS item_id, list_transform([0, 5, 9, 33, 1048577], lambda x: xor(h, CAST(x AS HUGEINT))) AS f, CAST(60 + vec_id % 4 * 5 AS DOUBLE) AS d FROM hashed),
+pairs AS (SELECT a.item_id AS a, b.item_id AS b, list_transform(range(1, 6), lambda i: CAST(bit_count(CAST(xor(a.f[i], b.f[i]) AS HUGEINT)) AS INT)) AS ds FROM videos a JOIN videos b ON a.item_id < b.item_id AND abs(a.d - b.d) / greatest(a.d, b.d) <= 0.15
+  AND len(list_filter(range(0, 64, {bits}), lambda s: (a.f[1] >> CAST(s AS HUGEINT)) % (1 << {bits}) = (b.f[1] >> CAST(s AS HUGEINT)) % (1 << {bits}))) > 0)
+SELECT a, b, CAST(round(list_sum(ds) / 5.0) AS INT) AS distance FROM pairs WHERE len(list_filter(ds, lambda x: x <= {t})) / 5.0 >= 0.6"""
+
+
+def _videos(hashed: DataFrame) -> DataFrame:
+    """Each hash as a video of five frames, some bits apart."""
+    made = F.transform(F.array(*[F.lit(x).cast("long") for x in (0, 5, 9, 33, 1048577)]), lambda x: F.col("phash").bitwiseXOR(x))
+    return hashed.select(F.col("vec_id").alias("item_id"), made.alias("frames"), (60 + F.col("vec_id") % 4 * 5).cast("double").alias("duration"))
+
+
+@query(_VIDEO.replace("{t}", "20").replace("{bits}", "3"))
 def video_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Videos of five frames that agree in three of them."""
-    seqs = frames(spark, sf_dir).groupBy(F.col("video_id").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "phash"))), lambda x: x["phash"]).alias("frames"), F.lit(None).cast("double").alias("duration"))
-    return similarity.video_links(seqs, 20, strict_layout=True)
+    """Videos whose first frames share a chunk, of like lengths, that agree in three frames of five."""
+    return similarity.video_links(_videos(frames(spark, sf_dir)), 20)
+
+
+@query(_VIDEO.replace("{t}", "6").replace("{bits}", "9").replace(_PHASH, _CLOSE))
+def video_groups_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `video_groups` with the usual threshold."""
+    return similarity.video_links(_videos(close_frames(spark, sf_dir)), 6)
 
 
 @query(_DOCS + """
@@ -226,16 +288,39 @@ def plan_folder_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organise.folder_preview(_plan(spark, sf_dir, "skip")[1], "/out")
 
 
-@query()
+_WHY = "CASE WHEN captured_at IS NULL THEN '拍摄时间未识别' ELSE concat('拍摄时间 ', strftime(captured_at, '%Y-%m-%d %H:%M:%S'), '（来源：', time_source, '）') END"
+_NUMBER = "concat(target_dir, '/', regexp_replace(file_name, '\\.jpg$', ''), '_', CAST({n} AS STRING), '.jpg')"
+
+
+@query(_SKIP + f"""
+SELECT item_id, 'move' AS op_kind, CASE WHEN on_disk THEN {_NUMBER.format(n='turn')} WHEN turn > 1 THEN {_NUMBER.format(n='turn - 1')} ELSE desired END AS destination_path,
+  concat({_WHY}, CASE WHEN on_disk THEN ' · （目标已存在，自动加序号）' WHEN turn > 1 THEN ' · （与本次计划内其他文件重名，自动加序号）' ELSE '' END) AS reason FROM placed""")
 def plan_auto_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, "autoNumber")[1].select("item_id", "op_kind", "destination_path", "reason")
 
 
-@query()
+@query(_SKIP + f"""
+SELECT item_id, 'move' AS op_kind, CASE WHEN turn > 1 THEN {_NUMBER.format(n='turn - 1')} ELSE desired END AS destination_path, on_disk AND turn = 1 AS overwrites_existing FROM placed""")
 def plan_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, "overwrite")[1].select("item_id", "op_kind", "destination_path", "overwrites_existing")
 
 
+@query(_SKIP + f""",
+taken AS (SELECT DISTINCT target_dir, file_name, 1 + item_id % 4 AS number FROM dirs WHERE item_id % 11 = 0 AND captured_at IS NOT NULL),
+wanting AS (SELECT *, row_number() OVER (PARTITION BY target_dir, file_name ORDER BY scan_ordinal) AS t FROM placed WHERE on_disk OR turn > 1),
+most AS (SELECT target_dir, file_name, max(t) AS t FROM wanting GROUP BY target_dir, file_name),
+listed AS (SELECT target_dir, file_name, unnest(range(1, t + 5)) AS number FROM most),
+free AS (SELECT *, row_number() OVER (PARTITION BY target_dir, file_name ORDER BY number) AS t FROM listed ANTI JOIN taken USING (target_dir, file_name, number)),
+given AS (SELECT item_id, number FROM wanting JOIN free USING (target_dir, file_name, t))
+SELECT item_id, CASE WHEN number IS NULL THEN desired ELSE {_NUMBER.format(n='number')} END AS destination_path FROM placed LEFT JOIN given USING (item_id)""")
+def plan_number_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers beside files that have some of them already."""
+    items, rule, f = order_items(spark, sf_dir), organise.Rule(conflict="autoNumber"), organise.Filter()
+    rows = organise.considered(items, f)
+    more = organise.prepared(rows.filter("item_id % 11 = 0 AND captured_at IS NOT NULL"), rule, f).select(F.concat("target_dir", F.lit("/"), text.stem(F.col("file_name")), F.lit("_"), (1 + F.col("item_id") % 4).cast("string"), F.lit(".jpg")).alias("path"))
+    return organise.build(rows, rule, f, _inventory(items, rule).unionByName(more)).select("item_id", "destination_path")
+
+
 @query(_SKIP + """
 SELECT * FROM (
   SELECT 'unknown_time' AS code, count(*) FILTER (captured_at IS NULL OR time_source = 'none') AS n, CAST(0 AS BIGINT) AS bytes FROM items
@@ -254,15 +339,24 @@ def plan_filter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organise.counters(organise.considered(order_items(spark, sf_dir), f))
 
 
-@query(_EXACT + """
-SELECT item_id, 'trash' AS op_kind, '完全重复冗余副本 · 同组保留「' || max(CASE WHEN r = 1 THEN file_name END) OVER (PARTITION BY group_id) || CASE WHEN false THEN '' ELSE '' END || '」' AS reason FROM ranked QUALIFY r > 1""")
-def plan_clean_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the trash operations of redundant copies."""
+_KEPT = _EXACT + """,
+decided AS (SELECT *, group_id % 3 = 1 AND item_id % 2 = 0 OR r = 1 AS kept, row_number() OVER (PARTITION BY group_id ORDER BY r = 1 DESC, file_size DESC, path, item_id) AS member_rank FROM ranked),
+names AS (SELECT group_id, concat(min_by(file_name, member_rank), CASE WHEN count(*) > 1 THEN concat(' 等 ', CAST(count(*) AS STRING), ' 份') ELSE '' END) AS keep_name FROM decided WHERE kept GROUP BY group_id)"""
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, groups, and members with some more kept ones."""
     items = docs_items(spark, sf_dir)
     groups, members = dedup.groups_and_members(items, dedup.exact_groups(items))
-    decided = dedup.apply_decisions(members)
-    names = decided.groupBy("group_id").agg(F.min_by(F.when(~F.col("is_redundant"), text.file_name(F.col("path"))), F.when(~F.col("is_redundant"), F.col("member_rank"))).alias("keep_name"))
-    redundant = decided.filter("is_redundant").join(names, "group_id").join(groups.select("group_id", "dup_kind"), "group_id")
+    more = members.filter("group_id % 3 = 1 AND item_id % 2 = 0").select("group_id", "item_id", F.lit(True).alias("keep"))
+    return items, groups, dedup.apply_decisions(members, more)
+
+
+@query(_KEPT + " SELECT item_id, 'trash' AS op_kind, concat('完全重复冗余副本 · 同组保留「', keep_name, '」') AS reason FROM decided JOIN names USING (group_id) WHERE NOT kept")
+def plan_clean_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the trash operations of redundant copies."""
+    items, groups, decided = _decided(spark, sf_dir)
+    redundant = decided.filter("is_redundant").join(organise.kept_names(decided), "group_id", "left").join(groups.select("group_id", "dup_kind"), "group_id")
     rule, f = organise.Rule(), organise.Filter(archive_files=False)
     rows = organise.considered(items, f, redundant)
     return organise.build(rows, rule, f, items.select("path").limit(0)).select("item_id", "op_kind", "reason")
@@ -346,11 +440,17 @@ def journal_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started", "finished")})
 
 
-@query(_JOURNAL + """, l AS (SELECT *, row_number() OVER (PARTITION BY session_id * 100 + seq % 10 ORDER BY seq DESC) AS r FROM j)
-SELECT count(*) FILTER (result = 'success') AS succeeded, count(*) FILTER (result = 'failed') AS failed, CAST(coalesce(sum(file_size) FILTER (result = 'success' AND op_kind = 'trash'), 0) AS BIGINT) AS reclaimed_bytes FROM l WHERE r = 1""")
+@query(_JOURNAL + """, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS place FROM j),
+l AS (SELECT *, CASE WHEN result = 'success' AND seq % 13 = 0 THEN 'skipped' ELSE result END AS outcome, row_number() OVER (PARTITION BY session_id, (place - place % 2) ORDER BY seq DESC) AS r FROM n)
+SELECT count(*) FILTER (outcome = 'success') AS succeeded, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped, CAST(coalesce(sum(file_size) FILTER (outcome = 'success' AND op_kind = 'trash'), 0) AS BIGINT) AS reclaimed_bytes,
+  (SELECT string_agg(source_path, ',' ORDER BY seq) FROM (SELECT source_path, seq FROM l WHERE r = 1 AND outcome = 'failed' ORDER BY seq LIMIT 12)) AS messages FROM l WHERE r = 1""")
 def execution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapted(spark, sf_dir, JOURNAL_EVENTS).withColumns({"op_id": F.col("session_id") * 100 + F.col("seq") % 10, "message": F.col("source_path")})
-    return execute.execution_report(rows).select("succeeded", "failed", "reclaimed_bytes")
+    """Two entries in a row of a session are of one operation, whose result is that of the second."""
+    rows = adapted(spark, sf_dir, JOURNAL_EVENTS)
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1
+    rows = rows.withColumns({"place": place, "result": F.when((F.col("result") == "success") & (F.col("seq") % 13 == 0), "skipped").otherwise(F.col("result")), "message": F.col("source_path")})
+    rows = rows.withColumn("op_id", F.struct("session_id", (F.col("place") - F.col("place") % 2).alias("pair")))
+    return execute.execution_report(rows).select("succeeded", "failed", "skipped", "reclaimed_bytes", F.array_join("messages", ",").alias("messages"))
 
 
 def _undo_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -363,7 +463,7 @@ def _undo_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query(_JOURNAL + """, s AS (SELECT *, op_kind = 'copy' AS is_copy, CASE WHEN op_kind = 'trash' THEN seq % 4 > 0 ELSE true END AND seq % 9 > 0 AS present, seq % 11 = 0 AS occupied FROM j WHERE result = 'success' AND NOT undone),
 t AS (SELECT *, is_copy OR (present AND NOT (op_kind = 'trash' AND occupied)) AS ok FROM s)
-SELECT session_id, count(*) FILTER (ok AND NOT is_copy) AS restored, count(*) FILTER (ok AND is_copy) AS removed_copies, count(*) FILTER (NOT ok) AS failed FROM t GROUP BY session_id""")
+SELECT session_id, count(*) FILTER (ok AND NOT is_copy) AS restored, count(*) FILTER (is_copy AND present) AS removed_copies, count(*) FILTER (NOT ok) AS failed FROM t GROUP BY session_id""")
 def undo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute.undo_report(execute.undo_plan(*_undo_inputs(spark, sf_dir)))
 
@@ -393,8 +493,8 @@ def time_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_items(spark, sf_dir).select("item_id", confidence(F.col("time_source")).alias("time_confidence"))
 
 
-@query(_EXACT + """, picked AS (SELECT item_id FROM items WHERE item_id % 2 = 0), per AS (SELECT group_id, count(*) AS m, count(picked.item_id) AS k, count(*) FILTER (r = 1 AND picked.item_id IS NOT NULL) AS keepers FROM ranked LEFT JOIN picked USING (item_id) GROUP BY group_id)
-SELECT 'whole_groups' AS code, count(*) FILTER (m = k) AS n FROM per UNION ALL SELECT 'picked_keepers', CAST(sum(keepers) AS BIGINT) FROM per""")
+@query(_EXACT + """, picked AS (SELECT item_id, file_size FROM items WHERE item_id % 2 = 0), per AS (SELECT group_id, count(*) AS m, count(picked.item_id) AS k, count(*) FILTER (r = 1 AND picked.item_id IS NOT NULL) AS keepers FROM ranked LEFT JOIN picked USING (item_id) GROUP BY group_id)
+SELECT 'picked' AS code, count(*) AS n, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes FROM picked UNION ALL SELECT 'whole_groups', count(*) FILTER (m = k), 0 FROM per UNION ALL SELECT 'whole_group_members', CAST(coalesce(sum(m) FILTER (m = k), 0) AS BIGINT), 0 FROM per UNION ALL SELECT 'picked_keepers', CAST(sum(keepers) AS BIGINT), 0 FROM per""")
 def cleanup_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = docs_items(spark, sf_dir)
     _, members = dedup.groups_and_members(items, dedup.exact_groups(items))

@@ -14,6 +14,28 @@ VIDEO_EXTENSIONS = ("mp4", "mov", "m4v", "3gp", "3g2", "qt", "mts", "m2ts", "m2t
 KIND_LABELS = {"image": "图片", "video": "视频", "other": "其他"}
 UNKNOWN_DEVICE, UNKNOWN_MAKE, UNKNOWN_MODEL, UNKNOWN_LENS = "未知设备", "未知厂商", "未知型号", "未知镜头"
 UNKNOWN_DATE_FOLDER, ROOT_FOLDER = "未识别日期", "根目录"
+#: Texts of a plan, as the catalogue's users know them.
+GROUP_LABELS = {"exact": "完全重复", "similarImage": "相似图片", "similarVideo": "相似视频"}
+NOTES = {
+    "replaced": "（同名文件将先移入回收站，再落位）",
+    "in_batch": "（与本次计划内其他文件重名，自动加序号）",
+    "claimed": "（目标位置的文件本次也要移动，自动加序号）",
+    "on_disk": "（目标已存在，自动加序号）",
+}
+REASONS = {
+    "discardAll": " · 已设为整组都不保留",
+    "kept": "冗余副本 · 同组保留「",
+    "unnamed": "组内保留项",
+    "several": (" 等 ", " 份"),
+    "by_device": "按设备归档：",
+    "taken": "拍摄时间 ",
+    "source": "（来源：",
+    "no_time": "拍摄时间未识别",
+    "renamed": "按命名规则重命名",
+    "gps": "含 GPS",
+    "placed": "已在目标位置，无需处理",
+    "skipped": "目标已存在，按策略跳过",
+}
 MUTATING = ("move", "rename", "copy", "trash")
 
 JOURNAL_SCHEMA = "id string, timestamp string, kind string, sourcePath string, destinationPath string, result string, message string, fileSize long, trashPath string, undone boolean"
