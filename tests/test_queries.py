@@ -1,6 +1,7 @@
 import pytest
 from oracle import check
 
+import shutterloom.function_queries  # noqa: F401 - registers its queries
 from shutterloom.queries import QUERIES, SQL
 
 
@@ -9,9 +10,8 @@ def test_query_equals_its_sql(spark, sf, name):
     check(spark, QUERIES[name], SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
