@@ -378,3 +378,26 @@ def next_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = files.filter("doc_id % 3 > 0").select("path", "file_size", F.lit("old").alias("source"))
     fresh = files.filter("doc_id % 4 = 0").select("path", (F.col("file_size") + 1).alias("file_size"), F.lit("new").alias("source"))
     return catalogue.cache_upsert(old, fresh, files.filter("doc_id % 5 > 0"))
+
+
+@query(_SKIP + f""",
+known AS (SELECT desired, max(CASE WHEN item_id % 2 = 0 THEN item_id ELSE item_id + 1000000000 END) AS ident FROM (SELECT item_id, concat(target_dir, '/', file_name) AS desired FROM dirs WHERE item_id % 7 = 0 AND captured_at IS NOT NULL) GROUP BY desired),
+p AS (SELECT placed.*, coalesce(ident = item_id, false) AS in_place, coalesce(ident < 1000000000, false) AS claimed FROM placed LEFT JOIN known USING (desired)),
+q AS (SELECT *, turn = 1 AND on_disk AND NOT claimed AND NOT in_place AS over, NOT in_place AND (on_disk OR turn > 1) AS meets FROM p),
+w AS (SELECT item_id, row_number() OVER (PARTITION BY target_dir, file_name ORDER BY scan_ordinal) AS number FROM q WHERE meets AND NOT over)
+SELECT item_id, CASE WHEN in_place THEN 'alreadyPlaced' ELSE 'move' END AS op_kind, CASE WHEN in_place THEN path WHEN number IS NULL THEN desired ELSE concat(target_dir, '/', regexp_replace(file_name, '\\.jpg$', ''), '_', CAST(number AS STRING), '.jpg') END AS destination_path, over AS overwrites_existing FROM q LEFT JOIN w USING (item_id)""")
+def plan_same_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files known by two paths: an item that is at its place already, and places that other items of the plan leave."""
+    items, rule, f = order_items(spark, sf_dir).withColumn("file_identity", F.col("item_id")), organise.Rule(conflict="overwrite"), organise.Filter()
+    rows = organise.considered(items, f)
+    there = organise.prepared(rows.filter("item_id % 7 = 0 AND captured_at IS NOT NULL"), rule, f)
+    files = there.groupBy(F.col("desired").alias("path")).agg(F.max(F.when(F.col("item_id") % 2 == 0, F.col("item_id")).otherwise(F.col("item_id") + 1_000_000_000)).alias("file_identity"))
+    return organise.build(rows, rule, f, files).select("item_id", "op_kind", "destination_path", "overwrites_existing")
+
+
+@query("WITH a AS (SELECT doc_id AS item_id FROM documents WHERE doc_id % 3 = 0), b AS (SELECT doc_id AS item_id FROM documents WHERE doc_id % 2 = 0) SELECT 'union' AS how, item_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', item_id FROM a SEMI JOIN b USING (item_id) UNION ALL SELECT 'subtract', item_id FROM a ANTI JOIN b USING (item_id)")
+def combined_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("item_id"))
+    a, b = ids.filter("item_id % 3 = 0"), ids.filter("item_id % 2 = 0")
+    one, two, three = (organise.combined(a, b, how).select(F.lit(how).alias("how"), "item_id") for how in ("union", "intersect", "subtract"))
+    return one.unionByName(two).unionByName(three)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterloom import schema
 from shutterloom.functions import text
+from shutterloom.scratch import checkpointed, numbered
 
+from . import similarity
 from .components import connected_components
 
 
@@ -59,20 +61,23 @@ def groups_and_members(items: DataFrame, membership: DataFrame, links: DataFrame
 
     groups: group_id, dup_kind, member_count, max_distance, keep_reason.
     members: group_id, item_id, member_rank (1 is the one to keep, then by size and path), is_keep, path, file_size.
-    A group is one of a component, so windows over it hold one group's rows.
+    The best member, the second and the best one with another content are
+    found by aggregations, members are numbered in parts, so that no task
+    holds a whole group.
     """
-    joined = membership.join(items, "item_id")
-    per = joined.groupBy("group_id").agg(F.count_distinct("identity").alias("identities"), F.count("*").alias("member_count"), F.min("kind").alias("kind")).filter("member_count > 1")
-    rows = joined.join(per.select("group_id", "identities", "member_count"), "group_id").withColumn("exact", F.col("identities") == 1)
-    by_rank = Window.partitionBy("group_id").orderBy(*rank_columns(F.col("exact")))
+    captured = F.col("captured_at") if "captured_at" in items.columns else F.lit(None).cast("timestamp_ntz")
+    used = ["item_id", "kind", "identity", "time_source", "width", "height", "file_size", "path"]
+    joined = checkpointed(membership.join(items.select(*used, captured.alias("captured")), "item_id"))
+    per = joined.groupBy("group_id").agg((F.min("identity") == F.max("identity")).alias("exact"), F.count("*").alias("member_count"), F.min("kind").alias("kind")).filter("member_count > 1")
     trust, depth = schema.confidence(F.col("time_source")), text.path_depth(F.col("path"))
     pixels = F.greatest(F.lit(0), F.col("width").cast("long") * F.col("height"))
-    captured = F.col("captured_at") if "captured_at" in items.columns else F.lit(None).cast("timestamp_ntz")
-    ranked = rows.withColumns({"r": F.row_number().over(by_rank), "trust": trust, "depth": depth, "pixels": pixels, "captured": captured})
-    view = F.struct("r", "trust", "depth", "pixels", "file_size", "captured", "identity")
-    best = ranked.groupBy("group_id").agg(F.min_by(view, "r").alias("best"), F.min(F.when(F.col("r") == 2, view)).alias("second"), F.first("exact").alias("exact"))
-    others = ranked.join(best.select("group_id", F.col("best.identity").alias("best_identity")), "group_id").filter("identity <> best_identity")
-    rival = others.groupBy("group_id").agg(F.min_by(view, "r").alias("rival"))
+    # all rank columns count upwards, so the smallest struct is the best member
+    order = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(rank_columns(F.col("exact")))])
+    view = F.struct(order.alias("order"), trust.alias("trust"), depth.alias("depth"), pixels.alias("pixels"), "file_size", "captured", "identity", "item_id")
+    rows = joined.join(per.select("group_id", "exact"), "group_id").select("group_id", "item_id", "path", "file_size", view.alias("v"))
+    best = rows.groupBy("group_id").agg(F.min("v").alias("best"))
+    beside = rows.join(best, "group_id").filter("v.item_id <> best.item_id")
+    others = beside.groupBy("group_id").agg(F.min("v").alias("second"), F.min(F.when(F.col("v.identity") != F.col("best.identity"), F.col("v"))).alias("rival"))
     exact_reason = F.when(F.col("best.trust") != F.col("second.trust"), "trustedTimestamp").when(F.col("best.depth") != F.col("second.depth"), "shallowestPath").otherwise("exactDuplicate")
     similar_reason = (
         F.when(F.col("rival").isNull(), "exactDuplicate")
@@ -82,22 +87,28 @@ def groups_and_members(items: DataFrame, membership: DataFrame, links: DataFrame
         .when(F.coalesce(F.col("best.captured") != F.col("rival.captured"), F.lit(False)), "earliestCapture")
         .otherwise("shallowestPath")
     )
-    reasons = best.join(rival, "group_id", "left").select("group_id", F.when(F.col("exact"), exact_reason).otherwise(similar_reason).alias("keep_reason"))
     if links is None:
         distances = per.select("group_id", F.lit(0).alias("most"))
     else:
         distances = links.join(membership, F.col("a") == F.col("item_id")).groupBy("group_id").agg(F.max("distance").alias("most"))
     similar = F.when(F.col("kind") == "video", "similarVideo").otherwise("similarImage")
-    groups = per.join(reasons, "group_id").join(distances, "group_id", "left").select(
+    groups = per.join(best, "group_id").join(others, "group_id").join(distances, "group_id", "left").select(
         "group_id",
-        F.when(F.col("identities") == 1, "exact").otherwise(similar).alias("dup_kind"),
+        F.when(F.col("exact"), "exact").otherwise(similar).alias("dup_kind"),
         "member_count",
-        F.when(F.col("identities") == 1, 0).otherwise(F.coalesce("most", F.lit(0))).cast("int").alias("max_distance"),
-        "keep_reason",
+        F.when(F.col("exact"), 0).otherwise(F.coalesce("most", F.lit(0))).cast("int").alias("max_distance"),
+        F.when(F.col("exact"), exact_reason).otherwise(similar_reason).alias("keep_reason"),
     )
-    shown = Window.partitionBy("group_id").orderBy(F.desc("is_keep"), F.desc("file_size"), "path", "item_id")
-    members = ranked.withColumn("is_keep", F.col("r") == 1).withColumn("member_rank", F.row_number().over(shown)).select("group_id", "item_id", "member_rank", "is_keep", "path", "file_size")
-    return groups, members
+    shown = rows.join(best, "group_id").select("group_id", "item_id", "path", "file_size", (F.col("v.item_id") == F.col("best.item_id")).alias("is_keep"))
+    members = numbered(shown, ["group_id"], [F.desc("is_keep"), F.desc("file_size"), F.asc("path"), F.asc("item_id")], "member_rank")
+    return groups, members.select("group_id", "item_id", F.col("member_rank").cast("int").alias("member_rank"), "is_keep", "path", "file_size")
+
+
+def _one_kept(members: DataFrame) -> DataFrame:
+    """Members with is_keep; a group that would be left with none keeps its first member."""
+    none = members.groupBy("group_id").agg(F.max("is_keep").alias("_any"), F.min("member_rank").alias("_first")).filter("NOT _any").select(F.col("group_id").alias("_g"), "_first")
+    left = members.join(none, F.col("group_id") == F.col("_g"), "left")
+    return left.withColumn("is_keep", F.col("is_keep") | F.coalesce(F.col("member_rank") == F.col("_first"), F.lit(False))).drop("_g", "_first")
 
 
 def apply_decisions(members: DataFrame, kept: DataFrame | None = None, dispositions: DataFrame | None = None) -> DataFrame:
@@ -109,8 +120,7 @@ def apply_decisions(members: DataFrame, kept: DataFrame | None = None, dispositi
     """
     if kept is not None:
         members = members.join(kept.select(F.col("group_id").alias("g"), F.col("item_id").alias("i"), "keep"), (F.col("group_id") == F.col("g")) & (F.col("item_id") == F.col("i")), "left").withColumn("is_keep", F.coalesce("keep", "is_keep")).drop("g", "i", "keep")
-    own = Window.partitionBy("group_id")
-    members = members.withColumn("is_keep", F.when(F.max(F.col("is_keep").cast("int")).over(own) == 0, F.col("member_rank") == F.min("member_rank").over(own)).otherwise(F.col("is_keep")))
+    members = _one_kept(members)
     if dispositions is None:
         members = members.withColumn("disposition", F.lit("bySelection"))
     else:
@@ -118,6 +128,18 @@ def apply_decisions(members: DataFrame, kept: DataFrame | None = None, dispositi
     return members.withColumn("is_redundant", F.when(F.col("disposition") == "keepAll", False).when(F.col("disposition") == "discardAll", True).otherwise(~F.col("is_keep")))
 
 
+def recluster(items: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of fingerprinted items at another threshold; hashes and contents aren't looked at again.
+
+    Images need phash, width, height and color_sig; videos, if any, frames and
+    duration.
+    """
+    links = identity_links(items).unionByName(similarity.image_links(items.filter("kind = 'image'"), threshold))
+    if "frames" in items.columns:
+        links = links.unionByName(similarity.video_links(items.filter("kind = 'video'"), threshold))
+    return groups_and_members(items, clusters(links), links)
+
+
 def of_kind(groups: DataFrame, dup_kind: str | None) -> DataFrame:
     """Groups of one kind (exact, similarImage, similarVideo); all for None."""
     return groups if dup_kind is None else groups.filter(F.col("dup_kind") == dup_kind)
@@ -131,10 +153,10 @@ def toggle_keep(decided: DataFrame, clicks: DataFrame) -> DataFrame:
     `manual`, unless nothing changed. `decided` comes from `apply_decisions`.
     """
     clicked = clicks.select(F.col("group_id").alias("_g"), F.col("item_id").alias("_i"))
-    own = Window.partitionBy("group_id")
     rows = decided.join(clicked, F.col("group_id") == F.col("_g"), "left").withColumn("_hit", F.coalesce(F.col("item_id") == F.col("_i"), F.lit(False)))
-    rows = rows.withColumns({"_known": F.max("_hit").over(own), "_kept": F.count_if("is_keep").over(own), "_was": F.max(F.col("_hit") & F.col("is_keep")).over(own)})
-    changed = F.col("_known") & ~(F.col("_was") & (F.col("_kept") <= 1))
+    facts = rows.filter("_g IS NOT NULL").groupBy(F.col("group_id").alias("_f")).agg(F.max("_hit").alias("_known"), F.count_if("is_keep").alias("_kept"), F.max(F.col("_hit") & F.col("is_keep")).alias("_was"))
+    rows = rows.join(facts, F.col("group_id") == F.col("_f"), "left").withColumn("_known", F.coalesce("_known", F.lit(False))).drop("_f")
+    changed = F.col("_known") & ~F.coalesce(F.col("_was") & (F.col("_kept") <= 1), F.lit(False))
     keep = F.when(changed & F.col("_hit"), ~F.col("is_keep")).otherwise(F.col("is_keep"))
     reason = F.col("keep_reason") if "keep_reason" in decided.columns else F.lit(None).cast("string")
     rows = rows.withColumns({"keep_reason": F.when(changed, F.lit("manual")).otherwise(reason), "is_keep": keep, "disposition": F.when(F.col("_known"), "bySelection").otherwise(F.col("disposition"))})
@@ -184,8 +206,6 @@ def roles(items: DataFrame, groups: DataFrame, decided: DataFrame) -> DataFrame:
 def prune(groups: DataFrame, members: DataFrame, alive: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups and members after items are gone: `alive` (item_id) stay; groups under two go; the first left is kept where none is."""
     left = members.join(alive.select("item_id"), "item_id", "left_semi")
-    own = Window.partitionBy("group_id")
-    left = left.withColumn("member_count", F.count("*").over(own)).filter("member_count > 1")
-    left = left.withColumn("is_keep", F.when(F.max(F.col("is_keep").cast("int")).over(own) == 0, F.col("member_rank") == F.min("member_rank").over(own)).otherwise(F.col("is_keep")))
-    counts = left.groupBy("group_id").agg(F.count("*").alias("member_count"))
-    return groups.drop("member_count").join(counts, "group_id"), left.drop("member_count")
+    counts = left.groupBy("group_id").agg(F.count("*").alias("member_count")).filter("member_count > 1")
+    left = _one_kept(left.join(counts.select("group_id"), "group_id", "left_semi"))
+    return groups.drop("member_count").join(counts, "group_id"), left

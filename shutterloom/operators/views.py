@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterloom import schema
@@ -86,9 +86,8 @@ def visible_folders(folders: DataFrame, collapsed: DataFrame) -> DataFrame:
 
 
 def has_children(folders: DataFrame) -> DataFrame:
-    """Folders with whether the next one in order is deeper (its own window per root)."""
-    order = Window.partitionBy("source_root").orderBy(F.split("path", "/"))
-    return folders.withColumn("has_children", F.coalesce(F.lead("depth").over(order) > F.col("depth"), F.lit(False)))
+    """Folders with whether any other lies directly in them."""
+    return child_counts(folders).withColumn("has_children", F.col("children") > 0).drop("children")
 
 
 def root_totals(items: DataFrame, exclusions: DataFrame) -> DataFrame:

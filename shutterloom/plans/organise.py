@@ -367,6 +367,12 @@ def warnings(rows: DataFrame, operations: DataFrame, rule: Rule, f: Filter, grou
     return out.unionByName(spark.createDataFrame(fixed, "code string, n long, bytes long")).filter("n > 0")
 
 
+def combined(one: DataFrame, two: DataFrame, how: str) -> DataFrame:
+    """A selection of items (item_id) by two others: union, intersect or subtract."""
+    a, b = one.select("item_id").distinct(), two.select("item_id").distinct()
+    return a.union(b).distinct() if how == "union" else a.join(b, "item_id", "left_semi" if how == "intersect" else "left_anti")
+
+
 def of_kinds(operations: DataFrame, *kinds: str) -> DataFrame:
     """Operations of some kinds; all without any."""
     return operations.filter(F.col("op_kind").isin(*kinds)) if kinds else operations

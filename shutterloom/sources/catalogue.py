@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,9 +28,9 @@ class ScanSettings:
 
 
 def roots(paths: Sequence[str]) -> list[str]:
-    """Source roots without those that lie in another one."""
+    """Source roots, `.` and `..` resolved, without those that lie in another one."""
     kept: list[str] = []
-    for p in sorted({("/" + "/".join(x for x in p.split("/") if x)) for p in paths}, key=lambda p: (len(p), p)):
+    for p in sorted({posixpath.normpath("/" + p.lstrip("/")) for p in paths}, key=lambda p: (len(p), p)):
         if not any(p == k or p.startswith(k.rstrip("/") + "/") for k in kept):
             kept.append(p)
     return kept
