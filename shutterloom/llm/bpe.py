@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import Memory, as_bytes, by_bytes, one_thread, tokenizer_path
+from .common import Memory, as_bytes, bounded_batches, by_bytes, one_thread, tokenizer_path
 
 #: Fragments of each generation that a task remembers, and the longest one that it keeps on.
-CACHE_ITEMS, CACHE_BYTES = 200_000, 96
+CACHE_ITEMS, CACHE_BYTES = 150_000, 96
 #: Texts are handled by so many bytes, a longer one in parts that end at forced boundaries.
 PART_BYTES = 1 << 20
 #: New fragments go to the library by so many bytes.
@@ -238,10 +238,13 @@ def encode(text: Column, tokenizer: str = "byte_bpe_50k.json") -> Column:
     @F.arrow_udf(ArrayType(IntegerType(), False))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(tokenizer)
-        for texts in batches:
-            packed = own.encode_all(as_bytes(texts))
-            ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        try:
+            for texts in batches:
+                packed = own.encode_all(as_bytes(texts))
+                ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        finally:
+            own.known.clear()
 
     return ids(text)
 
@@ -272,20 +275,28 @@ def ids_sha256(ids: Column) -> Column:
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """For each row: the key as `id_col`, `ids`, and `decoded`, the text of these ids.
 
-    Both steps run in one worker, a few megabytes of text at a time.
+    Both steps run in one worker, about a megabyte of text at a time. A column
+    `ids_sha256` (see `ids_sha256`) comes with them, so that the ids need not go
+    to a worker once more for it. Repeated rows give repeated results, an empty
+    table none; other columns of `docs` don't matter, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for i, k in by_bytes(texts):
-                packed = own.encode_all(texts[i:k])
-                ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                decoded = pa.array([own.decode(x) for x in id_slices(ids)], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, k - i), ids, decoded], names=[id_col, "ids", "decoded"])
-
+        try:
+            for batch in batches:
+                texts = as_bytes(batch.column(1))
+                for i, k in by_bytes(texts, PART_BYTES):
+                    packed = own.encode_all(texts[i:k])
+                    ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                    decoded = pa.array([own.decode(x) for x in id_slices(ids)], pa.string())
+                    marks = pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, k - i), ids, decoded, marks], names=[id_col, "ids", "decoded", "ids_sha256"])
+        finally:
+            own.known.clear()
+
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string, ids_sha256 string")

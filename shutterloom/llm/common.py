@@ -33,11 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    return Tables(df.sparkSession).keep(df, name)
-
-
 class Tables:
     """Intermediate Parquet tables in the shared folder, which can be deleted when nothing reads them any more."""
 
@@ -59,6 +54,18 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that goes to a Python worker. Texts may be long, and batches of Spark's default
+#: of 10 000 rows take hundreds of megabytes in the JVM and the workers of an executor.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's rows per Arrow batch to BATCH_ROWS where Spark's default stands; a value of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Longs of bits of a sieve.
 SIEVE_WORDS = 1 << 18
 

@@ -13,6 +13,11 @@ representatives are joined on prefix shingles:
 * Pairs of different families in one list pass the length, positional and
   suffix filters, fall together to one row a pair, and are verified once.
 
+Inside a family nearly all sets share their prefixes, so the filters can't part
+them there. What one task holds is bounded: a tile by sets and bytes, a list by
+its parts. Sets are told apart by 128 bits of their shingles; shingles and
+words are 64-bit hashes.
+
 Links give components; a document's component is the smallest id reachable.
 Texts without words, empty and null texts have no shingles and link with
 nothing. Repeated ids are treated as one document each time they occur: rows
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.operators.components import connected_components
 
-from .common import SPACED_TABLE, Tables, as_bytes, by_bytes, distinct, hashed_words, sieved, table
+from .common import SPACED_TABLE, Tables, as_bytes, bounded_batches, by_bytes, distinct, hashed_words, sieved, table
 
 #: Counters of shingle buckets; what is sent to all executors has this size (4 bytes each) for any input.
 BUCKETS = 1 << 22
@@ -317,6 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """Per row: the key as `id_col`, n_shingles, component_id."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     tables = Tables(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
     found = tables.keep(summaries(rows, rule.size), "shingle-sets")
     counts = bucket_counts(found)
     per_doc = found.filter("chunk IS NULL").select("doc", "n", "key", "key2", "outline")

@@ -4,12 +4,17 @@ A model holds, for each language, the log frequency of known words and of
 character n-grams of 5 down to 1 letters (words framed by `^` and `$`). A
 known word scores by its own frequencies; an unseen one by the mean over its
 known n-grams of the longest length that has any. A text's score is the sum
-over its words. Texts without a letter, null texts, and all texts of a model
-without languages are `und` with score 0.
-
-The fit takes at most `docs_most` labelled texts, those with the smallest
-hash of their key, and keeps at most `entries_most` entries, the most
-frequent. Both bounds are parameters of `train`.
+over its words. Texts without a letter, null and empty texts, and all texts of
+a model without languages are `und` with score 0; of equally good languages
+the first by name is given.
+
+The fit takes at most `docs_most` distinct labelled texts of each language,
+those with the smallest hash of key and text, and keeps the `entries_most`
+most frequent entries of each language (with their counts in all languages).
+Both bounds are parameters of `train`; they hold for each language by itself,
+so a rare language is learned beside a dominant one. Rows that repeat key and
+text count once in the fit; each row gets its own prediction. Texts of any
+length are scored whole.
 """
 
 from __future__ import annotations
@@ -19,134 +24,204 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, as_bytes, table
+from .common import ALNUM_TABLE, Tables, Words, as_bytes, bounded_batches, by_bytes, table
 
 GRAM_MOST = 5
 #: A language's share among words or n-grams that it was never seen with.
 SMOOTH = 0.5
 #: Scores count as if of so many words at most, so that long texts don't all end at 1.
 WORDS_IN_SCORE = 20
-#: Words whose scores a task remembers.
-WORDS_KEPT = 400_000
+#: Unseen words whose scores a task remembers.
+WORDS_KEPT = 100_000
+#: Bytes of text that are scored at once.
+TEXT_BYTES = 1 << 19
+#: Words of one text whose scores are summed at once.
+ROWS = 1 << 16
 
 
-def grams(word: str) -> Iterator[list[str]]:
-    """The n-grams of a framed word, longest length first."""
+def grams(word: str, n: int) -> list[str]:
+    """The n-grams of a framed word; single letters without the frame."""
     framed = f"^{word}$"
-    for n in range(GRAM_MOST, 0, -1):
-        yield [framed[i : i + n] for i in range(len(framed) - n + 1)] if n > 1 else list(word)
+    return [framed[i : i + n] for i in range(len(framed) - n + 1)] if n > 1 else list(word)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(ALNUM_TABLE).split()
+def unit_key(gram: str) -> int:
+    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "replace"))
 
 
 def has_letter(text: bytes) -> bool:
     return text.lower() != text.upper() or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
-def sampled(docs: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most `most` rows, those with the smallest hash of their key; only keys are ordered, and then sent to all executors."""
-    keys = docs.select(F.col(id_col).alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(most)
-    return docs.join(F.broadcast(keys), F.col(id_col) == F.col("_key"), "left_semi")
+class Scores:
+    """Sorted 64-bit keys with a row of scores each (one per language)."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.rows = keys[order], rows[order].astype(np.float32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key its place (or any) and whether it is listed."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
 
 class Model:
-    def __init__(self, counts: list[tuple[str, str, str, int]]):
-        """`counts`: rows (lang, kind, unit, n); kind is `w` for words, else the n-gram's length."""
-        self.langs = sorted({lang for lang, *_ in counts})
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        table: dict[tuple[str, str], np.ndarray] = {}
-        totals: dict[str, np.ndarray] = {}
-        for lang, kind, unit, n in counts:
-            table.setdefault((kind, unit), np.zeros(len(place)))[place[lang]] += n
-            totals.setdefault(kind, np.zeros(len(place)))[place[lang]] += n
-        self.words: dict[bytes, tuple[float, ...]] = {}
-        self.units: dict[str, tuple[float, ...]] = {}
-        for (kind, unit), n in table.items():
-            scores = tuple(np.log((n + SMOOTH) / (totals[kind] + SMOOTH * len(table))).tolist())
-            if kind == "w":
-                self.words[unit.encode()] = scores
-            else:
-                self.units[unit] = scores
-
-    def unseen(self, word: bytes) -> tuple[float, ...]:
-        units = self.units
-        for found in grams(word.decode("utf-8", "replace")):
-            if known := [units[g] for g in found if g in units]:
-                return tuple([sum(column) / len(known) for column in zip(*known, strict=True)])
-        return (0.0,) * len(self.langs)
+    """Languages, scores of words, and scores of n-grams by their length (as 64-bit keys and float rows: some 24 bytes an entry for four languages)."""
+
+    def __init__(self, langs: list[str], size: np.ndarray, lang: np.ndarray, key: np.ndarray, n: np.ndarray):
+        """One item per entry and language: the entry's size (0 for words, else letters), the language's place, its key and count."""
+        self.langs = langs
+        self.by_size: list[Scores] = []
+        for k in range(GRAM_MOST + 1):
+            own = size == k
+            keys, place = np.unique(key[own], return_inverse=True)
+            counts = np.zeros((len(keys), len(langs)))
+            np.add.at(counts, (place, lang[own]), n[own])
+            totals = counts.sum(0)
+            self.by_size.append(Scores(keys, np.log((counts + SMOOTH) / (totals + SMOOTH * max(len(keys), 1)))))
+
+    def unseen(self, words: list[bytes]) -> np.ndarray:
+        """Rows of scores of unseen words: the mean over the known n-grams of the longest length that has any."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        left = [(i, w.decode("utf-8", "replace")) for i, w in enumerate(words)]
+        for size in range(GRAM_MOST, 0, -1):
+            if not left:
+                break
+            found = [grams(w, size) for _, w in left]
+            owner = np.repeat(np.arange(len(left)), list(map(len, found)))
+            keys = np.fromiter((unit_key(g) for own in found for g in own), np.uint64, len(owner))
+            scores = self.by_size[size]
+            at, known = scores.find(keys)
+            times = np.bincount(owner[known], minlength=len(left))
+            sums = np.zeros((len(left), len(self.langs)))
+            np.add.at(sums, owner[known], scores.rows[at[known]])
+            hit = times > 0
+            out[[i for (i, _), h in zip(left, hit.tolist(), strict=True) if h]] = sums[hit] / times[hit, None]
+            left = [x for x, h in zip(left, hit.tolist(), strict=True) if not h]
+        return out
 
     def predictor(self):
-        place: dict[bytes, int] = {}  # of a word's scores in the rows
-        rows = np.zeros((WORDS_KEPT, len(self.langs)))
-
-        def predict(text: bytes) -> tuple[str, float]:
-            if not self.langs or not has_letter(text):
-                return "und", 0.0
-            counted = Counter(words_of(text))
-            if len(place) + len(counted) > WORDS_KEPT:
+        """A function from texts to languages and scores, which remembers a bounded number of unseen words."""
+        place: dict[int, int] = {}
+        memory = np.zeros((WORDS_KEPT, len(self.langs)), np.float32)
+
+        def rows_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+            """Rows of scores of the distinct words, and each word's place in them."""
+            keys, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+            at, known = self.by_size[0].find(keys)
+            rows = np.zeros((len(keys), len(self.langs)), np.float32)
+            rows[known] = self.by_size[0].rows[at[known]]
+            lacking = np.flatnonzero(~known)
+            held = np.fromiter((place.get(k, -1) for k in keys[lacking].tolist()), np.int64, len(lacking))
+            rows[lacking[held >= 0]] = memory[held[held >= 0]]
+            fresh = lacking[held < 0]
+            rows[fresh] = self.unseen([words[i] for i in first[fresh].tolist()])
+            if len(place) + len(fresh) > WORDS_KEPT:
                 place.clear()
-            total = np.zeros(len(self.langs))
-            listed = list(counted)
-            for at in range(0, len(listed), WORDS_KEPT // 2):
-                part = listed[at : at + WORDS_KEPT // 2]
-                if at:
-                    place.clear()
-                for w in part:
-                    if w not in place:
-                        rows[len(place)] = self.words.get(w) or self.unseen(w)
-                        place[w] = len(place)
-                n = np.fromiter(map(counted.__getitem__, part), float, len(part))
-                total += n @ rows[np.fromiter(map(place.__getitem__, part), np.int64, len(part))]
-            total *= min(1.0, WORDS_IN_SCORE / max(counted.total(), 1))
-            odds = np.exp(total - total.max())
-            best = int(odds.argmax())
-            return self.langs[best], float(odds[best] / odds.sum())
+            kept = fresh[:WORDS_KEPT]
+            memory[len(place) : len(place) + len(kept)] = rows[kept]
+            place.update(zip(keys[kept].tolist(), range(len(place), len(place) + len(kept)), strict=True))
+            return rows, inverse
+
+        def predict(texts: list[bytes]) -> tuple[list[str], list[float]]:
+            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            if not self.langs:
+                return langs, scores
+            for i, k in by_bytes(texts, TEXT_BYTES):
+                words = Words(texts[i:k], ALNUM_TABLE)
+                rows, inverse = rows_of(words)
+                for j in range(i, k):
+                    if not has_letter(texts[j]):
+                        continue
+                    a, b = int(words.begins[j - i]), int(words.begins[j - i + 1])
+                    total = sum((rows[inverse[p : min(p + ROWS, b)]].sum(0, dtype=np.float64) for p in range(a, b, ROWS)), np.zeros(len(self.langs)))
+                    total *= min(1.0, WORDS_IN_SCORE / max(b - a, 1))
+                    odds = np.exp(total - total.max())
+                    best = int(odds.argmax())
+                    langs[j], scores[j] = self.langs[best], float(odds[best] / odds.sum())
+            return langs, scores
 
         return predict
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_most: int = 8_000, entries_most: int = 200_000) -> Model:
+def sampled(rows: DataFrame, group: str, key: Column, most: int) -> DataFrame:
+    """Of each group at most `most` rows with different `key`, those with the smallest keys; other columns are those of one row of the key.
+
+    Only keys are ranked, at most `most` of a group from each task; the chosen
+    keys are bounded by groups and `most` and go to all executors.
+    """
+    keyed = rows.withColumn("_key", key)
+    ranked = keyed.select(group, "_key").distinct().withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_key"))).filter(F.col("_r") <= most)
+    last = ranked.groupBy(group).agg(F.max("_key").alias("_last")).select(F.col(group).alias("_group"), "_last")
+    chosen = keyed.join(F.broadcast(last), (F.col(group) == F.col("_group")) & (F.col("_key") <= F.col("_last")))
+    return chosen.groupBy(group, "_key").agg(*[F.first(c).alias(c) for c in rows.columns if c != group]).drop("_key")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_most: int = 2_000, entries_most: int = 100_000) -> Model:
     """A model from rows with text and language."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            counted: dict[str, Counter] = {}
             for name, own in zip(batch.column(1).to_pylist(), as_bytes(batch.column(0)), strict=True):
-                words.setdefault(name, Counter()).update(words_of(own))
-        for name, counted in words.items():
-            units: Counter = Counter()
-            for w, n in counted.items():
-                word = w.decode("utf-8", "replace")
-                units["w", word] += n
-                for found in grams(word):
-                    for g in found:
-                        units[str(len(g)), g] += n
-            keys = list(units)
-            for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([k for k, _ in part]), pa.array([u for _, u in part]), pa.array([units[k] for k in part], pa.int64())], names=["lang", "kind", "unit", "n"])
+                counted.setdefault(name, Counter()).update(own.translate(ALNUM_TABLE).split())
+            for name, words in counted.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
+    def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words and their n-grams as keys; `size` 0 for words."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                words = part.column(1).to_pylist()
+                units: Counter = Counter()
+                for name, key, w, n in zip(part.column(0).to_pylist(), Words(words, ALNUM_TABLE).hashes.tolist(), words, part.column(2).to_pylist(), strict=True):
+                    units[name, 0, key] += n
+                    word = w.decode("utf-8", "replace")
+                    for size in range(1, GRAM_MOST + 1):
+                        for g in grams(word, size):
+                            units[name, size, unit_key(g)] += n
+                keys = list(units)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(np.array([k[2] for k in keys], np.uint64).view(np.int64)), pa.array([units[k] for k in keys], pa.int64())], names=["lang", "size", "unit", "n"])
+
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
-    counts = sampled(rows, "k", docs_most).select("t", "l").mapInArrow(count, "lang string, kind string, unit string, n long")
-    kept = counts.groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n")).filter("n > 1 OR kind = '1'").orderBy(F.desc("n"), "lang", "kind", "unit").limit(entries_most)
-    return Model([tuple(r) for r in kept.collect()])
+    chosen = sampled(rows, "l", F.xxhash64("k", "t"), docs_most)
+    words = chosen.select("t", "l").mapInArrow(count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = words.mapInArrow(count_units, "lang string, size int, unit long, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
+    tables = Tables(docs.sparkSession)
+    counts = tables.keep(counts, "language-counts")
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "size", "unit")
+    kept = counts.withColumn("r", F.row_number().over(most)).filter(F.col("r") <= entries_most)
+    # an entry that one language keeps has its counts in all
+    shared = kept.select("size", "unit").distinct()
+    got = counts.join(shared, ["size", "unit"], "left_semi").select("lang", "size", "unit", "n").toArrow().combine_chunks()
+    tables.drop("language-counts")
+    langs = sorted(set(got.column("lang").unique().to_pylist()))
+    place = {name: i for i, name in enumerate(langs)}
+    code = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
+    columns = [np.asarray(got.column(c).to_numpy(), np.int64) for c in ("size", "unit", "n")]
+    return Model(langs, columns[0], code, columns[1].view(np.uint64), columns[2])
 
 
 def predict(spark: SparkSession, model: Model, text: Column) -> Column:
     """struct(lang, score) of a string column."""
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shipped.value.predictor()
         for texts in batches:
-            found = [own(t) for t in as_bytes(texts)]
-            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "score"])
+            langs, scores = own(as_bytes(texts))
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return predicted(text)
 

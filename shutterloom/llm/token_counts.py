@@ -7,7 +7,8 @@ they stay in a bounded cache. Tokenizers for which white space is not a safe
 boundary go through the forced boundaries of `bpe` (byte-level files), or
 encode whole texts (piece models).
 
-Null and empty texts count 0. Rows are kept as they are, repeated ones too.
+Null and empty texts count 0. Rows are kept as they are, repeated ones too; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import bpe
-from .common import Memory, as_bytes, by_bytes, one_thread, tokenizer_path
+from .common import Memory, as_bytes, bounded_batches, by_bytes, one_thread, tokenizer_path
 
 #: Pieces of each generation that a task remembers, and the longest one that it keeps on.
 CACHE_ITEMS, CACHE_BYTES = 350_000, 128
@@ -142,14 +143,19 @@ def token_count(text: Column, tokenizer: str = "word_bpe_49k.json") -> Column:
     @F.arrow_udf(LongType())
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts = counter(tokenizer)
-        for texts in batches:
-            yield pa.array(counts(as_bytes(texts)), pa.int64())
+        try:
+            for texts in batches:
+                yield pa.array(counts(as_bytes(texts)), pa.int64())
+        finally:
+            if isinstance(counts, WordCounter):
+                counts.known.clear()
 
     return count(text)
 
 
 def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json", limit: int = 2048, out: str = "n_tokens") -> DataFrame:
     """`docs` with `n_bytes`, the tokens as `out`, and `over_limit`; columns of these names are replaced."""
+    bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in {"n_bytes", out, "over_limit"}]
     return (
         docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), token_count(F.col(f"`{text}`"), tokenizer).alias(out))

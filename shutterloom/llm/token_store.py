@@ -12,7 +12,8 @@ Spark writes the files as binary rows of a Parquet folder (`write`): task
 commits, retries and any store that Spark knows then work as for other tables.
 
 Documents with null or empty text hold the end id only. Rows with equal ids
-keep their place by the text's hash. A null id sorts first.
+keep their place by the text's hash. A null id sorts first. An empty table gives
+an empty folder of shards; other columns of the table don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from shutterloom.scratch import shared_dir
 
 from . import bpe
-from .common import as_bytes, by_bytes, table
+from .common import as_bytes, bounded_batches, by_bytes, table
 
 #: A shard ends with the document that fills it; longer documents have a shard of their own.
 SHARD_IDS = 1 << 19
@@ -196,6 +197,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
             yield close()
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "doc", F.xxhash64("text")).sortWithinPartitions("doc", F.xxhash64("text"))
