@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shutterloom.functions import capture, fingerprint, templates, text
 from shutterloom.operators import dedup, similarity, views
 from shutterloom.plans import execute, organise
-from shutterloom.queries import _DOCS, _EXACT, _JOURNAL, _KEPT, _ORD, _SKIP, _decided, _inventory, _plan, _undo_inputs, docs_items, order_items, query
+from shutterloom.queries import _DOCS, _EXACT, _JOURNAL, _KEPT, _ORD, _SKIP, _TREE, _decided, _inventory, _plan, _undo_inputs, docs_items, order_items, path_items, query
 from shutterloom.scratch import shared_dir
 from shutterloom.sources import catalogue, journal
 from shutterloom.sources.adapters import JOURNAL_EVENTS, adapted
@@ -401,3 +401,17 @@ def combined_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = ids.filter("item_id % 3 = 0"), ids.filter("item_id % 2 = 0")
     one, two, three = (organise.combined(a, b, how).select(F.lit(how).alias("how"), "item_id") for how in ("union", "intersect", "subtract"))
     return one.unionByName(two).unionByName(three)
+
+
+@query(_DOCS + " SELECT item_id, CASE WHEN CAST(width AS BIGINT) * height < 500000 THEN 'pixels' WHEN item_id % 3 > 0 THEN 'notRedundant' END AS reject_reason FROM items")
+def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small images and such that cleaning would keep."""
+    items = docs_items(spark, sf_dir)
+    redundant = items.filter("item_id % 3 = 0").select("item_id", F.col("item_id").alias("group_id"), F.lit("bySelection").alias("disposition"), F.lit("x").alias("keep_name"), F.lit("exact").alias("dup_kind"))
+    rows = organise.considered(items, organise.Filter(minimum_pixels=500_000, only_redundant=True), redundant)
+    return rows.select("item_id", "reject_reason")
+
+
+@query(_TREE + " SELECT path, EXISTS (SELECT 1 FROM folders k WHERE starts_with(k.path, concat(folders.path, '/'))) AS has_children FROM folders")
+def folders_with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.has_children(views.folder_tree(path_items(spark, sf_dir))).select("path", "has_children")
