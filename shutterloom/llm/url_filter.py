@@ -6,10 +6,18 @@ probe keys by vectorised binary search, and compare the stored string of each
 hit, so that equal digests of different strings do no harm. Listed are rules
 (host and path begin) and terms (words of a host).
 
-A rule fits its host and all subdomains if the path starts with the rule's;
-the longest that fits wins (of equally long ones the first by string). URLs
-without a fitting rule are blocked for a listed term and else allowed; null
-URLs and such without `://` have an empty host and path.
+Lists are columns or tables: `Filter` judges a column by lists given on the
+driver; `judge_by_tables` takes the lists as tables, whose size it looks at
+first. Small ones make one index for all executors; larger ones stay where
+they are, and the probe strings of the distinct URLs are joined with them.
+
+A rule fits its host and all subdomains if the path starts with the rule's (a
+rule without a path fits all paths);
+the longest that fits wins (of equally long ones the first by string; of
+verdicts that one rule is given, `block`). URLs without a fitting rule are
+blocked for a listed term and else allowed; null URLs and such without `://`
+have an empty host and path. Each row is judged by itself, repeated rows alike;
+an empty table gives no rows, empty lists allow all; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, as_bytes, table
 
-#: An index goes to all executors; a larger list must be split by host and probed part by part.
-MOST_INDEX_BYTES = 1 << 29
+#: Up to this size an index goes to all executors; larger lists are joined.
+MOST_INDEX_BYTES = 1 << 28
 #: Fixed values of the contract: verdict and rule.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Words of hosts that are blocked where no rule fits.
@@ -44,10 +52,7 @@ def serialise(keys: Iterable[bytes]) -> bytes:
     listed = sorted({(xxhash.xxh64_intdigest(k), k) for k in keys})
     digests = np.array([d for d, _ in listed], "<u8")
     ends = np.cumsum([len(k) for _, k in listed], dtype="<u8")
-    out = np.array([len(listed)], "<u8").tobytes() + digests.tobytes() + ends.tobytes() + b"".join(k for _, k in listed)
-    if len(out) > MOST_INDEX_BYTES:
-        raise ValueError(f"the index has {len(out)} bytes, more than {MOST_INDEX_BYTES}")
-    return out
+    return np.array([len(listed)], "<u8").tobytes() + digests.tobytes() + ends.tobytes() + b"".join(k for _, k in listed)
 
 
 class Index:
@@ -80,10 +85,13 @@ _open: dict[str, Index] = {}
 
 
 def opened(payload: bytes, name: str) -> Index:
-    """The index as a file of this machine's temporary folder, written once and mapped by all workers."""
+    """The index as a file of this machine's temporary folder, written once and mapped by all workers.
+
+    `name` is the digest of the payload; a file that doesn't have it is written again.
+    """
     if name not in _open:
         path = os.path.join(tempfile.gettempdir(), f"url-index-{name}")
-        if not os.path.exists(path):
+        if not os.path.exists(path) or _digest(path) != name:
             with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
                 f.write(payload)
             os.replace(f.name, path)
@@ -91,6 +99,11 @@ def opened(payload: bytes, name: str) -> Index:
     return _open[name]
 
 
+def _digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def host_and_path(url: bytes) -> tuple[bytes, bytes]:
     _, mark, rest = url.partition(b"://")
     if not mark:
@@ -100,6 +113,15 @@ def host_and_path(url: bytes) -> tuple[bytes, bytes]:
     return host.translate(LOWER_TABLE), slash + path
 
 
+def probes_of(url: bytes, lengths: list[int] | None = None) -> tuple[bytes, bytes, list[bytes]]:
+    """Host, path, and the strings that a list may hold for them: host suffixes with begins of the path (of the given lengths, else all), words of the host."""
+    host, path = host_and_path(url)
+    labels = host.split(b".")
+    begins = [path[:n] for n in (lengths if lengths is not None else range(1, len(path) + 1)) if len(path) >= n]
+    out = [b".".join(labels[k:]) + b for k in range(len(labels)) for b in begins]
+    return host, path, out + [_TERM + w for w in _WORDS.findall(host)]
+
+
 @dataclass(frozen=True)
 class Filter:
     """Rules as (verdict, host and path begin) and terms, ready to judge columns."""
@@ -110,10 +132,11 @@ class Filter:
     def judge(self, spark: SparkSession, url: Column) -> Column:
         """struct(host, path, rule, verdict) of a URL column."""
         payload = serialise([r.encode() for _, r in self.rules] + [_TERM + t.encode() for t in self.terms])
-        name = hashlib.sha256(payload).hexdigest()[:24]
+        name = hashlib.sha256(payload).hexdigest()
         shipped = spark.sparkContext.broadcast(payload)
-        verdicts = {r.encode(): v for v, r in self.rules}
-        lengths = sorted({len(r.partition("/")[2]) + 1 for _, r in self.rules}, reverse=True)
+        verdicts = {r.encode(): v for v, r in sorted(self.rules)[::-1]}  # of two verdicts of one rule `block` comes last
+        verdicts |= {r.encode(): v for v, r in self.rules if v == "block"}
+        lengths = sorted({len(r.encode().removeprefix(r.encode().partition(b"/")[0])) for _, r in self.rules}, reverse=True)
         kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
 
         @F.arrow_udf("struct<host:string,path:string,rule:string,verdict:string>")
@@ -122,15 +145,10 @@ class Filter:
             for urls in batches:
                 probes, owner, parts = [], [], []
                 for i, url in enumerate(as_bytes(urls)):
-                    host, path = host_and_path(url)
+                    host, path, own = probes_of(url, lengths)
                     parts.append((host, path))
-                    labels = host.split(b".")
-                    begins = [path[:n] for n in lengths if len(path) >= n]
-                    for k in range(len(labels)):
-                        suffix = b".".join(labels[k:])
-                        probes += [suffix + b for b in begins]
-                    probes += [_TERM + w for w in _WORDS.findall(host)]
-                    owner += [i] * (len(probes) - len(owner))
+                    probes += own
+                    owner += [i] * len(own)
                 rule: list[bytes | None] = [None] * len(parts)
                 bad = [False] * len(parts)
                 for j in np.flatnonzero(index.find(probes)).tolist():
@@ -140,12 +158,48 @@ class Filter:
                     elif rule[i] is None or (-len(hit), hit) < (-len(rule[i]), rule[i]):
                         rule[i] = hit
                 rows = [(h, p, r, verdicts[r] if r is not None else "block" if b else "allow") for (h, p), r, b in zip(parts, rule, bad, strict=True)]
-                text = lambda x: None if x is None else x.decode("utf-8", "replace")
-                yield pa.array([{"host": text(h), "path": text(p), "rule": text(r), "verdict": v} for h, p, r, v in rows], kind)
+                yield pa.array([{"host": _text(h), "path": _text(p), "rule": _text(r), "verdict": v} for h, p, r, v in rows], kind)
 
         return judged(url)
 
 
+def _text(x: bytes | None) -> str | None:
+    return None if x is None else x.decode("utf-8", "replace")
+
+
+def judge_by_tables(pages: DataFrame, rules: DataFrame, terms: DataFrame, url: str = "url", most: int = MOST_INDEX_BYTES) -> DataFrame:
+    """`pages` with the column `judged`, struct(host, path, rule, verdict), by tables of rules (verdict, rule) and terms (term)."""
+    spark = pages.sparkSession
+    listed = rules.groupBy("rule").agg(F.max("verdict").alias("verdict")).select("verdict", "rule")  # `block` is after `allow`
+    words = terms.select("term").distinct()
+    size = listed.select(F.col("rule").alias("s")).unionByName(words.select(F.col("term").alias("s"))).agg(F.coalesce(F.sum(F.octet_length("s") + 24), F.lit(0))).first()[0]
+    if size <= most:
+        chosen = Filter(tuple((v, r) for v, r in listed.collect()), tuple(r[0] for r in words.collect()))
+        return pages.withColumn("judged", chosen.judge(spark, F.col(f"`{url}`")))
+
+    # rules' paths have few lengths; only begins of these are looked for
+    lengths = sorted((r[0] for r in listed.select(F.octet_length(F.regexp_replace("rule", "^[^/]*", "")).alias("n")).distinct().collect()), reverse=True)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                urls = batch.column(0).slice(at, 1000)
+                found = [probes_of(u, lengths) for u in as_bytes(urls)]
+                owner = np.repeat(np.arange(len(found)), [len(f[2]) for f in found])
+                yield pa.RecordBatch.from_arrays([urls.take(pa.array(owner)), pa.array([_text(p) for f in found for p in f[2]], pa.string())], names=["u", "probe"])
+
+    probes = pages.select(F.col(f"`{url}`").alias("u")).filter("u IS NOT NULL").distinct().mapInArrow(cut, "u string, probe string")
+    strings = listed.select(F.col("rule").alias("probe"), "verdict").unionByName(words.select(F.concat(F.lit(_TERM.decode()), "term").alias("probe"), F.lit("term").alias("verdict")))
+    hits = probes.join(strings, "probe")
+    is_term = F.col("verdict") == "term"
+    best = F.min(F.when(~is_term, F.struct((-F.octet_length("probe")).alias("n"), F.col("probe").alias("rule"), F.col("verdict"))))
+    per_url = hits.groupBy(F.col("u").alias("_url")).agg(best.alias("_best"), F.max(is_term).alias("_bad"))
+    plain = Filter((), ()).judge(spark, F.col(f"`{url}`"))  # host and path
+    joined = pages.withColumn("judged", plain).join(per_url, F.col(f"`{url}`") == F.col("_url"), "left")
+    verdict = F.coalesce(F.col("_best.verdict"), F.when(F.col("_bad"), "block"), F.lit("allow"))
+    return joined.withColumn("judged", F.struct(F.col("judged.host").alias("host"), F.col("judged.path").alias("path"), F.col("_best.rule").alias("rule"), verdict.alias("verdict"))).drop("_url", "_best", "_bad")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return pages.select("page_id", Filter().judge(spark, F.col("url")).alias("j")).select("page_id", "j.*")
