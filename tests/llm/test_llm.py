@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import check
 
 from shutterloom.llm import bpe, decontaminate, embedding_join, jaccard_join, language_id, license_scan, quality, registry, token_counts, token_store, url_filter
-from shutterloom.llm.common import LOWER_TABLE, materialise
+from shutterloom.llm.common import LOWER_TABLE, Tables
 
 ODD = [None, "", " ", "\n\n  x", "<|endoftext|>", "a  <|endoftext|> b <|startoftext|>", "don't  'x ''   　😀  😀 a…'s …'s", "é à  è'll", "H̱ ΑΣ İ K", "ab\x1cd\x85e 12 3,4", "x" * 3000, "word " * 5000, "ERÄ!! BEPFUNG!!"]
 _rng = random.Random(1)
@@ -91,7 +91,7 @@ def test_wavelet_matrix():
 
 
 def test_token_store(spark, odd, monkeypatch):
-    path = f"{materialise(spark.range(1), 'x').inputFiles()[0].rsplit('/', 1)[0]}-store"
+    path = f"{Tables(spark).keep(spark.range(1), 'x').inputFiles()[0].rsplit('/', 1)[0]}-store"
     rows = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     token_store.write(rows, path)
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
