@@ -11,14 +11,20 @@ when the squares of the coordinates to be flipped sum up to the budget at
 most. Inside an orthant, tiles of bounded size are compared by matrix
 products; a pair that is in the range of the block and of no earlier one is
 verified by its cosine, so the union of the candidates is verified once.
-
-Equal vectors with equal labels are one representative with a count. Only
-counts of links and spanning links leave a tile, never pairs. Vectors that are
-null, zero, or hold null or non-finite components, and such without a label,
-link with nothing. Rows that repeat an id share its links and component.
-Rows without an id link like others. Representatives have numbers of their
-own; a component is named by its smallest id at the end, by null if none of its
-rows has one (such rows are all kept, as they can't be told apart).
+Tiles hold the turned vectors in single precision. Pairs that it can't decide
+(the cosine or a block's distance lies within `MARGIN` of its bound) leave the
+tile and are decided by the cosine of the given vectors in double precision.
+
+Equal vectors with equal labels are one representative with a count. Beside
+undecided pairs only counts of links and spanning links leave a tile. Vectors
+that are null, zero, or hold null or non-finite components, and such without a
+label, link with nothing, nor do vectors of different lengths. A cosine of just
+the bound is a link. Rows that repeat an id share nothing but the id: each has
+the links of its own vector, in which equal vectors of other rows count. Rows
+without an id link like others. Representatives have numbers of their own; a
+component is named by its smallest id at the end, by null if none of its rows
+has one (such rows are all kept, as they can't be told apart). An empty table
+gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,13 +41,13 @@ from pyspark.sql import functions as F
 
 from shutterloom.operators.components import connected_components
 
-from .common import materialise, table
+from .common import Tables, bounded_batches, table
 from .jaccard_join import _Sets
 
 #: Dimensions of a block, vectors that an orthant should own, vectors of a tile's side.
-BLOCK, CELL, TILE = 8, 2048, 1024
-#: Room for rounding in prefilters; what lies inside it is decided by the exact formula.
-EPS = 1e-9
+BLOCK, CELL, TILE = 8, 1024, 1024
+#: Room for rounding of single precision; what lies inside it is decided in double precision.
+MARGIN = 1e-5
 
 
 @lru_cache(maxsize=4)
@@ -76,12 +82,12 @@ def assign(reps: DataFrame, limit: float, bits: int) -> DataFrame:
                     x /= np.abs(x).max(1, keepdims=True)  # no overflow of squares
                     x /= np.sqrt((x * x).sum(1, keepdims=True))
                     x = x @ rotation(dim)
-                    packed.update(zip(places.tolist(), (v.tobytes() for v in x), strict=True))
+                    packed.update(zip(places.tolist(), (v.tobytes() for v in x.astype(np.float32)), strict=True))
                     for b, part in enumerate(blocks(dim)):
                         y = x[:, part]
                         k = min(bits, y.shape[1])
                         code = (y[:, :k] > 0) @ (1 << np.arange(k)) if k else np.zeros(len(y), int)
-                        budget = limit * y.shape[1] / dim + EPS
+                        budget = limit * y.shape[1] / dim + MARGIN
                         targets = [(np.arange(len(y)), code, True)]
                         for f in flips(k):
                             flipped = code ^ sum(1 << i for i in f)
@@ -100,63 +106,74 @@ def assign(reps: DataFrame, limit: float, bits: int) -> DataFrame:
     return reps.select("label", "dim", "rep", "n", "embedding").mapInArrow(run, f"label {label}, dim int, block int, cell int, own boolean, rep long, n long, vector binary")
 
 
-def tile_links(x: np.ndarray, own: np.ndarray, side: np.ndarray, n: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, _Sets]:
-    """Weighted counts of links and their union among the vectors of a tile."""
+def tile_links(x: np.ndarray, own: np.ndarray, side: np.ndarray, n: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, _Sets, np.ndarray]:
+    """Weighted counts of links and their union among the vectors of a tile, and the undecided pairs (two columns of places)."""
     dim, limit = x.shape[1], 2 - 2 * cosine
     parts = blocks(dim)
-    squares = [(x[:, p] ** 2).sum(1) for p in parts]
-    budgets = [limit * (p.stop - p.start) / dim for p in parts]
-    counts, groups = np.zeros(len(x), np.int64), _Sets(len(x))
+    budgets = np.array([limit * (p.stop - p.start) / dim for p in parts[: block + 1]], np.float32)
+    counts, groups, unsure = np.zeros(len(x), np.int64), _Sets(len(x)), [np.zeros((0, 2), np.int64)]
     two = len(np.unique(side)) > 1
     owners = np.flatnonzero(own)
     place = np.arange(len(x))
-    low = x[:, parts[block]].astype(np.float32)
-    half = squares[block].astype(np.float32) / 2
+    low = x[:, parts[block]]
+    half = (low**2).sum(1) / 2
     for at in range(0, len(owners), 256):
         i = owners[at : at + 256]
-        # in range of the block: 2 x.y >= |x|^2 + |y|^2 - budget, with room for single precision
-        near = low[i] @ low.T >= half[i][:, None] + (half - np.float32(budgets[block] / 2 + 1e-5))[None, :]
+        # in range of the block: 2 x.y >= |x|^2 + |y|^2 - budget
+        near = low[i] @ low.T >= half[i][:, None] + (half - (budgets[block] / 2 + np.float32(MARGIN)))[None, :]
         r, c = np.nonzero(near)
         ok = ~own[c] | (place[c] > i[r])
         if two:
             ok &= side[c] != side[i[r]]
-        r, c = r[ok], c[ok]
-        unsure = np.zeros(len(r), bool)
-        for part in np.array_split(np.arange(len(r)), 1 + len(r) // 20_000):
-            d = (x[i[r[part]]] - x[c[part]]) ** 2
-            by_block = np.add.reduceat(d, [p.start for p in parts], 1)[:, : block + 1] - np.array(budgets[: block + 1])
-            unsure[part] = (np.abs(by_block) <= EPS).any(1)
-            ok[: len(r)][part] = (by_block[:, -1] <= EPS) & (by_block[:, :-1] > -EPS).all(1)
-        ok = ok[: len(r)]
-        r, c, unsure = r[ok], c[ok], unsure[ok]
-        cosines = np.concatenate([np.einsum("ij,ij->i", x[i[r[q]]], x[c[q]]) for q in np.array_split(np.arange(len(r)), 1 + len(r) // 20_000)])
-        ok = cosines >= cosine - EPS
-        r, c, unsure = r[ok], c[ok], unsure[ok] | (np.abs(cosines[ok] - cosine) <= EPS)
-        # the few at an edge, by a formula that gives the same bits in every tile
-        keep = np.ones(len(r), bool)
-        for k in np.flatnonzero(unsure).tolist():
-            u, v = x[i[r[k]]], x[c[k]]
-            within = [float(((u[p] - v[p]) ** 2).sum()) <= budgets[b] for b, p in enumerate(parts[: block + 1])]
-            keep[k] = within[block] and not any(within[:block]) and float((u * v).sum()) >= cosine
-        r, c = i[r[keep]], c[keep]
-        np.add.at(counts, r, n[c])
-        np.add.at(counts, c, n[r])
-        for a, z in zip(r.tolist(), c.tolist(), strict=True):
-            groups.join(a, z)
-    return counts, groups
+        r, c = i[r[ok]], c[ok]
+        for q in np.array_split(np.arange(len(r)), 1 + len(r) // 20_000):
+            a, z = r[q], c[q]
+            # how far the pair is beyond the budget of this block and of the earlier ones
+            over = np.add.reduceat((x[a] - x[z]) ** 2, [p.start for p in parts], 1)[:, : block + 1] - budgets
+            close = np.einsum("ij,ij->i", x[a], x[z]) - np.float32(cosine)
+            # what is surely too far apart, or surely found in an earlier block, goes
+            kept = (close > -MARGIN) & (over[:, -1] <= MARGIN) & (over[:, :-1] > -MARGIN).all(1)
+            a, z, over, close = a[kept], z[kept], over[kept], close[kept]
+            sure = (close > MARGIN) & (np.abs(over) > MARGIN).all(1)
+            unsure.append(np.stack((a[~sure], z[~sure]), 1))
+            a, z = a[sure], z[sure]
+            np.add.at(counts, a, n[z])
+            np.add.at(counts, z, n[a])
+            for u, v in zip(a.tolist(), z.tolist(), strict=True):
+                groups.join(u, v)
+    return counts, groups, np.concatenate(unsure)
 
 
 def tile_results(tiles: DataFrame, cosine: float) -> DataFrame:
-    """Rows (rep, links, root) for the representatives with links in a tile."""
+    """Rows (rep, links, root) for the representatives with links in a tile, and rows (rep, other) of undecided pairs."""
 
     def run(tile: pa.Table) -> pa.Table:
-        x = np.array([np.frombuffer(v, np.float64) for v in tile.column("vector").to_pylist()])
+        x = np.array([np.frombuffer(v, np.float32) for v in tile.column("vector").to_pylist()])
         rep, n = tile.column("rep").to_numpy(), tile.column("n").to_numpy()
-        counts, groups = tile_links(x, tile.column("own").to_numpy(), tile.column("t").to_numpy(), n, tile.column("block")[0].as_py(), cosine)
+        counts, groups, unsure = tile_links(x, tile.column("own").to_numpy(), tile.column("t").to_numpy(), n, tile.column("block")[0].as_py(), cosine)
         hit = np.flatnonzero(counts)
-        return pa.table([pa.array(rep[hit]), pa.array(counts[hit]), pa.array([int(rep[groups.find(int(k))]) for k in hit], pa.int64())], names=["rep", "links", "root"])
+        roots = np.array([int(rep[groups.find(int(k))]) for k in hit], np.int64)
+        none = pa.nulls(len(unsure), pa.int64())
+        return pa.table([pa.concat_arrays([pa.array(rep[hit]), pa.array(rep[unsure].min(1, initial=2**63 - 1))]), pa.concat_arrays([pa.array(counts[hit]), none]), pa.concat_arrays([pa.array(roots), none]), pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(rep[unsure].max(1, initial=-1))])], names=["rep", "links", "root", "other"])
+
+    return tiles.groupBy("label", "dim", "block", "cell", "a", "b").applyInArrow(run, "rep long, links long, root long, other long")
+
+
+def decided(pairs: DataFrame, reps: DataFrame, cosine: float) -> DataFrame:
+    """Of undecided pairs (rep, other) those whose given vectors have the cosine in double precision, with the counts of both."""
+
+    @F.arrow_udf("boolean")
+    def linked(one: pa.Array, two: pa.Array) -> pa.Array:
+        out = []
+        for u, v in zip(one.to_pylist(), two.to_pylist(), strict=True):
+            x, y = np.array(u, np.float64), np.array(v, np.float64)
+            x, y = (np.ldexp(v, -np.frexp(np.abs(v).max())[1]) for v in (x, y))  # no overflow of squares, and no rounding
+            out.append(bool((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum()) >= cosine))
+        return pa.array(out, pa.bool_())
 
-    return tiles.groupBy("label", "dim", "block", "cell", "a", "b").applyInArrow(run, "rep long, links long, root long")
+    known = reps.select("rep", "n", "embedding")
+    joined = pairs.join(known.toDF("rep", "n_rep", "e_rep"), "rep").join(known.toDF("other", "n_other", "e_other"), "other")
+    return joined.filter(linked(F.col("e_rep"), F.col("e_other"))).select("rep", "other", "n_rep", "n_other")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93) -> DataFrame:
@@ -166,7 +183,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     usable = rows.withColumn("usable", F.coalesce(F.col("label").isNotNull() & finite, F.lit(False)))
     same = usable.filter("usable").groupBy("label", "embedding").agg(F.min("vec").alias("smallest"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
     # numbers are never null, as ids may be; they hold once they are written
-    reps = materialise(same.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    tables = Tables(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
+    reps = tables.keep(same.withColumn("rep", F.monotonically_increasing_id()), "vectors")
 
     most = reps.groupBy("label", "dim").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
     bits = max(0, min(BLOCK, math.ceil(math.log2(max(1, most / CELL)))))
@@ -176,10 +195,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     with_tile = placed.join(sizes, cell).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     spread = with_tile.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = spread.select(*cell, F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b"), "t", "own", "rep", "n", "vector")
-    found = materialise(tile_results(tiles, cosine), "vector-links")
+    found = tables.keep(tile_results(tiles, cosine), "vector-links")
+    # a pair may be undecided in the tiles of several blocks
+    late = tables.keep(decided(found.filter("other IS NOT NULL").select("rep", "other").distinct(), reps, cosine), "late-links")
 
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.filter("rep <> root"), "rep", "root")
+    counted = found.filter("other IS NULL").select("rep", "links").unionByName(late.select("rep", F.col("n_other").alias("links"))).unionByName(late.select(F.col("other").alias("rep"), F.col("n_rep").alias("links")))
+    links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
+    groups = connected_components(found.filter("rep <> root").select("rep", "root").unionByName(late.select("rep", F.col("other").alias("root"))), "rep", "root")
     named = reps.select("rep", "smallest").join(groups, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("smallest").alias("name"))
     known = reps.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "rep", "n", "smallest").join(links, "rep", "left").join(groups.join(named, "component"), F.col("rep") == F.col("node"), "left")
     own = known.select("l", "e", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("name", "smallest").alias("component"))
