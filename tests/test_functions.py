@@ -1,5 +1,8 @@
+import struct
+import zlib
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,35 @@ def test_pixels():
     a, ca = fingerprint.signatures_of_pixels(small)
     b, cb = fingerprint.signatures_of_pixels(small[::2, ::2])
     assert a == b and ca == cb and len(ca) == 48 and any(ca)
+
+
+def png(rgb):
+    """A PNG file of an array (height, width, 3)."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + row.tobytes() for row in rgb)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_signatures_of_image_files(spark, tmp_path):
+    """Pictures decoded by Spark have the signatures of their pixels; what is no picture is left out or has none."""
+    rng = np.random.default_rng(1)
+    pictures = {f"p{i}.png": rng.integers(0, 256, (24 + i, 40, 3), np.uint8) for i in range(3)}
+    for name, rgb in pictures.items():
+        (tmp_path / name).write_bytes(png(rgb))
+    (tmp_path / "bad.png").write_bytes(b"no picture")
+    got = {r.path.rsplit("/", 1)[1]: r for r in fingerprint.image_signatures(spark.read.format("image").load(str(tmp_path))).collect()}
+    for name, rgb in pictures.items():
+        assert (got[name].phash, got[name].color_sig) == fingerprint.signatures_of_pixels(rgb.astype(float))
+    assert "bad.png" not in got or got["bad.png"].phash is None
+
+
+def test_blanks_of_unicode_go_from_names(spark):
+    rows = [("  a b ",), (" x:y/z\n",), ("　",), ("..",), ("\x01..\x02",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.sanitize_component(F.col("t"))).collect()]
+    assert got == ["a b", "x-y-z", "_", "_", "_"]
+
+
+def test_exif_times_need_digits_in_their_places(spark):
+    rows = [("2023:05:01 12:30:60",), ("2023: 5: 1 12:00:00",), ("2023:+5:01 12:00:00",), ("2023:02:30 12:00:00",), (" 2023-05-01T12:30:00Z ",), ("2023:05:01 12:30",)]
+    got = [str(r[0]) for r in spark.createDataFrame(rows, "t string").select(capture.parse_exif_ts(F.col("t"))).collect()]
+    assert got == ["2023-05-01 12:30:59", "None", "None", "None", "2023-05-01 12:30:00", "None"]
