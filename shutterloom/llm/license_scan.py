@@ -9,7 +9,10 @@ are intervals; one that lies inside another of the same or a higher level
 (levels count down) is suppressed, of two equal ones the earlier rule stays.
 
 Base phrases are counted apart and are never suppressed. Null and empty texts
-have no words, no labels and the score 0. Every row gives one row.
+have no words, no labels and the score 0. Texts of any length are scanned whole
+(a row's words stand in memory once). Every row gives one row, repeated rows
+equal ones; an empty table gives none. Other columns don't matter, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -106,6 +109,116 @@ SINGLE = (
     ("gpl-3.0-or-later", 2, "any later version", r"either version 3 of the license or at your option any later version"),
     ("mpl-2.0", 2, "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
     ("bsl-1.0", 2, "permission is hereby", r"permission is hereby granted free of charge to any person or organization"),
+    ("mit", 2, "copyright notice and this permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", 2, "merge publish distribute", r"to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("warranty-disclaimer", 2, "without warranty", r"the software is provided as is without warranty of any kind(?: express or implied)?"),
+    ("warranty-disclaimer", 2, "merchantability", r"(?:implied )?warrant(?:y|ies) of merchantability(?: and| or) fitness for a particular purpose"),
+    ("warranty-disclaimer", 2, "no event shall the", r"in no event shall the (?:authors?|copyright holders?|contributors?)(?: or copyright holders?| or contributors)? be liable"),
+    ("bsd", 2, "redistributions", r"redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
+    ("bsd-3-clause", 2, "endorse", r"(?:may|shall) not be used to endorse or promote products derived from this software"),
+    ("bsd-2-clause", 2, "regents", r"the regents of the university of california"),
+    ("bsd-4-clause", 2, "acknowledgement", r"must display the following acknowledgement"),
+    ("isc", 2, "copyright notice and this permission", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", 2, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", 2, "altered source", r"altered source versions must be plainly marked as such"),
+    ("apache-2.0", 2, "compliance", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2.0", 2, "apache", r"licensed to the apache software foundation asf under one or more contributor licen[cs]e agreements"),
+    ("apache-2.0", 2, "unless required", r"unless required by applicable law or agreed to in writing(?: software)?"),
+    ("apache-1.1", 2, "apache", r"this product includes software developed by the apache software foundation"),
+    ("openssl", 2, "openssl", r"this product includes software developed by the openssl project"),
+    ("ssleay", 2, "cryptographic", r"this product includes cryptographic software written by eric young"),
+    ("gpl", 2, "general public", r"you should have received a copy of the gnu general public licen[cs]e along with this (?:program|library|file)"),
+    ("gpl", 2, "hope that it will be useful", r"distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", 2, "free software foundation", r"as published by the free software foundation"),
+    ("gpl-2.0-only", 2, "version 2", r"version 2 of the licen[cs]e only"),
+    ("gpl-3.0-only", 2, "version 3", r"version 3 of the licen[cs]e only"),
+    ("gpl-2.0", 2, "general public", r"gnu general public licen[cs]e as published by the free software foundation (?:either )?version 2"),
+    ("gpl-3.0", 2, "general public", r"gnu general public licen[cs]e as published by the free software foundation (?:either )?version 3"),
+    ("lgpl-2.1", 2, "lesser general", r"gnu lesser general public licen[cs]e as published by the free software foundation (?:either )?version 2 1"),
+    ("lgpl-3.0", 2, "lesser general", r"gnu lesser general public licen[cs]e as published by the free software foundation (?:either )?version 3"),
+    ("agpl-3.0", 2, "affero", r"gnu affero general public licen[cs]e as published by the free software foundation"),
+    ("gpl-exception", 2, "classpath", r"(?:with the )?classpath exception"),
+    ("gpl-exception", 2, "special", r"(?:as a special exception|special linking exception) (?:the copyright holders )?(?:of this library )?(?:give you permission to link|permits linking)"),
+    ("gpl-exception", 2, "gcc runtime", r"gcc runtime library exception"),
+    ("gpl-exception", 2, "llvm", r"llvm exceptions?"),
+    ("gfdl", 2, "invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", 2, "mozilla", r"if a copy of the mpl was not distributed with this file you can obtain one at (?:http |https )?mozilla org mpl 2 0"),
+    ("mpl-1.1", 2, "mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("epl-1.0", 2, "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1 0"),
+    ("epl-2.0", 2, "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e 2 0"),
+    ("cddl-1.0", 2, "common development", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("eupl-1.2", 2, "eupl", r"licensed under the eupl(?: version 1 2)?"),
+    ("bsl-1.0", 2, "boost", r"distributed under the boost software licen[cs]e version 1 0"),
+    ("busl-1.1", 2, "change date", r"change date change licen[cs]e"),
+    ("unlicense", 2, "dedicate", r"we (?:hereby )?dedicate any and all copyright interest in this software to the public domain"),
+    ("unlicense", 2, "unlicense", r"for more information please refer to (?:http |https )?unlicense org"),
+    ("cc0-1.0", 2, "waived all copyright", r"has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", 2, "no copyright", r"no rights reserved no copyright"),
+    ("public-domain", 2, "public domain", r"this (?:work|file|code|software) is (?:in|hereby placed in) the public domain"),
+    ("public-domain", 2, "disclaims copyright", r"the author disclaims copyright to this source code"),
+    ("wtfpl", 2, "want to", r"you just do what the \w+ you want to"),
+    ("beerware", 2, "beer", r"(?:the beer ware licen[cs]e|you can buy me a beer in return)"),
+    ("json", 2, "evil", r"the software shall be used for good not evil"),
+    ("artistic-2.0", 2, "artistic", r"terms of the artistic licen[cs]e 2 0"),
+    ("perl", 2, "perl", r"(?:same terms as perl itself|under the same terms as perl)"),
+    ("python-2.0", 2, "python", r"python software foundation all rights reserved"),
+    ("php-3.01", 2, "php", r"this source file is subject to version 3 0?1 of the php licen[cs]e"),
+    ("ofl-1.1", 2, "font software", r"this font software is licensed under the sil open font licen[cs]e"),
+    ("ofl-1.1", 2, "reserved font", r"with reserved font names?"),
+    ("odbl-1.0", 2, "opendatacommons", r"opendatacommons org licenses odbl"),
+    ("cc-by", 2, "creativecommons", r"creativecommons org licenses by \d \d"),
+    ("cc-by-sa", 2, "creativecommons", r"creativecommons org licenses by sa \d \d"),
+    ("cc-by-nd", 2, "creativecommons", r"creativecommons org licenses by nd \d \d"),
+    ("cc-by-nc", 2, "creativecommons", r"creativecommons org licenses by nc \d \d"),
+    ("cc-by-nc-sa", 2, "creativecommons", r"creativecommons org licenses by nc sa \d \d"),
+    ("cc-by-nc-nd", 2, "creativecommons", r"creativecommons org licenses by nc nd \d \d"),
+    ("cc0-1.0", 2, "creativecommons", r"creativecommons org publicdomain zero 1 0"),
+    ("cc-pdm-1.0", 2, "creativecommons", r"creativecommons org publicdomain mark 1 0"),
+    ("elastic-2.0", 2, "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl-1.0", 2, "making the functionality", r"making the functionality of the program or modified version available to third parties as a service"),
+    ("commons-clause", 2, "commons clause", r"commons clause(?: licen[cs]e)? condition"),
+    ("polyform", 2, "polyform", r"polyform (?:noncommercial|strict|shield|small business|internal use|free trial|perimeter) licen[cs]e"),
+    ("rail", 2, "responsible", r"responsible ai licen[cs]es?"),
+    ("openrail", 2, "openrail", r"(?:bigscience |creativeml )?openrail(?: m)?(?: licen[cs]e)?"),
+    ("llama-community", 2, "llama", r"llama(?: \d)*(?: \d)? community licen[cs]e(?: agreement)?"),
+    ("hippocratic", 2, "hippocratic", r"hippocratic licen[cs]e"),
+    ("anti-996", 2, "996", r"anti 996 licen[cs]e"),
+    ("ecos", 2, "ecos", r"ecos licen[cs]e"),
+    ("vim", 2, "vim", r"vim licen[cs]e"),
+    ("curl", 2, "curl", r"curl licen[cs]e"),
+    ("libpng", 2, "libpng", r"libpng licen[cs]e(?: version 2)?"),
+    ("libpng", 2, "reference library", r"png reference library licen[cs]e(?: version 2)?"),
+    ("ijg", 2, "independent jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("freetype", 2, "freetype", r"(?:the )?freetype project licen[cs]e"),
+    ("imagemagick", 2, "imagemagick", r"imagemagick licen[cs]e"),
+    ("postgresql", 2, "postgresql", r"postgresql licen[cs]e"),
+    ("unicode", 2, "unicode", r"unicode(?: inc)? licen[cs]e agreement data files and software"),
+    ("icu", 2, "icu", r"icu licen[cs]e"),
+    ("w3c", 2, "w3c", r"w3c software (?:and document )?(?:notice and )?licen[cs]e"),
+    ("x11", 2, "x11", r"x11 licen[cs]e"),
+    ("xfree86", 2, "xfree86", r"xfree86 licen[cs]e(?: 1 1)?"),
+    ("tcl", 2, "tcl", r"tcl tk licen[cs]e"),
+    ("ncsa", 2, "ncsa", r"(?:university of illinois ncsa )?ncsa open source licen[cs]e"),
+    ("intel", 2, "intel", r"intel (?:open source|simplified software) licen[cs]e"),
+    ("nvidia", 2, "nvidia", r"nvidia (?:software|source code) licen[cs]e(?: agreement)?"),
+    ("oracle-bcl", 2, "oracle", r"oracle binary code licen[cs]e(?: agreement)?"),
+    ("sun-sissl", 2, "sun industry", r"sun industry standards source licen[cs]e"),
+    ("ms-lpl", 2, "microsoft", r"microsoft limited public licen[cs]e"),
+    ("ms-eula", 2, "microsoft", r"microsoft software licen[cs]e terms"),
+    ("apple-apsl", 2, "apple public", r"apple public source licen[cs]e(?: (?:version )?\d(?: \d)?)?"),
+    ("ibm-pl", 2, "ibm public", r"ibm public licen[cs]e(?: (?:version )?1 0)?"),
+    ("lucent", 2, "lucent", r"lucent public licen[cs]e(?: (?:version )?1 02)?"),
+    ("qpl", 2, "q public", r"(?:the )?q public licen[cs]e(?: (?:version )?1 0)?"),
+    ("sleepycat", 2, "sleepycat", r"sleepycat licen[cs]e"),
+    ("watcom", 2, "watcom", r"sybase open watcom public licen[cs]e"),
+    ("nposl", 2, "non profit", r"non profit open software licen[cs]e(?: 3 0)?"),
+    ("eula", 2, "end user", r"end user licen[cs]e agreement"),
+    ("trial", 2, "evaluation", r"for evaluation (?:purposes )?only"),
+    ("non-commercial", 2, "commercial", r"(?:for )?non commercial (?:use|purposes)(?: only)?"),
+    ("non-commercial", 2, "noncommercial", r"(?:for )?noncommercial (?:use|purposes)(?: only)?"),
+    ("proprietary", 2, "trade", r"(?:contains|constitutes?) (?:valuable )?trade secrets?"),
+    ("proprietary", 2, "internal use", r"for internal use only"),
+    ("proprietary", 2, "reverse engineer", r"(?:may not|shall not) reverse engineer decompile or disassemble"),
     ("proprietary", 2, "proprietary", r"(?:confidential and proprietary|proprietary and confidential)"),
     ("proprietary", 2, "unauthori", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
     ("proprietary", 2, "without the prior", r"without the prior written (?:permission|consent)"),
