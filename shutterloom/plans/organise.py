@@ -228,7 +228,9 @@ def resolved(rows: DataFrame, rule: Rule, inventory: DataFrame) -> DataFrame:
     Only where a number could make a name that another row asks for (`x` twice
     beside `x_1`) the rows of that family are replayed in scan order.
     """
-    known = inventory.groupBy("path").agg(F.max(_column(inventory, "file_identity")).alias("disk_identity"))
+    # both are read several times; names are rendered once
+    rows = checkpointed(rows)
+    known = checkpointed(inventory.groupBy("path").agg(F.max(_column(inventory, "file_identity")).alias("disk_identity")))
     disk = known.select(text.parent(F.col("path")).alias("disk_dir"), text.file_name(F.col("path")).alias("disk_name"), F.col("path").alias("disk_path"), "disk_identity")
     claimed = rows.select(F.col("path").alias("_c")).distinct()
     rows = rows.join(claimed, F.col("desired") == F.col("_c"), "left").withColumn("claimed", F.col("_c").isNotNull()).drop("_c")
