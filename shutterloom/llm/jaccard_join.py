@@ -218,7 +218,9 @@ class _Sets:
 def tile_links(keys: list[int], sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
     """Spanning links among sets of one tile; of two sides only pairs across are compared.
 
-    Shared shingles are counted through the tile's own inverted lists.
+    Shared shingles are counted through the tile's own inverted lists. A set
+    is compared only if some other is not in its component yet, so sets around
+    a common centre cost little more than one round.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -227,19 +229,25 @@ def tile_links(keys: list[int], sets: list[np.ndarray], sides: list[int], percen
     values, owner = values[by], owner[by]
     side = np.array(sides)
     two = len(set(sides)) > 1
-    groups = _Sets(len(sets))
+    root = np.arange(len(sets))  # the first set of each component
     for i, own in enumerate(sets):
+        asked = root != root[i]
+        asked[: i + 1] = False
+        if two:
+            asked &= side != side[i]
+        # the length filter
+        asked &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
+        if not asked.any():
+            continue
         lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, "right")
         n = hi - lo
         at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
         shared = np.bincount(owner[at], minlength=len(sets))
-        linked = 100 * shared >= percent * (sizes + sizes[i] - shared)
-        linked[: i + 1] = False
-        if two:
-            linked &= side != side[i]
-        for j in np.flatnonzero(linked).tolist():
-            groups.join(i, j)
-    return [(keys[i], keys[r]) for i in range(len(keys)) if (r := groups.find(i)) != i]
+        hit = np.flatnonzero(asked & (100 * shared >= percent * (sizes + sizes[i] - shared)))
+        if len(hit):
+            met = np.unique(np.append(root[hit], root[i]))
+            root[np.isin(root, met)] = met[0]
+    return [(keys[i], keys[r]) for i, r in enumerate(root.tolist()) if r != i]
 
 
 def family_links(members: DataFrame, percent: int) -> DataFrame:
