@@ -45,7 +45,7 @@ from .common import Tables, bounded_batches, table
 from .jaccard_join import _Sets
 
 #: Dimensions of a block, vectors that an orthant should own, vectors of a tile's side.
-BLOCK, CELL, TILE = 8, 1024, 1024
+BLOCK, CELL, TILE = 8, 1024, 8192
 #: Room for rounding of single precision; what lies inside it is decided in double precision.
 MARGIN = 1e-5
 
