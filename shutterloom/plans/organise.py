@@ -277,7 +277,8 @@ def resolved(rows: DataFrame, rule: Rule, inventory: DataFrame) -> DataFrame:
     kind = {f.name: f.dataType for f in rows.schema}
     met = there.select(F.col("disk_dir").alias("target_dir"), F.col("_family").alias("family"), F.lit(True).alias("listed"), F.lit(None).cast(kind["item_id"]).alias("item_id"), F.col("disk_name").alias("desired_name"), F.lit(False).alias("in_place"), F.lit(False).alias("claimed"), F.lit(None).cast(kind["scan_ordinal"]).alias("scan_ordinal"))
     busy = marked.filter("chained").select("target_dir", "family", F.lit(False).alias("listed"), "item_id", "desired_name", "in_place", "claimed", "scan_ordinal")
-    ordered = busy.unionByName(met).repartition("target_dir", "family").sortWithinPartitions("target_dir", "family", F.desc("listed"), "scan_ordinal", "item_id")
+    # a union takes over the partitioning that its sides claim, which adaptive execution may change: deal by a key that no side is dealt by
+    ordered = busy.unionByName(met).repartition(F.xxhash64("target_dir", "family")).sortWithinPartitions("target_dir", "family", F.desc("listed"), "scan_ordinal", "item_id")
     replayed = ordered.drop("scan_ordinal").mapInArrow(_resolver(rule.conflict), _RESOLVED.format(key=kind["item_id"].simpleString()))
     return calm.select(names).unionByName(marked.filter("chained").join(replayed, "item_id").select(names)).drop("in_place", "claimed", "on_disk", "meets", "over", "in_batch")
 
