@@ -40,10 +40,10 @@ class Tables:
         self.spark = spark
         self.paths: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it again."""
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write `df` (with options of the writer) and read it again."""
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -84,6 +84,11 @@ def sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column)
     return kept.drop("_p")
 
 
+def finite_vector(vector: Column) -> Column:
+    """Whether a vector and all its components are there and finite; null for a null vector."""
+    return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

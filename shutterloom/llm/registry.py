@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_join, jaccard_join, language_id, license_scan, quality, token_counts, token_store, url_filter
+from . import bpe, decontaminate, embedding_join, jaccard_join, language_id, lexical_search, license_scan, nearest, quality, token_counts, token_store, url_filter, vector_codes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,11 @@ def queries() -> dict[str, Query]:
         "op8_language_id": language_id.op8_language_id,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_quality": quality.op10_quality,
+        "op11_nearest": nearest.op11_nearest,
+        "op12_lexical_search": lexical_search.op12_lexical_search,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_join": embedding_join.OP5_SQL, "op6_url_filter": url_filter.OP6_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op5_embedding_join": embedding_join.OP5_SQL, "op6_url_filter": url_filter.OP6_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_decontaminate": decontaminate.OP9_SQL, "op12_lexical_search": lexical_search.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
