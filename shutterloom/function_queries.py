@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shutterloom.functions import capture, fingerprint, templates, text
 from shutterloom.operators import dedup, similarity, views
 from shutterloom.plans import execute, organise
-from shutterloom.queries import _DOCS, _EXACT, _JOURNAL, _KEPT, _ORD, _SKIP, _TREE, _decided, _inventory, _plan, _undo_inputs, docs_items, order_items, path_items, query
+from shutterloom.queries import _DOCS, _EXACT, _JOURNAL, _KEPT, _ORD, _SKIP, _TREE, _WHY, _decided, _inventory, _plan, _undo_inputs, docs_items, order_items, path_items, query
 from shutterloom.scratch import shared_dir
 from shutterloom.sources import catalogue, journal
 from shutterloom.sources.adapters import JOURNAL_EVENTS, adapted
@@ -278,8 +278,8 @@ def undo_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute.undo_plan(*_undo_inputs(spark, sf_dir)).select("session_id", "seq", "undo_order", "undo_action", "undo_status", "from_path", "to_path")
 
 
-@query(_SKIP + """, files AS (SELECT path FROM items WHERE item_id % 10 > 0 UNION SELECT path FROM inventory), o AS (SELECT ops.item_id, items.scan_ordinal * 2 + 1 AS seq, items.path, ops.desired FROM ops JOIN items USING (item_id) WHERE op_kind = 'move')
-SELECT item_id, seq, path AS source_path, CASE WHEN item_id % 10 > 0 THEN 'success' ELSE 'failed' END AS result, CASE WHEN item_id % 10 > 0 THEN '' ELSE '源文件不存在' END AS message FROM o""")
+@query(_SKIP + """, files AS (SELECT path FROM items WHERE item_id % 10 > 0 UNION SELECT path FROM inventory), o AS (SELECT ops.item_id, items.scan_ordinal * 2 + 1 AS seq, items.path, captured_at, time_source, ops.desired FROM ops JOIN items USING (item_id) WHERE op_kind = 'move')
+SELECT item_id, seq, path AS source_path, CASE WHEN item_id % 10 > 0 THEN 'success' ELSE 'failed' END AS result, CASE WHEN item_id % 10 > 0 THEN """ + _WHY + """ ELSE '源文件已不存在' END AS message FROM o""")
 def applied_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal of a plan some of whose sources are gone."""
     items = order_items(spark, sf_dir)

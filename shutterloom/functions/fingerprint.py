@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Bytes of the head and tail of a quick signature; sides of the grey and colour grids.
 QUICK_BYTES = 256 * 1024
 GREY, COLOUR = 32, 4
+#: Bytes of an image that are held as floats at once.
+STRIPE_BYTES = 8 << 20
 
 
 def hamming64(a: Column, b: Column) -> Column:
@@ -80,39 +82,57 @@ def _cosines() -> np.ndarray:
     return scale * np.cos((2 * x + 1) * k * np.pi / (2 * GREY))
 
 
-def _shrink(pixels: np.ndarray, side: int) -> np.ndarray:
-    """Mean over the area of each cell of a side x side grid."""
-    def weights(n: int) -> np.ndarray:
-        edges = np.linspace(0, n, side + 1)
-        lo, hi = np.arange(n)[None, :], np.arange(1, n + 1)[None, :]
-        w = np.clip(np.minimum(hi, edges[1:, None]) - np.maximum(lo, edges[:-1, None]), 0, None)
-        return w / w.sum(1, keepdims=True)
+def _weights(n: int, side: int) -> np.ndarray:
+    """The part that each of `n` places has in each of `side` cells of equal length."""
+    edges = np.linspace(0, n, side + 1)
+    lo, hi = np.arange(n)[None, :], np.arange(1, n + 1)[None, :]
+    w = np.clip(np.minimum(hi, edges[1:, None]) - np.maximum(lo, edges[:-1, None]), 0, None)
+    return w / w.sum(1, keepdims=True)
 
-    return np.einsum("ih,hwc,jw->ijc", weights(pixels.shape[0]), pixels, weights(pixels.shape[1]))
+
+def _shrunk(pixels: np.ndarray, sides: tuple[int, ...]) -> list[np.ndarray]:
+    """Means over the area of each cell of grids of some sides. Rows are taken in stripes, so that only a stripe of the image is held as floats."""
+    height, width, channels = pixels.shape
+    down, across = [_weights(height, s) for s in sides], [_weights(width, s) for s in sides]
+    out = [np.zeros((s, s, channels)) for s in sides]
+    stripe = max(1, STRIPE_BYTES // (8 * width * channels))
+    for at in range(0, height, stripe):
+        part = pixels[at : at + stripe].astype(np.float64)
+        for grid, d, a in zip(out, down, across, strict=True):
+            grid += np.tensordot(d[:, at : at + stripe], np.matmul(a, part), (1, 0))
+    return out
 
 
 def signatures_of_pixels(rgb: np.ndarray) -> tuple[int, list[int]]:
-    """Perceptual hash (signed 64 bits) and 48 mean colours of an image (height, width, 3)."""
-    grey = _shrink((rgb @ np.array([0.299, 0.587, 0.114]))[:, :, None], GREY)[:, :, 0] - 128
+    """Perceptual hash (signed 64 bits) and 48 mean colours of an image (height, width, 3) of bytes or floats."""
+    fine, coarse = _shrunk(rgb, (GREY, COLOUR))
+    grey = fine @ np.array([0.299, 0.587, 0.114]) - 128
     low = (_cosines() @ grey @ _cosines().T).reshape(-1)
     ordered = np.sort(low)
     bits = low > (ordered[31] + ordered[32]) / 2
     value = sum(1 << i for i in np.flatnonzero(bits).tolist())
-    return value - (1 << 64) if value >> 63 else value, np.rint(_shrink(rgb, COLOUR)).astype(int).reshape(-1).tolist()
+    return value - (1 << 64) if value >> 63 else value, np.rint(coarse).astype(int).reshape(-1).tolist()
 
 
 def image_signatures(images: DataFrame) -> DataFrame:
-    """Rows (path, phash, color_sig) from Spark's image source (columns of its `image` struct, BGR or grey bytes); what can't be decoded gets nulls."""
+    """Rows (path, phash, color_sig) from Spark's image source (columns of its `image` struct, BGR or grey bytes); what can't be decoded gets nulls.
+
+    A row holds an image's raw bytes. Spark closes a batch at
+    `spark.sql.execution.arrow.maxBytesPerBatch` (64 MiB), and here images are
+    shrunk one after the other, in stripes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, hashes, colours = [], [], []
-            for row in batch.to_pylist():
+            # an image at a time, its bytes where Arrow has them
+            for origin, height, width, channels, data in zip(*(batch.column(i) for i in range(5)), strict=True):
                 value, grid = None, None
-                if row["data"] and row["height"] > 0 and row["width"] > 0 and row["nChannels"] in (1, 3, 4):
-                    raw = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"]).astype(float)
-                    value, grid = signatures_of_pixels(raw[:, :, [2, 1, 0]] if raw.shape[2] >= 3 else np.repeat(raw, 3, 2))
-                paths.append(row["origin"])
+                height, width, channels = height.as_py() or 0, width.as_py() or 0, channels.as_py() or 0
+                if data.is_valid and height > 0 and width > 0 and channels in (1, 3, 4) and len(data.as_buffer()) == height * width * channels:
+                    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(height, width, channels)
+                    value, grid = signatures_of_pixels(raw[:, :, [2, 1, 0]] if channels >= 3 else np.broadcast_to(raw, (height, width, 3)))
+                paths.append(origin.as_py())
                 hashes.append(value)
                 colours.append(grid)
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(hashes, pa.int64()), pa.array(colours, pa.list_(pa.int16()))], names=["path", "phash", "color_sig"])

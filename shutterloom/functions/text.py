@@ -22,6 +22,11 @@ def parent(path: Column) -> Column:
     return F.when(cut == path, F.lit("")).when((cut == "") & path.startswith("/"), F.lit("/")).otherwise(cut)
 
 
+def child(folder: Column, name: Column) -> Column:
+    """The path of a name in a folder."""
+    return F.concat(F.when(folder == "/", "").otherwise(folder), F.lit("/"), name)
+
+
 def raw_extension(name: Column) -> Column:
     """The ending after the last dot in its own case; none for hidden files and names without a dot."""
     return F.regexp_extract(name, r"^.+\.([^./]+)$", 1)

@@ -41,3 +41,32 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     linked = members.unionByName(roots)
     rest = alone.join(linked, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
     return linked.unionByName(rest)
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """A minimum spanning forest of links (a, b, distance): for every bound, the forest's links within it join what all links within it join.
+
+    Each round every tree takes its nearest link to another one (of equal
+    distances the smallest pair), and the trees that meet become one, so that
+    their number halves at least. Links of a tree to itself are dropped on the
+    way.
+    """
+    links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    left = checkpointed(links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("distance").alias("distance")).select("a", "b", "distance", F.col("a").alias("s"), F.col("b").alias("t")))
+    parts = []
+    for _ in range(MOST_ROUNDS):
+        if not left.take(1):
+            break
+        ends = left.select(F.explode(F.array("s", "t")).alias("tree"), F.struct("distance", "a", "b").alias("link"))
+        nearest = checkpointed(ends.groupBy("tree").agg(F.min("link").alias("link")).select("tree", "link.*").join(left.select("a", "b", "s", "t"), ["a", "b"]))
+        parts.append(checkpointed(nearest.select("a", "b", "distance").distinct()))
+        trees = connected_components(nearest.select("s", "t"), "s", "t")
+        one, two = trees.toDF("_s", "_one"), trees.toDF("_t", "_two")
+        # every tree with a link has taken one, so each stands in the components
+        left = checkpointed(left.join(one, F.col("s") == F.col("_s")).join(two, F.col("t") == F.col("_t")).filter("_one <> _two").select("a", "b", "distance", F.col("_one").alias("s"), F.col("_two").alias("t")))
+    else:
+        raise RuntimeError("the forest did not converge")
+    forest = parts[0] if parts else left.select("a", "b", "distance")
+    for part in parts[1:]:
+        forest = forest.unionByName(part)
+    return forest

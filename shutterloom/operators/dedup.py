@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from shutterloom.functions import text
 from shutterloom.scratch import checkpointed, numbered
 
 from . import similarity
-from .components import connected_components
+from .components import connected_components, spanning_forest
 
 
 def confirmed_hashes(items: DataFrame, contents: DataFrame) -> DataFrame:
@@ -140,6 +142,28 @@ def recluster(items: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     return groups_and_members(items, clusters(links), links)
 
 
+@dataclass(frozen=True)
+class LinkedImages:
+    """Links of images at the largest threshold, and what a smaller one needs of them."""
+
+    links: DataFrame
+    forest: DataFrame
+
+
+def linked_images(items: DataFrame, most: int = similarity.MOST_THRESHOLD) -> LinkedImages:
+    """Identity links and links of images of up to `most` bits, found once, with their spanning forest."""
+    found = identity_links(items).unionByName(similarity.image_links(items.filter("kind = 'image'"), most))
+    links = checkpointed(found)
+    return LinkedImages(links, checkpointed(spanning_forest(links)))
+
+
+def recluster_linked(items: DataFrame, linked: LinkedImages, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """`recluster` of images at any threshold up to that of `linked`: no hash is compared again, only links of the forest are joined."""
+    within = F.col("distance") <= min(similarity.MOST_THRESHOLD, max(0, threshold))
+    membership = clusters(linked.forest.filter(within))
+    return groups_and_members(items, membership, linked.links.filter(within))
+
+
 def of_kind(groups: DataFrame, dup_kind: str | None) -> DataFrame:
     """Groups of one kind (exact, similarImage, similarVideo); all for None."""
     return groups if dup_kind is None else groups.filter(F.col("dup_kind") == dup_kind)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterloom.functions.fingerprint import colour_distance, frame_agreement, hamming64
+from shutterloom.scratch import checkpointed
 
 #: The largest threshold, default tolerances.
 MOST_THRESHOLD, ASPECT_TOLERANCE, DURATION_TOLERANCE, COLOUR_TOLERANCE, FRAME_TOLERANCE = 20, 0.12, 0.15, 48.0, 0.4
@@ -51,11 +55,6 @@ def layout(threshold: int) -> list[tuple[int, int]]:
     return [(i, min(bits, 64 - i)) for i in range(0, 64, bits)]
 
 
-def bands(phash: Column, threshold: int) -> Column:
-    """Keys (band, value), one of which two hashes within `threshold` bits share: threshold + 1 chunks of nearly equal width."""
-    return F.array(*[F.struct(F.lit(i).alias("band"), part.alias("value")) for i, part in enumerate(chunks(phash, threshold + 1))])
-
-
 def _in_tiles(distinct: DataFrame, threshold: int) -> DataFrame:
     """Pairs of distinct hashes (k, h) by tiles, for thresholds at which any band is shared by most pairs.
 
@@ -86,6 +85,116 @@ def _in_tiles(distinct: DataFrame, threshold: int) -> DataFrame:
     return found.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "distance")
 
 
+#: Chunks of a hash that are probed within a radius, their width; the largest part of all pairs for which that pays; hashes that a task probes at once and pairs that it looks at together.
+PROBE_CHUNKS, PROBE_BITS, PROBE_PART, PROBE_TILE, PROBE_PAIRS = 4, 16, 0.1, 1 << 19, 1 << 20
+
+
+def probe_radii(threshold: int) -> list[int]:
+    """What each chunk may differ by so that two hashes within `threshold` have one that does: the radii sum up to threshold - chunks + 1."""
+    total = threshold - PROBE_CHUNKS + 1
+    return [total // PROBE_CHUNKS + (c < total % PROBE_CHUNKS) for c in range(PROBE_CHUNKS)]
+
+
+def probed_part(threshold: int) -> float:
+    """The part of all pairs of random hashes that probing looks at."""
+    return sum(sum(math.comb(PROBE_BITS, k) for k in range(r + 1)) for r in probe_radii(threshold)) / (1 << PROBE_BITS)
+
+
+@lru_cache(maxsize=8)
+def probe_masks(radius: int) -> np.ndarray:
+    """All values of a chunk with at most `radius` bits."""
+    values = np.arange(1 << PROBE_BITS, dtype=np.uint16)
+    return values[np.bitwise_count(values) <= radius]
+
+
+def probe_pairs(listed: np.ndarray, probing: np.ndarray, chunk: int, threshold: int, before: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in `probing` and `listed` (64-bit hashes) of the pairs within the threshold that `chunk` is the first to find, and their distances.
+
+    A pair is found from its smaller chunk value, or else its smaller hash; of
+    equal hashes `before` tells which pairs of places are in order.
+    """
+    radii = probe_radii(threshold)
+    part = lambda h, c: ((h >> np.uint64(PROBE_BITS * c)) & np.uint64((1 << PROBE_BITS) - 1)).astype(np.int64)
+    order = np.argsort(part(listed, chunk), kind="stable")
+    starts = np.searchsorted(part(listed, chunk)[order], np.arange((1 << PROBE_BITS) + 1))
+    own, hashes = part(probing, chunk), listed[order]
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+
+    def look(rows: np.ndarray, begin: np.ndarray, n: np.ndarray, equal: bool) -> None:
+        total = np.cumsum(n)
+        for lo in range(0, len(rows), PROBE_TILE):  # slices of rows, cut again by pairs
+            at = lo
+            while at < min(len(rows), lo + PROBE_TILE):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PROBE_PAIRS, "right")))
+                k = n[at:to]
+                a = np.repeat(rows[at:to], k)
+                b = np.repeat(begin[at:to] - (np.cumsum(k) - k), k) + np.arange(len(a))
+                x, y = probing[a], hashes[b]
+                apart = np.bitwise_count(x ^ y)
+                fits = apart <= threshold
+                if equal:
+                    same = np.flatnonzero(fits & (x == y))
+                    fits &= x < y
+                    fits[same] = before(a[same], order[b[same]])
+                a, b, x, y, apart = a[fits], b[fits], x[fits], y[fits], apart[fits]
+                fresh = np.ones(len(a), bool)
+                for c in range(chunk):
+                    fresh &= np.bitwise_count(part(x, c) ^ part(y, c)) > radii[c]
+                out[0].append(a[fresh])
+                out[1].append(order[b[fresh]])
+                out[2].append(apart[fresh].astype(np.int64))
+                at = to
+
+    for mask in probe_masks(radii[chunk]).astype(np.int64):
+        other = own ^ mask
+        begin = starts[other]
+        n = starts[other + 1] - begin
+        rows = np.flatnonzero((n > 0) & ((other > own) | (mask == 0)))
+        if len(rows):
+            look(rows, begin[rows], n[rows], mask == 0)
+    a, b, d = (np.concatenate(x) for x in out)
+    return a, b, d
+
+
+def _by_probes(distinct: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of distinct hashes (k, h) by probing chunks with all values within their radius.
+
+    Hashes are listed by a prefix of each chunk, whose length follows their
+    number; lists beyond TILE * 16 hashes are split. A hash goes to the lists
+    of its chunks that a value within the radius, not smaller than its own, may
+    stand in, and probes them there.
+    """
+    listed_most = 16 * TILE
+    n = distinct.count()
+    prefix = max(0, min(PROBE_BITS, int(n // listed_most).bit_length()))
+    radii = probe_radii(threshold)
+    key = distinct.schema["k"].dataType.simpleString()
+    each = distinct.select("k", "h", F.explode(F.array(*[F.struct(F.lit(c).alias("chunk"), F.lit(r).alias("radius")) for c, r in enumerate(radii)])).alias("c")).select("k", "h", "c.*")
+    front = F.expr(f"cast((shiftrightunsigned(h, {PROBE_BITS} * chunk) & {(1 << PROBE_BITS) - 1}) >> {PROBE_BITS - prefix} AS int)")
+    each = each.withColumn("own", front)
+    listed = each.withColumn("list", F.col("own"))
+    # at most PROBE_CHUNKS * 2^PROBE_BITS rows of numbers
+    sizes = F.broadcast(listed.groupBy("chunk", "list").agg(F.ceil(F.count("*") / listed_most).cast("int").alias("tiles")))
+    near = F.filter(F.sequence(F.col("own"), F.lit((1 << prefix) - 1)), lambda b: F.bit_count(b.bitwiseXOR(F.col("own"))) <= F.col("radius"))
+    asking = each.withColumn("list", F.explode(near))
+    # who probes a list is dealt too, in slices of about PROBE_TILE hashes
+    asked = F.broadcast(asking.groupBy("chunk", "list").agg(F.ceil(F.count("*") / PROBE_TILE).cast("int").alias("slices")))
+    deal = lambda c: F.pmod(F.xxhash64("h"), F.col(c)).cast("int")
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    group = ["chunk", "list", "tile", "slice"]
+    one = listed.join(sizes, ["chunk", "list"]).join(asked, ["chunk", "list"]).withColumns({"tile": deal("tiles"), "slice": span("slices")}).select(*group, "k", "h").toDF(*group, "k", "h")
+    two = asking.join(sizes, ["chunk", "list"]).join(asked, ["chunk", "list"]).withColumns({"tile": span("tiles"), "slice": deal("slices")}).select(*group, "k", "h").toDF("chunk2", "list2", "tile2", "slice2", "k", "h")
+
+    def run(place: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        h, q = (t.column("h").to_numpy().view(np.uint64) if t.num_rows else np.zeros(0, np.uint64) for t in (left, right))
+        ordered = lambda a, b: pc.less(right.column("k").take(pa.array(a)), left.column("k").take(pa.array(b))).to_numpy()
+        a, b, d = probe_pairs(h, q, place[0].as_py(), threshold, ordered)
+        return pa.table([right.column("k").take(pa.array(a)), left.column("k").take(pa.array(b)), pa.array(d.astype(np.int32))], names=["ka", "kb", "distance"])
+
+    found = one.groupBy(*group).cogroup(two.groupBy("chunk2", "list2", "tile2", "slice2")).applyInArrow(run, f"ka {key}, kb {key}, distance int")
+    return found.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "distance")
+
+
 def chunk_groups(phash: Column, threshold: int, together: int) -> Column:
     """Keys of a hash: all choices of `together` out of threshold + together chunks, with the chunks' values.
 
@@ -108,11 +217,13 @@ def first_meeting(a: Column, b: Column, threshold: int, together: int) -> Column
 def _near(distinct: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a < b, distance) of distinct rows (k, h); a hash may occur more than once.
 
-    The more hashes there are, the more chunks a key takes together, so that
+    Where bands are too narrow, chunks are probed within a radius; where that
+    would look at most pairs anyway (above a threshold of 16), hashes are
+    compared in tiles. Else the more hashes there are, the more chunks a key takes together, so that
     its bits grow with them and lists stay short.
     """
     if 64 // (threshold + 1) < BAND_BITS:
-        return _in_tiles(distinct, threshold)
+        return _by_probes(distinct, threshold) if probed_part(threshold) <= PROBE_PART else _in_tiles(distinct, threshold)
     most = distinct.count()
     together = next((t for t in (1, 2, 3) if 64 * t // (threshold + t) >= math.log2(max(most, 2)) - LIST_BITS), 3)
     keyed = distinct.select("k", "h", F.posexplode(chunk_groups(F.col("h"), threshold, together)).alias("_", "key")).drop("_")
@@ -158,28 +269,61 @@ def image_links(items: DataFrame, threshold: int = 6, aspect: float = ASPECT_TOL
     return found.unionByName(star)
 
 
+def needed_frames(n: Column, frame_tolerance: float) -> Column:
+    """How many frames of a sequence of `n` must agree at least: the smallest number whose part of n is 1 - tolerance."""
+    return F.ceil(n.cast("double") * F.lit(1.0 - frame_tolerance) - 1e-9).cast("int")
+
+
+def video_candidates(videos: DataFrame, threshold: int, frame_tolerance: float) -> DataFrame:
+    """Pairs (a < b) of videos (item_id, frames) that may agree in enough frames, place by place.
+
+    Of n frames as many may differ as aren't needed, so one frame more than
+    that meets a frame of the other video at the same place. Each video asks
+    with that many of its frames only, those whose hashes the fewest videos
+    have at their place: black frames that many videos share ask for nothing,
+    as long as a video has others. Near hashes are found once for all places.
+    """
+    places = checkpointed(videos.select("item_id", F.size("frames").alias("n"), F.posexplode("frames").alias("place", "h")).filter("h IS NOT NULL"))
+    shared = places.groupBy("place", "h").agg(F.count("*").alias("videos"))
+    counted = places.join(shared, ["place", "h"])
+    rare = counted.groupBy("item_id", "n").agg(F.array_sort(F.collect_list(F.struct("videos", "place", "h"))).alias("all"))  # as many as a video has frames
+    asking = rare.select("item_id", F.explode(F.slice("all", 1, F.greatest(F.lit(1), F.col("n") - needed_frames(F.col("n"), frame_tolerance) + 1))).alias("f")).select("item_id", "f.place", "f.h")
+    distinct = checkpointed(places.select("h").distinct())
+    near = _near(distinct.select(F.col("h").alias("k"), "h"), threshold)
+    # both directions and the hash itself, in one pass over the pairs
+    other = checkpointed(near.select(F.inline(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("g")), F.struct(F.col("b").alias("h"), F.col("a").alias("g"))))))
+    alike = asking.join(other, "h").select("item_id", "place", F.col("g").alias("h"))
+    met = lambda x: x.join(places.select(F.col("item_id").alias("other"), "place", "h"), ["place", "h"]).filter("item_id <> other").select(F.least("item_id", "other").alias("a"), F.greatest("item_id", "other").alias("b"))
+    pairs = checkpointed(met(asking)).unionByName(checkpointed(met(alike)))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("votes")).select("a", "b")
+
+
 def video_links(videos: DataFrame, threshold: int = 6, frame_tolerance: float = FRAME_TOLERANCE, duration_tolerance: float = DURATION_TOLERANCE, strict_layout: bool = True) -> DataFrame:
     """Links (a, b, distance) between videos (item_id, frames, duration).
 
     At least a part of 1 - `frame_tolerance` of the frames must agree place by
-    place. `strict_layout` also asks that the first frames share a chunk of
-    the fixed layout; these chunks are then the key of the join. Without it
-    the bands of all frames are: above a threshold of 8 they are a few bits
-    wide and most pairs become candidates; use that on small catalogues.
+    place; candidates are found by frames that few videos have. `strict_layout`
+    also asks that the first frames share a chunk of the fixed layout. Videos
+    with equal frames and durations are compared as one, whose smallest item
+    stands for all; the others are linked to it by a star. Sequences with a
+    null frame take no part.
     """
     threshold = min(MOST_THRESHOLD, max(0, threshold))
     if frame_tolerance >= 1:
         raise ValueError("a frame tolerance of 1 or more links all videos")
-    known = videos.filter(F.size("frames") > 0).select("item_id", "frames", "duration")
+    known = videos.filter((F.size("frames") > 0) & F.forall("frames", lambda f: f.isNotNull())).select("item_id", "frames", "duration")
+    heads = checkpointed(known.groupBy("frames", "duration").agg(F.min("item_id").alias("item_id")))
+    same = (F.col("frames") == F.col("_f")) & F.col("duration").eqNullSafe(F.col("_d"))
+    star = known.join(heads.select(F.col("frames").alias("_f"), F.col("duration").alias("_d"), F.col("item_id").alias("a")), same).filter("item_id <> a").select("a", F.col("item_id").alias("b"), F.lit(0).alias("distance"))
+    pairs = video_candidates(heads, threshold, frame_tolerance)
+    side = lambda n: heads.select(F.col("item_id").alias(n), F.col("frames").alias(f"f{n}"), F.col("duration").alias(f"d{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(duration_compatible(F.col("da"), F.col("db"), duration_tolerance))
     if strict_layout:
-        first = F.element_at("frames", 1)
-        keys = F.array(*[F.struct(F.lit(i).alias("place"), F.shiftrightunsigned(first, start).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for i, (start, bits) in enumerate(layout(threshold))])
-        keyed = known.select("item_id", "frames", "duration", F.explode(keys).alias("key"))
-    else:
-        keyed = known.select("item_id", "frames", "duration", F.posexplode("frames").alias("place", "frame")).select("item_id", "frames", "duration", F.explode(F.transform(bands(F.col("frame"), threshold), lambda b: F.struct(F.col("place").alias("place"), b.alias("value")))).alias("key"))
-    a, b = keyed.toDF("ka", "fa", "da", "key"), keyed.toDF("kb", "fb", "db", "key2")
-    score = frame_agreement(F.col("fa"), F.col("fb"), threshold)
-    meet = (F.col("key") == F.col("key2")) & (F.col("ka") < F.col("kb")) & duration_compatible(F.col("da"), F.col("db"), duration_tolerance)
-    # pairs that agree are few, so they fall together after the test, by their ids alone
-    scored = a.join(b, meet).select(F.col("ka").alias("a"), F.col("kb").alias("b"), score.alias("s")).filter(F.col("s.ratio") >= 1.0 - frame_tolerance)
-    return scored.select("a", "b", F.round("s.mean").cast("int").alias("distance")).distinct()
+        one, two = F.element_at("fa", 1), F.element_at("fb", 1)
+        part = lambda h, start, bits: F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << bits) - 1))
+        shares = F.lit(False)
+        for start, bits in layout(threshold):
+            shares |= part(one, start, bits) == part(two, start, bits)
+        both = both.filter(shares)
+    scored = both.select("a", "b", frame_agreement(F.col("fa"), F.col("fb"), threshold).alias("s")).filter(F.col("s.ratio") >= 1.0 - frame_tolerance)
+    return scored.select("a", "b", F.round("s.mean").cast("int").alias("distance")).unionByName(star)

@@ -6,13 +6,15 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shutterloom import schema
 from shutterloom.functions import templates, text
 from shutterloom.scratch import checkpointed, numbered
 
+from .numbering import chains, free_numbers, suffixed, without_number
+
 #: Sources or labels of capture times in reasons.
 _BY_DEVICE = ("{camera}", "{make}", "{model}")
 
@@ -106,6 +108,13 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("considered"), F.count_if(~passed).alias("filtered_out"), F.count_if(passed & F.col("is_excluded")).alias("excluded"))
 
 
+def observed(rows: DataFrame, name: str = "counters") -> tuple[DataFrame, Observation]:
+    """`rows` of `considered`, and what `counters` says of them once they have been read to the end: no pass of its own."""
+    seen = Observation(name)
+    passed = F.col("reject_reason").isNull()
+    return rows.observe(seen, F.count(F.lit(1)).alias("considered"), F.count_if(~passed).alias("filtered_out"), F.count_if(passed & F.col("is_excluded")).alias("excluded")), seen
+
+
 def prepared(rows: DataFrame, rule: Rule, f: Filter) -> DataFrame:
     """What goes on to planning, with target folder, sequence number and desired path."""
     kept = rows.filter(F.col("reject_reason").isNull() & (~F.col("is_excluded") | (F.col("is_redundant") & F.lit(f.clean_redundant))))
@@ -137,16 +146,11 @@ def prepared(rows: DataFrame, rule: Rule, f: Filter) -> DataFrame:
 _RESOLVED = "item_id {key}, final_name string, outcome string, note string, overwrites boolean"
 
 
-def _family(name: Column) -> Column:
-    """Name without numbers that conflicts may have added, and ending: all alternatives of a name stay in its family."""
-    return F.concat(F.regexp_replace(text.stem(name), r"(_\d+)+$", ""), F.lit("\0"), text.raw_extension(name))
-
-
 def _resolver(policy: str):
-    """Gives names in scan order inside each family of a folder.
+    """Gives names in scan order inside each chain of names.
 
-    Rows come sorted by folder and family, names on disk (no item) first. Only
-    the names of one family are held at a time.
+    Rows come sorted by chain, names on disk (no item) first. Only the names of
+    one chain are held at a time.
     """
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +167,9 @@ def _resolver(policy: str):
 
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for folder, family, on, item, name, in_place, claimed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (folder, family) != group:
-                    group, disk, reserved, counters = (folder, family), set(), set(), {}
+            for chain, on, item, name, in_place, claimed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chain != group:
+                    group, disk, reserved, counters = chain, set(), set(), {}
                 if on:
                     disk.add(name)
                     continue
@@ -193,40 +197,12 @@ def _resolver(policy: str):
     return resolve
 
 
-def _suffixed(name: Column, number: Column) -> Column:
-    """`name` with `_number` before its ending."""
-    ext = text.raw_extension(name)
-    return F.concat(text.stem(name), F.lit("_"), number.cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
-
-
-def _without_number(names: DataFrame, name: str) -> DataFrame:
-    """Of `names` those that a number may have made from another name: base_name and the number are added."""
-    ext = text.raw_extension(F.col(name))
-    parts = F.regexp_extract(text.stem(F.col(name)), r"^(.+)_([1-9]\d{0,17})$", 1), F.regexp_extract(text.stem(F.col(name)), r"^(.+)_([1-9]\d{0,17})$", 2)
-    made = names.withColumn("_stem", parts[0]).filter("_stem <> ''")
-    return made.withColumn("base_name", F.concat("_stem", F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))).withColumn("number", parts[1].cast("long")).drop("_stem")
-
-
-def free_numbers(wanting: DataFrame, disk: DataFrame) -> DataFrame:
-    """For rows (target_dir, desired_name, item_id, turn) the turn-th number that no file on `disk` (disk_dir, disk_name) has: adds `number`.
-
-    With the taken numbers of a name in order, the i-th (from 1) being d, d - i
-    numbers before it are free; so a row's number is its turn plus how many
-    taken ones have fewer free numbers before them than its turn.
-    """
-    taken = _without_number(disk, "disk_name").join(wanting.select("target_dir", "desired_name").distinct(), (F.col("disk_dir") == F.col("target_dir")) & (F.col("base_name") == F.col("desired_name")), "left_semi").select("disk_dir", "base_name", "number").distinct()
-    place = F.row_number().over(Window.partitionBy("disk_dir", "base_name").orderBy("number"))
-    gaps = taken.withColumn("free", F.col("number") - place).groupBy("disk_dir", "base_name").agg(F.array_sort(F.collect_list("free")).alias("gaps"))
-    joined = wanting.join(gaps, (F.col("target_dir") == F.col("disk_dir")) & (F.col("desired_name") == F.col("base_name")), "left")
-    return joined.withColumn("number", F.col("turn") + F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("turn"))), F.lit(0))).drop("disk_dir", "base_name", "gaps")
-
-
 def resolved(rows: DataFrame, rule: Rule, inventory: DataFrame) -> DataFrame:
     """Rows to archive with final_name, outcome, note, overwrites.
 
     Who keeps a name and which number the others get is settled by columns.
     Only where a number could make a name that another row asks for (`x` twice
-    beside `x_1`) the rows of that family are replayed in scan order.
+    beside `x_1`) the rows of that chain of names are replayed in scan order.
     """
     # both are read several times; names are rendered once
     rows = checkpointed(rows)
@@ -258,29 +234,31 @@ def resolved(rows: DataFrame, rule: Rule, inventory: DataFrame) -> DataFrame:
         outcome = F.when(F.col("in_place"), "alreadyPlaced").when(F.col("meets"), "skipped").otherwise("transfer")
         return rows.withColumns({"final_name": F.col("desired_name"), "outcome": outcome, "note": F.lit(""), "overwrites": F.lit(False)}).drop("in_place", "claimed", "on_disk", "meets", "over", "in_batch")
 
-    # names that a number may meet, and the families that have any
-    asked = _without_number(rows.select("target_dir", "desired_name").distinct(), "desired_name")
-    chained = asked.join(wanting.select(F.col("target_dir").alias("_d"), F.col("desired_name").alias("_n")).distinct(), (F.col("target_dir") == F.col("_d")) & (F.col("base_name") == F.col("_n")), "left_semi").select("target_dir", _family(F.col("desired_name")).alias("family")).distinct()
-    marked = rows.withColumn("family", _family(F.col("desired_name"))).join(chained.withColumn("chained", F.lit(True)), ["target_dir", "family"], "left").withColumn("chained", F.coalesce("chained", F.lit(False)))
+    names = rows.groupBy("target_dir", "desired_name").agg(F.count("*").alias("n"), F.max(F.col("meets") & ~F.col("over")).alias("wants"))
+    chained = checkpointed(chains(names, disk.select("disk_dir", "disk_name")))
+    marked = checkpointed(rows.join(chained, ["target_dir", "desired_name"], "left"))
 
-    turns = numbered(marked.filter("NOT chained AND meets AND NOT over").select("target_dir", "desired_name", "item_id", "scan_ordinal"), ["target_dir", "desired_name"], [F.asc("scan_ordinal"), F.asc("item_id")], "turn")
-    numbers = free_numbers(turns.select("target_dir", "desired_name", "item_id", "turn"), disk.select("disk_dir", "disk_name")).select("item_id", _suffixed(F.col("desired_name"), F.col("number")).alias("made"))
+    turns = numbered(marked.filter("component IS NULL AND meets AND NOT over").select("target_dir", "desired_name", "item_id", "scan_ordinal"), ["target_dir", "desired_name"], [F.asc("scan_ordinal"), F.asc("item_id")], "turn")
+    free = free_numbers(turns.select("target_dir", "desired_name", "item_id", "turn"), disk.select("disk_dir", "disk_name"), ["target_dir", "desired_name"])
+    numbers = free.select("item_id", suffixed(F.col("desired_name"), F.col("number")).alias("made"))
     if rule.conflict == "overwrite":
         why = F.when(F.col("in_batch"), schema.NOTES["in_batch"]).otherwise(schema.NOTES["claimed"])
     else:
         why = F.when(F.col("on_disk"), schema.NOTES["on_disk"]).otherwise(schema.NOTES["in_batch"])
     note = F.when(F.col("over"), schema.NOTES["replaced"]).when(F.col("meets"), why).otherwise("")
-    calm = marked.filter("NOT chained").join(numbers, "item_id", "left").withColumns({"final_name": F.coalesce("made", "desired_name"), "outcome": F.when(F.col("in_place"), "alreadyPlaced").otherwise("transfer"), "note": note, "overwrites": F.col("over")})
-    names = [*rows.columns, "final_name", "outcome", "note", "overwrites"]
-
-    there = disk.withColumn("_family", _family(F.col("disk_name"))).join(chained, (F.col("disk_dir") == F.col("target_dir")) & (F.col("_family") == F.col("family")), "left_semi")
+    calm = marked.filter("component IS NULL").join(numbers, "item_id", "left").withColumns({"final_name": F.coalesce("made", "desired_name"), "outcome": F.when(F.col("in_place"), "alreadyPlaced").otherwise("transfer"), "note": note, "overwrites": F.col("over")})
     kind = {f.name: f.dataType for f in rows.schema}
-    met = there.select(F.col("disk_dir").alias("target_dir"), F.col("_family").alias("family"), F.lit(True).alias("listed"), F.lit(None).cast(kind["item_id"]).alias("item_id"), F.col("disk_name").alias("desired_name"), F.lit(False).alias("in_place"), F.lit(False).alias("claimed"), F.lit(None).cast(kind["scan_ordinal"]).alias("scan_ordinal"))
-    busy = marked.filter("chained").select("target_dir", "family", F.lit(False).alias("listed"), "item_id", "desired_name", "in_place", "claimed", "scan_ordinal")
+    # files at the chain's names, and at numbers of these
+    made = without_number(disk.select("disk_dir", "disk_name"), "disk_name").select("disk_dir", "disk_name", F.col("base_name").alias("near"))
+    files = disk.select("disk_dir", "disk_name", F.col("disk_name").alias("near")).unionByName(made)
+    there = files.join(chained, (F.col("disk_dir") == F.col("target_dir")) & (F.col("near") == F.col("desired_name"))).select("component", F.col("disk_name").alias("desired_name")).distinct()
+    met = there.select("component", F.lit(True).alias("listed"), F.lit(None).cast(kind["item_id"]).alias("item_id"), "desired_name", F.lit(False).alias("in_place"), F.lit(False).alias("claimed"), F.lit(None).cast(kind["scan_ordinal"]).alias("scan_ordinal"))
+    busy = marked.filter("component IS NOT NULL").select("component", F.lit(False).alias("listed"), "item_id", "desired_name", "in_place", "claimed", "scan_ordinal")
     # a union takes over the partitioning that its sides claim, which adaptive execution may change: deal by a key that no side is dealt by
-    ordered = busy.unionByName(met).repartition(F.xxhash64("target_dir", "family")).sortWithinPartitions("target_dir", "family", F.desc("listed"), "scan_ordinal", "item_id")
+    ordered = busy.unionByName(met).repartition(F.xxhash64("component")).sortWithinPartitions("component", F.desc("listed"), "scan_ordinal", "item_id")
     replayed = ordered.drop("scan_ordinal").mapInArrow(_resolver(rule.conflict), _RESOLVED.format(key=kind["item_id"].simpleString()))
-    return calm.select(names).unionByName(marked.filter("chained").join(replayed, "item_id").select(names)).drop("in_place", "claimed", "on_disk", "meets", "over", "in_batch")
+    columns = [*rows.columns, "final_name", "outcome", "note", "overwrites"]
+    return calm.select(columns).unionByName(marked.filter("component IS NOT NULL").join(replayed, "item_id").select(columns)).drop("in_place", "claimed", "on_disk", "meets", "over", "in_batch")
 
 
 def build(rows: DataFrame, rule: Rule, f: Filter, inventory: DataFrame) -> DataFrame:

@@ -36,6 +36,19 @@ REASONS = {
     "placed": "已在目标位置，无需处理",
     "skipped": "目标已存在，按策略跳过",
 }
+#: What a journal says of failures and of files that made room, and an undo of what it couldn't take back or put elsewhere.
+MESSAGES = {
+    "no_source": "源文件已不存在",
+    "no_destination": "缺少目标路径",
+    "occupied": "目标已存在同名文件，未执行",
+    "displaced": "被同名文件顶替，已移入回收站（撤销可取回）",
+    "undo_failed": "撤销失败：",
+    "undo_gone": "目标位置的副本已不存在，无法还原",
+    "undo_untold": "日志未记录回收站位置，请手动从回收站取回",
+    "undo_emptied": "回收站中的文件已被清空，无法还原",
+    "undo_occupied": "原位置已存在同名文件，未还原以免覆盖",
+    "undo_renamed": "原位置已被占用，已还原为 ",
+}
 MUTATING = ("move", "rename", "copy", "trash")
 
 JOURNAL_SCHEMA = "id string, timestamp string, kind string, sourcePath string, destinationPath string, result string, message string, fileSize long, trashPath string, undone boolean"

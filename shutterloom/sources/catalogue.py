@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from shutterloom.functions import capture, text
 
-#: Default size floor; bytes at both ends of a video that are looked at.
-LEAST_BYTES, PROBE_BYTES = 1024, 512 * 1024
+from .ranges import PROBE_BYTES, header_seconds
+
+#: Fixed value: default size floor.
+LEAST_BYTES = 1024
 #: Endings of folders that count as packages.
 PACKAGE_SUFFIXES = (".app", ".bundle", ".framework", ".photoslibrary", ".photolibrary", ".imovielibrary", ".fcpbundle", ".lrlibrary", ".aplibrary")
 
@@ -36,6 +38,14 @@ def roots(paths: Sequence[str]) -> list[str]:
     return kept
 
 
+def outer_roots(paths: DataFrame) -> DataFrame:
+    """`roots` of a table (path): rows without those that lie in another one; an equi-join on the folders above."""
+    tidy = paths.select(text.normalize_path(F.concat(F.lit("/"), F.col("path"))).alias("path")).distinct()
+    above = tidy.select("path", F.explode(text.ancestors(F.col("path"))).alias("x")).filter("x <> path")
+    inside = above.join(tidy.select(F.col("path").alias("x")), "x", "left_semi").select("path").distinct()
+    return tidy.join(inside, "path", "left_anti")
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Files below a root: path, file_size, file_modified. The content column isn't read.
 
@@ -96,7 +106,9 @@ def cache_lookup(items: DataFrame, cache: DataFrame) -> DataFrame:
     stored = cache.select(F.col("path").alias("_p"), F.col("file_size").alias("_s"), F.col("file_modified").alias("_m"), *[c for c in cache.columns if c not in ("path", "file_size", "file_modified")])
     near = F.col("file_modified").isNull() | (F.abs(F.col("file_modified").cast("double") - F.col("_m").cast("double")) < 2.0)
     fresh = items.drop(*[c for c in stored.columns if c in items.columns])
-    out = fresh.join(stored, (F.col("path") == F.col("_p")) & (F.col("file_size") == F.col("_s")) & near, "left").withColumn("is_hit", F.col("_p").isNotNull()).drop("_p", "_s", "_m")
+    # the path alone is the join's key, so that a cache that lies by path stays where it is
+    same_size = F.coalesce(F.col("file_size") == F.col("_s"), F.lit(False))
+    out = fresh.join(stored, (F.col("path") == F.col("_p")) & same_size & near, "left").withColumn("is_hit", F.col("_p").isNotNull()).drop("_p", "_s", "_m")
     return out.withColumn("error", F.when(~F.col("is_hit"), F.col("error"))) if "error" in items.columns else out
 
 
@@ -107,25 +119,12 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame, live: DataFrame) -> DataFra
 
 
 def container_times(videos: DataFrame) -> DataFrame:
-    """Rows (path, created_seconds) from `binaryFile` rows of videos: the creation time of the movie header, looked for in both ends of a file."""
+    """Rows (path, created_seconds) from rows with the `content` of videos: the creation time of the movie header, looked for in both ends. `ranges.container_times` reads the ends of files only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_header_seconds(h or b"", t or b"") for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [header_seconds(h or b"", t or b"") for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["path", "raw"])
 
     ends = videos.select("path", F.substring("content", 1, PROBE_BYTES), F.when(F.octet_length("content") > PROBE_BYTES, F.substring("content", -PROBE_BYTES, PROBE_BYTES)))
     return ends.mapInArrow(run, "path string, raw long").select("path", capture.mac_epoch_to_seconds(F.col("raw")).alias("created_seconds"))
-
-
-def _header_seconds(*ends: bytes) -> int | None:
-    """Raw seconds of the first movie header with an accepted value: version 0 has 32 bits, version 1 has 64, big-endian."""
-    for part in ends:
-        at = part.find(b"mvhd")
-        while at >= 0:
-            wide = part[at + 4 : at + 5] == b"\x01"
-            raw = part[at + 8 : at + (16 if wide else 12)]
-            if len(raw) == (8 if wide else 4) and capture.MAC_EPOCH <= (value := int.from_bytes(raw, "big")) <= capture.MAC_LATEST:
-                return value
-            at = part.find(b"mvhd", at + 4)
-    return None

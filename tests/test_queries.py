@@ -1,6 +1,7 @@
 import pytest
 from oracle import check
 
+import shutterloom.file_queries  # noqa: F401 - registers its queries
 import shutterloom.function_queries  # noqa: F401 - registers its queries
 from shutterloom.queries import QUERIES, SQL
 
