@@ -195,12 +195,17 @@ def tokenizer_path(name: str) -> str:
 
 
 class Memory:
-    """What a task has worked out for byte strings: a younger and an older generation of at most `most` entries each."""
+    """What a task has worked out for byte strings: a younger and an older generation of at most `most` entries each.
+
+    Strings longer than `longest` are forgotten at the next `trim`, so that the
+    bytes held are bounded too.
+    """
 
     def __init__(self, most: int, longest: int):
         self.most, self.longest = most, longest
         self.young: dict[bytes, object] = {}
         self.older: dict[bytes, object] = {}
+        self.long: list[bytes] = []
 
     def missing(self, keys: list[bytes]) -> list[bytes]:
         """The distinct keys that aren't known; afterwards those that are stand in the younger generation."""
@@ -209,14 +214,17 @@ class Memory:
             kept = [k for k in lacking if k in self.older]
             self.young.update((k, self.older[k]) for k in kept)
             lacking.difference_update(kept)
+        self.long += [k for k in lacking if len(k) > self.longest]
         return list(lacking)
 
     def clear(self) -> None:
         """Forgets all; workers live on after a task."""
-        self.young, self.older = {}, {}
+        self.young, self.older, self.long = {}, {}, []
 
     def trim(self) -> None:
         """Keeps the bounds; call it between texts."""
+        for k in self.long:
+            self.young.pop(k, None)
+        self.long.clear()
         if len(self.young) > self.most:
-            self.older = {k: v for k, v in self.young.items() if len(k) <= self.longest}
-            self.young = {}
+            self.older, self.young = self.young, {}

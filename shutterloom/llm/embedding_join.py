@@ -12,7 +12,7 @@ most. Inside an orthant, tiles of bounded size are compared by matrix
 products; a pair that is in the range of the block and of no earlier one is
 verified by its cosine, so the union of the candidates is verified once.
 Tiles hold the turned vectors in single precision. Pairs that it can't decide
-(the cosine or a block's distance lies within `MARGIN` of its bound) leave the
+(the cosine or a block's distance lies within `margin` of its bound) leave the
 tile and are decided by the cosine of the given vectors in double precision.
 
 Equal vectors with equal labels are one representative with a count. Beside
@@ -46,8 +46,11 @@ from .jaccard_join import _Sets
 
 #: Dimensions of a block, vectors that an orthant should own, vectors of a tile's side.
 BLOCK, CELL, TILE = 8, 1024, 8192
-#: Room for rounding of single precision; what lies inside it is decided in double precision.
-MARGIN = 1e-5
+
+
+def margin(dim: int) -> float:
+    """Room for rounding of single precision: twice what a sum of `dim` products of unit vectors can be off. What lies inside it is decided in double precision."""
+    return max(1e-5, dim * 2.0**-23)
 
 
 @lru_cache(maxsize=4)
@@ -87,7 +90,7 @@ def assign(reps: DataFrame, limit: float, bits: int) -> DataFrame:
                         y = x[:, part]
                         k = min(bits, y.shape[1])
                         code = (y[:, :k] > 0) @ (1 << np.arange(k)) if k else np.zeros(len(y), int)
-                        budget = limit * y.shape[1] / dim + MARGIN
+                        budget = limit * y.shape[1] / dim + margin(dim)
                         targets = [(np.arange(len(y)), code, True)]
                         for f in flips(k):
                             flipped = code ^ sum(1 << i for i in f)
@@ -108,7 +111,7 @@ def assign(reps: DataFrame, limit: float, bits: int) -> DataFrame:
 
 def tile_links(x: np.ndarray, own: np.ndarray, side: np.ndarray, n: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, _Sets, np.ndarray]:
     """Weighted counts of links and their union among the vectors of a tile, and the undecided pairs (two columns of places)."""
-    dim, limit = x.shape[1], 2 - 2 * cosine
+    dim, limit, room = x.shape[1], 2 - 2 * cosine, margin(x.shape[1])
     parts = blocks(dim)
     budgets = np.array([limit * (p.stop - p.start) / dim for p in parts[: block + 1]], np.float32)
     counts, groups, unsure = np.zeros(len(x), np.int64), _Sets(len(x)), [np.zeros((0, 2), np.int64)]
@@ -120,7 +123,7 @@ def tile_links(x: np.ndarray, own: np.ndarray, side: np.ndarray, n: np.ndarray,
     for at in range(0, len(owners), 256):
         i = owners[at : at + 256]
         # in range of the block: 2 x.y >= |x|^2 + |y|^2 - budget
-        near = low[i] @ low.T >= half[i][:, None] + (half - (budgets[block] / 2 + np.float32(MARGIN)))[None, :]
+        near = low[i] @ low.T >= half[i][:, None] + (half - (budgets[block] / 2 + np.float32(room)))[None, :]
         r, c = np.nonzero(near)
         ok = ~own[c] | (place[c] > i[r])
         if two:
@@ -132,9 +135,9 @@ def tile_links(x: np.ndarray, own: np.ndarray, side: np.ndarray, n: np.ndarray,
             over = np.add.reduceat((x[a] - x[z]) ** 2, [p.start for p in parts], 1)[:, : block + 1] - budgets
             close = np.einsum("ij,ij->i", x[a], x[z]) - np.float32(cosine)
             # what is surely too far apart, or surely found in an earlier block, goes
-            kept = (close > -MARGIN) & (over[:, -1] <= MARGIN) & (over[:, :-1] > -MARGIN).all(1)
+            kept = (close > -room) & (over[:, -1] <= room) & (over[:, :-1] > -room).all(1)
             a, z, over, close = a[kept], z[kept], over[kept], close[kept]
-            sure = (close > MARGIN) & (np.abs(over) > MARGIN).all(1)
+            sure = (close > room) & (np.abs(over) > room).all(1)
             unsure.append(np.stack((a[~sure], z[~sure]), 1))
             a, z = a[sure], z[sure]
             np.add.at(counts, a, n[z])

@@ -380,13 +380,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             own = as_bytes(batch.column("text"))
             for i, k in by_bytes(own, TEXT_BYTES):
                 part = batch.slice(i, k - i)
-                # rows with a repeated id may have another text; a set that comes twice only gives the same links again
+                # rows with a repeated id may have another text
                 sets = list(shingle_sets(own[i:k], rule.size))
                 same = pa.array([mark(s) == key for key, s in zip(part.column("key").to_pylist(), sets, strict=True)], pa.bool_())
                 held = part.select(["key", "family", "tiles", "paired"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
                 yield held.filter(same)
 
     sets = tables.keep(texts.mapInArrow(to_sets, "key long, family long, tiles int, paired boolean, shingles binary"), "sets")
+    # a representative whose id has several rows may come as often: one set a key, so that tiles hold what they are made for
+    own = per_doc.filter("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("rows")).filter("rows > 1")
+    repeated = tables.keep(wanted.join(own, F.col("rep") == F.col("doc"), "left_semi").select("key"), "repeated")
+    if repeated.take(1):
+        once = sets.join(repeated, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("family", "tiles", "paired", "shingles")])
+        sets = tables.keep(sets.join(repeated, "key", "left_anti").unionByName(once), "single-sets")
+        tables.drop("sets")
+        tables.paths["sets"] = tables.paths.pop("single-sets")
+    tables.drop("repeated")
     inside = family_links(sets.filter("family IS NOT NULL").select("family", "tiles", "key", "shingles"), rule.percent)
     paired = sets.filter("paired").select("key", "shingles")
     verified = pairs.join(paired.toDF("a", "set_a"), "a").join(paired.toDF("b", "set_b"), "b").filter(similar(rule.percent)(F.col("set_a"), F.col("set_b")))

@@ -9,10 +9,11 @@ a model without languages are `und` with score 0; of equally good languages
 the first by name is given.
 
 The fit takes at most `docs_most` distinct labelled texts of each language,
-those with the smallest hash of key and text, and keeps the `entries_most`
-most frequent entries of each language (with their counts in all languages).
-Both bounds are parameters of `train`; they hold for each language by itself,
-so a rare language is learned beside a dominant one. Rows that repeat key and
+those with the smallest hash of key and text, and keeps all their words and
+n-grams. The bound is a parameter of `train`; it holds for each language by
+itself, so a rare language is learned beside a dominant one. A model holds
+scores only of the languages that an entry was seen in; of the others it
+has one score for each length. Rows that repeat key and
 text count once in the fit; each row gets its own prediction. Texts of any
 length are scored whole.
 """
@@ -24,19 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, Tables, Words, as_bytes, bounded_batches, by_bytes, table
+from .common import ALNUM_TABLE, Words, as_bytes, bounded_batches, by_bytes, table
 
 GRAM_MOST = 5
 #: A language's share among words or n-grams that it was never seen with.
 SMOOTH = 0.5
 #: Scores count as if of so many words at most, so that long texts don't all end at 1.
 WORDS_IN_SCORE = 20
-#: Unseen words whose scores a task remembers.
-WORDS_KEPT = 100_000
+#: Unseen words whose scores a task remembers, and bytes of these scores.
+WORDS_KEPT, BYTES_KEPT = 100_000, 16 << 20
 #: Bytes of text that are scored at once.
 TEXT_BYTES = 1 << 19
 #: Words of one text whose scores are summed at once.
@@ -58,11 +60,18 @@ def has_letter(text: bytes) -> bool:
 
 
 class Scores:
-    """Sorted 64-bit keys with a row of scores each (one per language)."""
-
-    def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.rows = keys[order], rows[order].astype(np.float32)
+    """Sorted 64-bit keys with a score for each language: those of the languages that a key was seen in, else the language's score of unseen keys."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int):
+        """One item per key and language, with its count."""
+        order = np.lexsort((lang, key))
+        key, lang, n = key[order], lang[order], n[order]
+        new = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0) if len(key) else np.zeros(0, np.int64)
+        self.keys, self.starts = key[new], np.append(new, len(key)).astype(np.int64)
+        below = np.bincount(lang, n, langs) + SMOOTH * max(len(new), 1)
+        self.lang = lang.astype(np.int32)
+        self.score = np.log((n + SMOOTH) / below[lang]).astype(np.float32)
+        self.never = np.log(SMOOTH / below).astype(np.float32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each key its place (or any) and whether it is listed."""
@@ -71,21 +80,23 @@ class Scores:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The scores of the keys at some places, one column per language."""
+        out = np.repeat(self.never[None], len(at), 0)
+        times = self.starts[at + 1] - self.starts[at]
+        owner = np.repeat(np.arange(len(at)), times)
+        each = np.repeat(self.starts[at] - (np.cumsum(times) - times), times) + np.arange(len(owner))
+        out[owner, self.lang[each]] = self.score[each]
+        return out
+
 
 class Model:
-    """Languages, scores of words, and scores of n-grams by their length (as 64-bit keys and float rows: some 24 bytes an entry for four languages)."""
+    """Languages, scores of words, and scores of n-grams by their length (16 bytes a key, and 8 for each language that it was seen in)."""
 
     def __init__(self, langs: list[str], size: np.ndarray, lang: np.ndarray, key: np.ndarray, n: np.ndarray):
         """One item per entry and language: the entry's size (0 for words, else letters), the language's place, its key and count."""
         self.langs = langs
-        self.by_size: list[Scores] = []
-        for k in range(GRAM_MOST + 1):
-            own = size == k
-            keys, place = np.unique(key[own], return_inverse=True)
-            counts = np.zeros((len(keys), len(langs)))
-            np.add.at(counts, (place, lang[own]), n[own])
-            totals = counts.sum(0)
-            self.by_size.append(Scores(keys, np.log((counts + SMOOTH) / (totals + SMOOTH * max(len(keys), 1)))))
+        self.by_size = [Scores(key[size == k], lang[size == k], n[size == k], len(langs)) for k in range(GRAM_MOST + 1)]
 
     def unseen(self, words: list[bytes]) -> np.ndarray:
         """Rows of scores of unseen words: the mean over the known n-grams of the longest length that has any."""
@@ -101,7 +112,7 @@ class Model:
             at, known = scores.find(keys)
             times = np.bincount(owner[known], minlength=len(left))
             sums = np.zeros((len(left), len(self.langs)))
-            np.add.at(sums, owner[known], scores.rows[at[known]])
+            np.add.at(sums, owner[known], scores.rows(at[known]))
             hit = times > 0
             out[[i for (i, _), h in zip(left, hit.tolist(), strict=True) if h]] = sums[hit] / times[hit, None]
             left = [x for x, h in zip(left, hit.tolist(), strict=True) if not h]
@@ -110,22 +121,23 @@ class Model:
     def predictor(self):
         """A function from texts to languages and scores, which remembers a bounded number of unseen words."""
         place: dict[int, int] = {}
-        memory = np.zeros((WORDS_KEPT, len(self.langs)), np.float32)
+        most = max(1, min(WORDS_KEPT, BYTES_KEPT // (4 * max(1, len(self.langs)))))
+        memory = np.zeros((most, len(self.langs)), np.float32)
 
         def rows_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
             """Rows of scores of the distinct words, and each word's place in them."""
             keys, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
             at, known = self.by_size[0].find(keys)
             rows = np.zeros((len(keys), len(self.langs)), np.float32)
-            rows[known] = self.by_size[0].rows[at[known]]
+            rows[known] = self.by_size[0].rows(at[known])
             lacking = np.flatnonzero(~known)
             held = np.fromiter((place.get(k, -1) for k in keys[lacking].tolist()), np.int64, len(lacking))
             rows[lacking[held >= 0]] = memory[held[held >= 0]]
             fresh = lacking[held < 0]
             rows[fresh] = self.unseen([words[i] for i in first[fresh].tolist()])
-            if len(place) + len(fresh) > WORDS_KEPT:
+            if len(place) + len(fresh) > most:
                 place.clear()
-            kept = fresh[:WORDS_KEPT]
+            kept = fresh[:most]
             memory[len(place) : len(place) + len(kept)] = rows[kept]
             place.update(zip(keys[kept].tolist(), range(len(place), len(place) + len(kept)), strict=True))
             return rows, inverse
@@ -164,7 +176,7 @@ def sampled(rows: DataFrame, group: str, key: Column, most: int) -> DataFrame:
     return chosen.groupBy(group, "_key").agg(*[F.first(c).alias(c) for c in rows.columns if c != group]).drop("_key")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_most: int = 2_000, entries_most: int = 100_000) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_most: int = 2_000) -> Model:
     """A model from rows with text and language."""
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,19 +208,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     chosen = sampled(rows, "l", F.xxhash64("k", "t"), docs_most)
     words = chosen.select("t", "l").mapInArrow(count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = words.mapInArrow(count_units, "lang string, size int, unit long, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
-    tables = Tables(docs.sparkSession)
-    counts = tables.keep(counts, "language-counts")
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "size", "unit")
-    kept = counts.withColumn("r", F.row_number().over(most)).filter(F.col("r") <= entries_most)
-    # an entry that one language keeps has its counts in all
-    shared = kept.select("size", "unit").distinct()
-    got = counts.join(shared, ["size", "unit"], "left_semi").select("lang", "size", "unit", "n").toArrow().combine_chunks()
-    tables.drop("language-counts")
-    langs = sorted(set(got.column("lang").unique().to_pylist()))
-    place = {name: i for i, name in enumerate(langs)}
-    code = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
-    columns = [np.asarray(got.column(c).to_numpy(), np.int64) for c in ("size", "unit", "n")]
-    return Model(langs, columns[0], code, columns[1].view(np.uint64), columns[2])
+    got = counts.select("lang", "size", "unit", "n").toArrow().combine_chunks()
+    names = pc.dictionary_encode(got.column("lang").combine_chunks())
+    found = names.dictionary.to_pylist()
+    langs = sorted(found)
+    place = np.array([langs.index(x) for x in found], np.int64)
+    code = place[names.indices.to_numpy()] if found else np.zeros(0, np.int64)
+    size, unit, n = (got.column(c).to_numpy() for c in ("size", "unit", "n"))
+    return Model(langs, size, code, unit.view(np.uint64), n.astype(np.int64))
 
 
 def predict(spark: SparkSession, model: Model, text: Column) -> Column:

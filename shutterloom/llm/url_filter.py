@@ -113,10 +113,21 @@ def host_and_path(url: bytes) -> tuple[bytes, bytes]:
     return host.translate(LOWER_TABLE), slash + path
 
 
-def probes_of(url: bytes, lengths: list[int] | None = None) -> tuple[bytes, bytes, list[bytes]]:
-    """Host, path, and the strings that a list may hold for them: host suffixes with begins of the path (of the given lengths, else all), words of the host."""
+def labels_of(rule: bytes) -> int:
+    """The labels of a rule's host."""
+    return rule.partition(b"/")[0].count(b".") + 1
+
+
+def probes_of(url: bytes, lengths: list[int] | None = None, most_labels: int | None = None) -> tuple[bytes, bytes, list[bytes]]:
+    """Host, path, and the strings that a list may hold for them: host suffixes with begins of the path (of the given lengths, else all), words of the host.
+
+    Suffixes have `most_labels` labels at most, as many as the longest listed
+    host has, so that a host of very many labels costs no more than its length.
+    """
     host, path = host_and_path(url)
-    labels = host.split(b".")
+    labels = host.rsplit(b".", most_labels) if most_labels is not None else host.split(b".")
+    if most_labels is not None and len(labels) > most_labels:
+        labels = labels[1:]  # what is left of the longest suffix
     begins = [path[:n] for n in (lengths if lengths is not None else range(1, len(path) + 1)) if len(path) >= n]
     out = [b".".join(labels[k:]) + b for k in range(len(labels)) for b in begins]
     return host, path, out + [_TERM + w for w in _WORDS.findall(host)]
@@ -137,6 +148,7 @@ class Filter:
         verdicts = {r.encode(): v for v, r in sorted(self.rules)[::-1]}  # of two verdicts of one rule `block` comes last
         verdicts |= {r.encode(): v for v, r in self.rules if v == "block"}
         lengths = sorted({len(r.encode().removeprefix(r.encode().partition(b"/")[0])) for _, r in self.rules}, reverse=True)
+        most_labels = max((labels_of(r.encode()) for _, r in self.rules), default=0)
         kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
 
         @F.arrow_udf("struct<host:string,path:string,rule:string,verdict:string>")
@@ -145,7 +157,7 @@ class Filter:
             for urls in batches:
                 probes, owner, parts = [], [], []
                 for i, url in enumerate(as_bytes(urls)):
-                    host, path, own = probes_of(url, lengths)
+                    host, path, own = probes_of(url, lengths, most_labels)
                     parts.append((host, path))
                     probes += own
                     owner += [i] * len(own)
@@ -179,12 +191,13 @@ def judge_by_tables(pages: DataFrame, rules: DataFrame, terms: DataFrame, url: s
 
     # rules' paths have few lengths; only begins of these are looked for
     lengths = sorted((r[0] for r in listed.select(F.octet_length(F.regexp_replace("rule", "^[^/]*", "")).alias("n")).distinct().collect()), reverse=True)
+    most_labels = listed.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), "\\.")))).first()[0] or 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 urls = batch.column(0).slice(at, 1000)
-                found = [probes_of(u, lengths) for u in as_bytes(urls)]
+                found = [probes_of(u, lengths, most_labels) for u in as_bytes(urls)]
                 owner = np.repeat(np.arange(len(found)), [len(f[2]) for f in found])
                 yield pa.RecordBatch.from_arrays([urls.take(pa.array(owner)), pa.array([_text(p) for f in found for p in f[2]], pa.string())], names=["u", "probe"])
 
