@@ -261,20 +261,23 @@ def _one_length(rows: DataFrame, tables: Tables, dim: int, asked: Column, most:
     scale = float(entries.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))))).first()[0])
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x.cast("double") / scale) * (x.cast("double") / scale))
     longest = float(entries.agg(F.sqrt(F.max(square))).first()[0])
+    n = entries.count()
     size = max(2, min(SAMPLE, SAMPLE_BYTES // (8 * (dim + 1))))
-    drawn = entries.orderBy(F.xxhash64("vector"), "num").limit(size).select("vector").toArrow()
+    # those with the smallest hashes; only about twice as many leave their tasks
+    place = F.pmod(F.xxhash64("vector"), F.lit(1 << 40))
+    below = entries.withColumn("place", place).filter(F.col("place") <= min(1 << 40, (1 << 40) * 2 * size // max(1, n)))
+    drawn = below.orderBy("place", "num").limit(size).select("vector").toArrow()
     model = fit(_matrix(drawn.column(0).combine_chunks()), scale, longest)
 
     facts = entries.select("num", "vector", (F.size("ids") == 1).alias("alone"), F.get("ids", F.lit(0))["vec"].alias("smallest"))
     index = tables.keep(coded(facts, model, False), "index")
     pending = tables.keep(coded(queries.select("num", "entry", "vector"), model, True), "pending-0")
-    n = index.count()
     trials = pending.orderBy(F.xxhash64("num"), "num").limit(TRIALS).select("num", "entry", "vector").toArrow()
     if not trials.num_rows:
         return None
     radius = first_radius(trials, index, model, most, reach)
     # from a tile's number of entries on, a block holds about as many
-    prefix = max(0, min(WIDTH // 2, int(n // TILE).bit_length()))
+    prefix = max(0, min(WIDTH // 2, (n // TILE).bit_length()))
 
     # an own entry of one row is not met, so as many entries as rows are wanted hold these rows
     found, turn, names = None, 0, []
