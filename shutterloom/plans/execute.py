@@ -62,6 +62,17 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["entry", "failed", "displaced"])
 
 
+def _replayed_applies(ops: DataFrame, files: DataFrame, tied: DataFrame) -> DataFrame:
+    """Rows (_e, _failed, _displaced) of the entangled operations."""
+    of_tied = tied.select("entry", "component").distinct()
+    there = files.join(tied.select(F.col("node").alias("path"), "component").distinct(), "path").select("component", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("string").alias("op_kind"), F.col("path").alias("source_path"), F.lit(None).cast("string").alias("destination_path"), F.lit(False).alias("overwrites_existing"), F.lit(-1).cast("long").alias("seq"))
+    acting = ops.join(of_tied, "entry").select("component", "entry", "op_kind", "source_path", "destination_path", "overwrites_existing", "seq")
+    # dealt by a key that no side of the union is dealt by, so that the exchange stays
+    ordered = there.unionByName(acting).repartition(F.xxhash64("component")).sortWithinPartitions("component", "seq", "entry")
+    done = ordered.drop("seq").mapInArrow(_applied, "entry long, failed string, displaced boolean").withColumnsRenamed({"entry": "_e", "failed": "_failed", "displaced": "_displaced"})
+    return checkpointed(done)
+
+
 def apply_plan(operations: DataFrame, inventory: DataFrame, session_id: str, trash_root: str = "/.trash") -> DataFrame:
     """Journal of the selected mutating operations over the files of `inventory` (path).
 
@@ -82,18 +93,12 @@ def apply_plan(operations: DataFrame, inventory: DataFrame, session_id: str, tra
     touches = ops.select(F.inline(F.when(goal.isNull(), F.array(at_source)).otherwise(F.array(at_source, _touch("entry", goal, fills=True)))))
     tied = entangled(touches)
 
-    of_tied = tied.select("entry", "component").distinct()
-    there = files.join(tied.select(F.col("node").alias("path"), "component").distinct(), "path").select("component", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("string").alias("op_kind"), F.col("path").alias("source_path"), F.lit(None).cast("string").alias("destination_path"), F.lit(False).alias("overwrites_existing"), F.lit(-1).cast("long").alias("seq"))
-    acting = ops.join(of_tied, "entry").select("component", "entry", "op_kind", "source_path", "destination_path", "overwrites_existing", "seq")
-    # dealt by a key that no side of the union is dealt by, so that the exchange stays
-    ordered = there.unionByName(acting).repartition(F.xxhash64("component")).sortWithinPartitions("component", "seq", "entry")
-    replayed = ordered.drop("seq").mapInArrow(_applied, "entry long, failed string, displaced boolean").withColumnsRenamed({"entry": "_e", "failed": "_failed", "displaced": "_displaced"})
-
+    replayed = _replayed_applies(ops, files, tied) if tied.take(1) else ops.sparkSession.createDataFrame([], "_e long, _failed string, _displaced boolean")
     ops = ops.join(files.select(F.col("path").alias("_s")), F.col("source_path") == F.col("_s"), "left").withColumn("has_source", F.col("_s").isNotNull())
     ops = ops.join(files.select(F.col("path").alias("_d")), goal == F.col("_d"), "left").withColumn("on_disk", F.col("_d").isNotNull())
     turn = F.struct("seq", "entry")
     first = ops.filter("has_source AND destination_path IS NOT NULL").groupBy(goal.alias("_g")).agg(F.min(turn).alias("first"))
-    ops = ops.join(first, goal == F.col("_g"), "left").join(checkpointed(replayed), F.col("entry") == F.col("_e"), "left")
+    ops = ops.join(first, goal == F.col("_g"), "left").join(replayed, F.col("entry") == F.col("_e"), "left")
     occupied = F.col("on_disk") | F.coalesce(F.col("first") < turn, F.lit(False))
     transfer = F.col("op_kind") != "trash"
     by_columns = F.when(~F.col("has_source"), "no_source").when(transfer & goal.isNull(), "no_destination").when(transfer & occupied & ~F.col("overwrites_existing"), "occupied")
@@ -112,12 +117,12 @@ def apply_plan(operations: DataFrame, inventory: DataFrame, session_id: str, tra
 
 
 def execution_report(journal: DataFrame, messages: int = 12) -> DataFrame:
-    """One row: operations by the result of their last entry, bytes freed, the first messages of failures.
+    """One row: operations by the result of their last entry, bytes freed, the first messages of failures (file name and text).
 
     `journal` has op_id (entries of one operation share it), seq, result,
-    op_kind, file_size, message.
+    op_kind, source_path, file_size, message.
     """
-    last = journal.groupBy("op_id").agg(F.max_by(F.struct("result", "op_kind", "file_size", "message", "seq"), "seq").alias("e")).select("e.*")
+    last = journal.groupBy("op_id").agg(F.max_by(F.struct("result", "op_kind", "source_path", "file_size", "message", "seq"), "seq").alias("e")).select("e.*")
     counts = last.agg(
         F.count_if(F.col("result") == "success").alias("succeeded"),
         F.count_if(F.col("result") == "failed").alias("failed"),
@@ -125,7 +130,8 @@ def execution_report(journal: DataFrame, messages: int = 12) -> DataFrame:
         F.coalesce(F.sum(F.when((F.col("result") == "success") & (F.col("op_kind") == "trash"), F.col("file_size"))), F.lit(0)).alias("reclaimed_bytes"),
         F.lit(1).alias("_one"),
     )
-    said = last.filter("result = 'failed'").orderBy("seq").limit(messages).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("messages"), F.lit(1).alias("_one"))
+    told = F.concat(text.file_name(F.col("source_path")), F.lit("："), "message")
+    said = last.filter("result = 'failed' AND message IS NOT NULL").orderBy("seq").limit(messages).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", told.alias("told")))), lambda x: x["told"]).alias("messages"), F.lit(1).alias("_one"))
     return counts.join(said, "_one").drop("_one")
 
 
@@ -177,6 +183,20 @@ def _undone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["entry", "present", "target", "failed"])
 
 
+def _replayed_undos(todo: DataFrame, files: DataFrame, tied: DataFrame) -> DataFrame:
+    """Rows (_e, _present, _target, _failed) of the entangled entries."""
+    of_tied = tied.select("entry", "component").distinct()
+    cut = F.split("node", "\0")
+    nodes = tied.select("component", F.element_at(cut, -1).alias("path"), (F.size(cut) == 3).alias("numbers")).distinct()
+    numbered_files = without_number(files.withColumns({"dir": text.parent(F.col("path")), "name": text.file_name(F.col("path"))}), "name").withColumn("base", text.child(F.col("dir"), F.col("base_name")))
+    of_family = numbered_files.join(nodes.filter("numbers").select("component", F.col("path").alias("_b")), F.col("base") == F.col("_b")).select("component", "path")
+    there = files.join(nodes.filter("NOT numbers").select("component", "path").distinct(), "path").select("component", "path").unionByName(of_family)
+    listed = there.select("component", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("string").alias("op_kind"), F.col("path").alias("source_path"), F.lit(None).cast("string").alias("now_at"), F.lit(0).alias("acts"), F.lit(None).cast("long").alias("seq"))
+    acting = todo.join(of_tied, "entry").select("component", "entry", "op_kind", "source_path", "now_at", F.lit(1).alias("acts"), "seq")
+    ordered = listed.unionByName(acting).repartition(F.xxhash64("component")).sortWithinPartitions("component", "acts", F.desc("seq"), F.desc("entry"))
+    return checkpointed(ordered.select("component", "entry", "op_kind", "source_path", "now_at").mapInArrow(_undone, "entry long, present boolean, target string, failed string").withColumnsRenamed({"entry": "_e", "present": "_present", "target": "_target", "failed": "_failed"}))
+
+
 def undo_plan(journal: DataFrame, inventory: DataFrame) -> DataFrame:
     """How to take back what succeeded and isn't undone: undo_order, undo_action, undo_status, from_path, to_path, message.
 
@@ -215,16 +235,7 @@ def undo_plan(journal: DataFrame, inventory: DataFrame) -> DataFrame:
     crossing = outside.select(F.inline(F.array(_touch("entry", family(F.col("base")), forced=True))))
     tied = entangled(touches.unionByName(wanted).unionByName(crossing))
 
-    of_tied = tied.select("entry", "component").distinct()
-    cut = F.split("node", "\0")
-    nodes = tied.select("component", F.element_at(cut, -1).alias("path"), (F.size(cut) == 3).alias("numbers")).distinct()
-    numbered_files = without_number(files.withColumns({"dir": text.parent(F.col("path")), "name": text.file_name(F.col("path"))}), "name").withColumn("base", text.child(F.col("dir"), F.col("base_name")))
-    of_family = numbered_files.join(nodes.filter("numbers").select("component", F.col("path").alias("_b")), F.col("base") == F.col("_b")).select("component", "path")
-    there = files.join(nodes.filter("NOT numbers").select("component", "path").distinct(), "path").select("component", "path").unionByName(of_family)
-    listed = there.select("component", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("string").alias("op_kind"), F.col("path").alias("source_path"), F.lit(None).cast("string").alias("now_at"), F.lit(0).alias("acts"), F.lit(None).cast("long").alias("seq"))
-    acting = todo.join(of_tied, "entry").select("component", "entry", "op_kind", "source_path", "now_at", F.lit(1).alias("acts"), "seq")
-    ordered = listed.unionByName(acting).repartition(F.xxhash64("component")).sortWithinPartitions("component", "acts", F.desc("seq"), F.desc("entry"))
-    replayed = checkpointed(ordered.select("component", "entry", "op_kind", "source_path", "now_at").mapInArrow(_undone, "entry long, present boolean, target string, failed string").withColumnsRenamed({"entry": "_e", "present": "_present", "target": "_target", "failed": "_failed"}))
+    replayed = _replayed_undos(todo, files, tied) if tied.take(1) else todo.sparkSession.createDataFrame([], "_e long, _present boolean, _target string, _failed string")
 
     calm = todo.join(replayed.select("_e"), F.col("entry") == F.col("_e"), "left_anti")
     turn = F.struct("seq", "entry")
@@ -233,9 +244,12 @@ def undo_plan(journal: DataFrame, inventory: DataFrame) -> DataFrame:
     calm = checkpointed(calm.withColumn("occupied", F.col("on_disk") | F.coalesce(F.col("first") > turn, F.lit(False))))
     # who needs a number gets the one of their turn, among the numbers that no file has
     queue = calm.filter(F.col("present") & F.col("occupied") & mover).select("session_id", "seq", "entry", text.parent(F.col("source_path")).alias("target_dir"), text.file_name(F.col("source_path")).alias("desired_name"))
-    turns = numbered(queue, ["session_id", "target_dir", "desired_name"], [F.desc("seq"), F.desc("entry")], "turn")
-    disk = files.select(text.parent(F.col("path")).alias("disk_dir"), text.file_name(F.col("path")).alias("disk_name"))
-    made = free_numbers(turns, disk, ["session_id", "target_dir", "desired_name"]).select(F.col("entry").alias("_m"), text.child(F.col("target_dir"), suffixed(F.col("desired_name"), F.col("number"))).alias("free"))
+    if queue.take(1):
+        turns = numbered(queue, ["session_id", "target_dir", "desired_name"], [F.desc("seq"), F.desc("entry")], "turn")
+        disk = files.select(text.parent(F.col("path")).alias("disk_dir"), text.file_name(F.col("path")).alias("disk_name"))
+        made = free_numbers(turns, disk, ["session_id", "target_dir", "desired_name"]).select(F.col("entry").alias("_m"), text.child(F.col("target_dir"), suffixed(F.col("desired_name"), F.col("number"))).alias("free"))
+    else:
+        made = queue.select(F.col("entry").alias("_m"), F.lit(None).cast("string").alias("free"))
 
     rows = todo.join(calm.select(F.col("entry").alias("_c"), "occupied").join(made, F.col("_c") == F.col("_m"), "left"), F.col("entry") == F.col("_c"), "left").join(replayed, F.col("entry") == F.col("_e"), "left")
     is_tied = F.col("_e").isNotNull()

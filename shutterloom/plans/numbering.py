@@ -36,7 +36,9 @@ def free_numbers(wanting: DataFrame, disk: DataFrame, keys: list[str]) -> DataFr
     """
     asked = wanting.select(*keys).distinct()
     numbers = without_number(disk, "disk_name").select(F.col("disk_dir").alias("target_dir"), F.col("base_name").alias("desired_name"), "number").distinct()
-    taken = numbers.join(asked, ["target_dir", "desired_name"]).select(*keys, "number")
+    taken = checkpointed(numbers.join(asked, ["target_dir", "desired_name"]).select(*keys, "number"))
+    if not taken.take(1):
+        return wanting.withColumn("number", F.col("turn").cast("long"))
     placed = numbered(taken, keys, [F.asc("number")], "_i").select(*keys, (F.col("number") - F.col("_i")).alias("_place"), F.lit(True).alias("_taken"), F.col("number").alias("_tie"))
     merged = wanting.withColumns({"_place": F.col("turn").cast("long"), "_taken": F.lit(False), "_tie": F.lit(0).cast("long")}).unionByName(placed, allowMissingColumns=True)
     return numbered(merged, keys, [F.asc("_place"), F.asc("_taken"), F.asc("_tie")], "number").filter("NOT _taken").drop("_place", "_taken", "_tie")

@@ -236,7 +236,8 @@ def resolved(rows: DataFrame, rule: Rule, inventory: DataFrame) -> DataFrame:
 
     names = rows.groupBy("target_dir", "desired_name").agg(F.count("*").alias("n"), F.max(F.col("meets") & ~F.col("over")).alias("wants"))
     chained = checkpointed(chains(names, disk.select("disk_dir", "disk_name")))
-    marked = checkpointed(rows.join(chained, ["target_dir", "desired_name"], "left"))
+    none_chained = not chained.take(1)
+    marked = rows.withColumn("component", F.lit(None).cast("string")) if none_chained else checkpointed(rows.join(chained, ["target_dir", "desired_name"], "left"))
 
     turns = numbered(marked.filter("component IS NULL AND meets AND NOT over").select("target_dir", "desired_name", "item_id", "scan_ordinal"), ["target_dir", "desired_name"], [F.asc("scan_ordinal"), F.asc("item_id")], "turn")
     free = free_numbers(turns.select("target_dir", "desired_name", "item_id", "turn"), disk.select("disk_dir", "disk_name"), ["target_dir", "desired_name"])
@@ -247,6 +248,9 @@ def resolved(rows: DataFrame, rule: Rule, inventory: DataFrame) -> DataFrame:
         why = F.when(F.col("on_disk"), schema.NOTES["on_disk"]).otherwise(schema.NOTES["in_batch"])
     note = F.when(F.col("over"), schema.NOTES["replaced"]).when(F.col("meets"), why).otherwise("")
     calm = marked.filter("component IS NULL").join(numbers, "item_id", "left").withColumns({"final_name": F.coalesce("made", "desired_name"), "outcome": F.when(F.col("in_place"), "alreadyPlaced").otherwise("transfer"), "note": note, "overwrites": F.col("over")})
+    columns, flags = [*rows.columns, "final_name", "outcome", "note", "overwrites"], ("in_place", "claimed", "on_disk", "meets", "over", "in_batch")
+    if none_chained:
+        return calm.select(columns).drop(*flags)
     kind = {f.name: f.dataType for f in rows.schema}
     # files at the chain's names, and at numbers of these
     made = without_number(disk.select("disk_dir", "disk_name"), "disk_name").select("disk_dir", "disk_name", F.col("base_name").alias("near"))
@@ -257,8 +261,7 @@ def resolved(rows: DataFrame, rule: Rule, inventory: DataFrame) -> DataFrame:
     # a union takes over the partitioning that its sides claim, which adaptive execution may change: deal by a key that no side is dealt by
     ordered = busy.unionByName(met).repartition(F.xxhash64("component")).sortWithinPartitions("component", F.desc("listed"), "scan_ordinal", "item_id")
     replayed = ordered.drop("scan_ordinal").mapInArrow(_resolver(rule.conflict), _RESOLVED.format(key=kind["item_id"].simpleString()))
-    columns = [*rows.columns, "final_name", "outcome", "note", "overwrites"]
-    return calm.select(columns).unionByName(marked.filter("component IS NOT NULL").join(replayed, "item_id").select(columns)).drop("in_place", "claimed", "on_disk", "meets", "over", "in_batch")
+    return calm.select(columns).unionByName(marked.filter("component IS NOT NULL").join(replayed, "item_id").select(columns)).drop(*flags)
 
 
 def build(rows: DataFrame, rule: Rule, f: Filter, inventory: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ def entangled(touches: DataFrame) -> DataFrame:
     meeting = checkpointed(once.select("entry", "node").join(met, "node"))
     reached = checkpointed(meeting.filter("crossed").select("entry").distinct())
     n = reached.count()
-    while n:
+    if not n:
+        return once.sparkSession.createDataFrame([], "entry long, component long, node string")
+    while True:
         tainted = meeting.join(reached, "entry", "left_semi").select("node").distinct()
         reached = checkpointed(meeting.join(tainted, "node", "left_semi").select("entry").distinct())
         n, before = reached.count(), n
@@ -37,4 +39,4 @@ def entangled(touches: DataFrame) -> DataFrame:
     heads = own.groupBy(F.col("node").alias("_n")).agg(F.min("entry").alias("head"))
     groups = connected_components(own.join(heads, F.col("node") == F.col("_n")).select("entry", "head"), "entry", "head")
     named = groups.select(F.col("node").alias("entry"), "component")
-    return checkpointed(once.select("entry", "node").join(named, "entry"))
+    return checkpointed(once.join(named, "entry").select("entry", "component", "node"))

@@ -442,7 +442,7 @@ def journal_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_JOURNAL + """, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS place FROM j),
 l AS (SELECT *, CASE WHEN result = 'success' AND seq % 13 = 0 THEN 'skipped' ELSE result END AS outcome, row_number() OVER (PARTITION BY session_id, (place - place % 2) ORDER BY seq DESC) AS r FROM n)
 SELECT count(*) FILTER (outcome = 'success') AS succeeded, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped, CAST(coalesce(sum(file_size) FILTER (outcome = 'success' AND op_kind = 'trash'), 0) AS BIGINT) AS reclaimed_bytes,
-  (SELECT string_agg(source_path, ',' ORDER BY seq) FROM (SELECT source_path, seq FROM l WHERE r = 1 AND outcome = 'failed' ORDER BY seq LIMIT 12)) AS messages FROM l WHERE r = 1""")
+  (SELECT string_agg(concat(regexp_extract(source_path, '([^/]*)$', 1), '：', source_path), ',' ORDER BY seq) FROM (SELECT source_path, seq FROM l WHERE r = 1 AND outcome = 'failed' ORDER BY seq LIMIT 12)) AS messages FROM l WHERE r = 1""")
 def execution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two entries in a row of a session are of one operation, whose result is that of the second."""
     rows = adapted(spark, sf_dir, JOURNAL_EVENTS)
