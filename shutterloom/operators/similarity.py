@@ -86,7 +86,7 @@ def _in_tiles(distinct: DataFrame, threshold: int) -> DataFrame:
 
 
 #: Chunks of a hash that are probed within a radius, their width; the largest part of all pairs for which that pays; hashes that a task probes at once and pairs that it looks at together.
-PROBE_CHUNKS, PROBE_BITS, PROBE_PART, PROBE_TILE, PROBE_PAIRS = 4, 16, 0.1, 1 << 19, 1 << 20
+PROBE_CHUNKS, PROBE_BITS, PROBE_PART, PROBE_TILE, PROBE_PAIRS = 4, 16, 0.1, 1 << 19, 1 << 17
 
 
 def probe_radii(threshold: int) -> list[int]:
@@ -115,43 +115,51 @@ def probe_pairs(listed: np.ndarray, probing: np.ndarray, chunk: int, threshold:
     """
     radii = probe_radii(threshold)
     part = lambda h, c: ((h >> np.uint64(PROBE_BITS * c)) & np.uint64((1 << PROBE_BITS) - 1)).astype(np.int64)
-    order = np.argsort(part(listed, chunk), kind="stable")
-    starts = np.searchsorted(part(listed, chunk)[order], np.arange((1 << PROBE_BITS) + 1))
-    own, hashes = part(probing, chunk), listed[order]
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    if not len(listed) or not len(probing):
+        return out[0][0], out[1][0], out[2][0]
+    order, asked = (np.argsort(part(h, chunk), kind="stable") for h in (listed, probing))
+    hashes, asking = listed[order], probing[asked]
+    values, own = part(hashes, chunk), part(asking, chunk)
+    starts = np.searchsorted(values, np.arange((1 << PROBE_BITS) + 1))
+    # listed values have their upper bits in common, so a mask concerns only those who ask with the upper bits that it leads there
+    lower = int(values[0] ^ values[-1]).bit_length()
+    upper = int(values[0]) >> lower
+    edges = np.searchsorted(own, np.arange((1 << (PROBE_BITS - lower)) + 1) << lower)
 
     def look(rows: np.ndarray, begin: np.ndarray, n: np.ndarray, equal: bool) -> None:
-        total = np.cumsum(n)
-        for lo in range(0, len(rows), PROBE_TILE):  # slices of rows, cut again by pairs
-            at = lo
-            while at < min(len(rows), lo + PROBE_TILE):
-                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PROBE_PAIRS, "right")))
-                k = n[at:to]
-                a = np.repeat(rows[at:to], k)
-                b = np.repeat(begin[at:to] - (np.cumsum(k) - k), k) + np.arange(len(a))
-                x, y = probing[a], hashes[b]
-                apart = np.bitwise_count(x ^ y)
-                fits = apart <= threshold
-                if equal:
-                    same = np.flatnonzero(fits & (x == y))
-                    fits &= x < y
-                    fits[same] = before(a[same], order[b[same]])
-                a, b, x, y, apart = a[fits], b[fits], x[fits], y[fits], apart[fits]
+        total, at = np.cumsum(n), 0
+        while at < len(rows):  # slices of rows, cut by pairs
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PROBE_PAIRS, "right")))
+            k = n[at:to]
+            ends = np.cumsum(k)
+            b = np.repeat(begin[at:to] - (ends - k), k) + np.arange(ends[-1])
+            apart = np.bitwise_count(np.repeat(asking[rows[at:to]], k) ^ hashes[b])
+            fits = np.flatnonzero(apart <= threshold)
+            if len(fits):
+                a, b, apart = rows[at + np.searchsorted(ends, fits, "right")], b[fits], apart[fits]
+                x, y = asking[a], hashes[b]
                 fresh = np.ones(len(a), bool)
+                if equal:
+                    fresh = x < y
+                    same = np.flatnonzero(x == y)
+                    fresh[same] = before(asked[a[same]], order[b[same]])
                 for c in range(chunk):
                     fresh &= np.bitwise_count(part(x, c) ^ part(y, c)) > radii[c]
-                out[0].append(a[fresh])
+                out[0].append(asked[a[fresh]])
                 out[1].append(order[b[fresh]])
                 out[2].append(apart[fresh].astype(np.int64))
-                at = to
+            at = to
 
     for mask in probe_masks(radii[chunk]).astype(np.int64):
-        other = own ^ mask
+        there = upper ^ (int(mask) >> lower)
+        first, last = edges[there], edges[there + 1]
+        other = own[first:last] ^ mask
         begin = starts[other]
         n = starts[other + 1] - begin
-        rows = np.flatnonzero((n > 0) & ((other > own) | (mask == 0)))
+        rows = np.flatnonzero((n > 0) & ((other > own[first:last]) | (mask == 0)))
         if len(rows):
-            look(rows, begin[rows], n[rows], mask == 0)
+            look(first + rows, begin[rows], n[rows], mask == 0)
     a, b, d = (np.concatenate(x) for x in out)
     return a, b, d
 
