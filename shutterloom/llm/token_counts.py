@@ -2,7 +2,8 @@
 
 A text is cut at white space where the tokenizer's own pre-tokenizer drops
 white space anyway, so the counts of the pieces add up to the count of the
-whole text. Distinct pieces are encoded in batches, once per task as long as
+whole text; long texts without white space are cut at other safe places
+(`Cuts`). Distinct pieces are encoded in batches, once per task as long as
 they stay in a bounded cache. Tokenizers for which white space is not a safe
 boundary go through the forced boundaries of `bpe` (byte-level files), or
 encode whole texts (piece models).
@@ -45,19 +46,56 @@ def drops_white_space(path: str) -> bool:
     return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and " ?" not in str(first)
 
 
-def parts(text: bytes, most: int = PART_BYTES) -> Iterator[bytes]:
-    """`text` in parts of about `most` bytes, cut at white space; a longer run without any stays whole."""
-    start = 0
-    while len(text) - start > most:
-        cut = max(text.rfind(s, start, start + most) for s in (b" ", b"\n", b"\t"))
-        if cut <= start:
-            after = [k for s in (b" ", b"\n", b"\t") if (k := text.find(s, start + most)) >= 0]
-            if not after:
+class Cuts:
+    """Places at which a text may be parted so that the counts of its parts add up.
+
+    White space is one, where the pre-tokenizer drops it. A run without any is
+    parted before a digit, where the pre-tokenizer gives each digit by itself,
+    or else between two ideographs whose bytes at the cut stand together in no
+    token of the vocabulary, so that no merge reaches across. The part before
+    such a cut isn't the end of its word; it is counted with the ideograph that
+    follows, whose own count is taken off. Runs that have none of these stay
+    whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.digits = rb"|[\\p{N}]|" in open(path, "rb").read()
+        alphabet = bpe.byte_alphabet()
+        self.inside = np.zeros((256, 256), bool)
+        for token in Tokenizer.from_file(path).get_vocab(with_added_tokens=False):
+            known = np.array([alphabet.get(c, -1) for c in token.removesuffix("</w>")], np.int64)
+            pairs = np.flatnonzero((known[:-1] >= 0) & (known[1:] >= 0))
+            self.inside[known[pairs], known[pairs + 1]] = True
+
+    def place(self, text: bytes, low: int, high: int) -> tuple[int, bytes]:
+        """The last place of a cut from `low` on and before `high` (else -1), and the ideograph that the part before it is counted with."""
+        if (cut := max(text.rfind(c, low, high) for c in (b" ", b"\n", b"\t"))) >= 0:
+            return cut, b""
+        if self.digits and (cut := max(text.rfind(b"%d" % d, low, high) for d in range(10))) >= 0:
+            return cut, b""
+        # two characters of U+5000 to U+8FFF, all of them letters that neither compose nor have a case
+        at = max(low - 3, 0)
+        w = np.frombuffer(text, np.uint8, min(high + 3, len(text)) - at, at)
+        lead, rest = (w >= 0xE5) & (w <= 0xE8), (w & 0xC0) == 0x80
+        whole = lead[:-2] & rest[1:-1] & rest[2:]
+        found = np.flatnonzero(whole[:-3] & whole[3:] & ~self.inside[w[2:-3], w[3:-2]]) if len(w) > 5 else []
+        return (at + int(found[-1]) + 3, text[at + found[-1] + 3 : at + found[-1] + 6]) if len(found) else (-1, b"")
+
+    def parts(self, text: bytes, most: int) -> Iterator[tuple[bytes, bytes]]:
+        """`text` in parts of about `most` bytes, each with what is to be added and whose count is to be taken off again."""
+        start = 0
+        while len(text) - start > most:
+            cut, after, low = -1, b"", start + 1
+            while cut < 0 and low < len(text):
+                cut, after = self.place(text, low, min(max(start + most, low + most // 2), len(text)))
+                low = max(start + most, low + most // 2)
+            if cut < 0:
                 break
-            cut = min(after)
-        yield text[start:cut]
-        start = cut
-    yield text[start:]
+            yield text[start:cut], after
+            start = cut
+        yield text[start:], b""
 
 
 def folded(text: bytes) -> bytes:
@@ -74,6 +112,7 @@ class WordCounter:
         one_thread()
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.known = Memory(CACHE_ITEMS, CACHE_BYTES)
+        self.cuts = Cuts(path)
         self.mark = self.encode(["\0"], add_special_tokens=False)[0].ids
 
     def learn(self, words: list[bytes]) -> dict[bytes, int]:
@@ -92,14 +131,21 @@ class WordCounter:
     def __call__(self, texts: list[bytes]) -> list[int]:
         out = [0] * len(texts)
         for i, k in by_bytes(texts, PART_BYTES):
-            pieces = [(j, folded(part).split()) for j in range(i, k) for part in parts(texts[j])]
-            self.know([w for _, words in pieces for w in words])
-            known = self.known.young
-            for j, words in pieces:
-                out[j] += sum(map(known.__getitem__, words))
-            self.known.trim()
+            if k - i == 1 and len(texts[i]) > PART_BYTES:  # part by part, so that memory doesn't grow with what is made of the text
+                for part, after in self.cuts.parts(texts[i], PART_BYTES):
+                    out[i] += self.added([folded(part + after).split()])[0] - (self.added([[after]])[0] if after else 0)
+            else:
+                out[i:k] = self.added([folded(t).split() for t in texts[i:k]])
         return out
 
+    def added(self, pieces: list[list[bytes]]) -> list[int]:
+        """The sum of each list's counts."""
+        self.know([w for words in pieces for w in words])
+        known = self.known.young
+        sums = [sum(map(known.__getitem__, words)) for words in pieces]
+        self.known.trim()
+        return sums
+
     def know(self, words: list[bytes]) -> None:
         """Sees to it that all these words are known; a word that ends in signs is the sum of its two sides."""
         if not (lacking := self.known.missing(words)):

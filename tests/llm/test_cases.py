@@ -51,6 +51,22 @@ def test_tokens_of_empty_and_long_tables(spark, text_of):
     assert scanned[0].n_words == len((text_of(1) or "").split()) and scanned[0].labels == []
 
 
+def test_long_runs_without_white_space(monkeypatch):
+    """Parts end before digits, between ideographs and at white space; their counts add up to the library's."""
+    monkeypatch.setattr(token_counts, "PART_BYTES", 64)
+    word = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    counter = token_counts.WordCounter(P.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    alphabets = ["AbcdefE'ſ", "ab01'sS.,|<>", "".join(chr(c) for c in range(0x4FF0, 0x9010, 7)), "日本語の中国、。東京大学", "日 本\n中国5a\u0301", "=", "人", "é\u0301가각\u11a8Σς"]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (30, 65, 130, 700, 5000)]
+    texts += ["".join(rng.choice("".join(alphabets)) for _ in range(3000)) for _ in range(20)] + ["x" * 200 + "<|endoftext|>" + "日本5" * 90]
+    want = [len(word.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter([t.encode() for t in texts]) == want
+    for t, longest in (("".join(rng.choice(alphabets[2]) for _ in range(5000)), 64), ("ab0.c" * 900, 64), ("=" * 500, 500)):
+        parts = list(counter.cuts.parts(t.encode(), 64))
+        assert b"".join(p for p, _ in parts).decode() == t and max(len(p) for p, _ in parts) <= longest
+
+
 def test_token_store_with_repeated_and_null_ids(spark):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rows = [(5, "b c"), (5, "a"), (5, "a"), (None, "null id"), (1, None), (1, ""), (9, "d " * 40_000)]
