@@ -26,11 +26,20 @@ def capture_ts_from_name(name: Column) -> Column:
     return make_ts_checked(*[part(i) for i in range(1, 7)])
 
 
-def parse_exif_ts(text: Column) -> Column:
-    """`YYYY?MM?DD?hh?mm?ss` by places, digits only in these, 19 characters at least; separators aren't looked at."""
+def parse_exif_ts(text: Column, end_of_day: bool = False) -> Column:
+    """`YYYY?MM?DD?hh?mm?ss` by places, digits only in these, 19 characters at least; separators aren't looked at.
+
+    Hours go up to 23. With `end_of_day` exactly 24:00:00 is a time too, the
+    end of its day as in ISO 8601, so the next day's midnight.
+    """
     t = F.trim(text)
     part = lambda at, n: F.regexp_extract(F.substring(t, at, n), rf"^(\d{{{n}}})$", 1).try_cast("int")
-    return F.when(F.length(t) >= 19, make_ts_checked(part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), part(18, 2)))
+    y, mo, d, h, mi, s = part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), part(18, 2)
+    made = make_ts_checked(y, mo, d, h, mi, s)
+    if end_of_day:
+        midnight = make_ts_checked(y, mo, d, F.lit(0), F.lit(0), F.lit(0)) + F.expr("INTERVAL 1 DAY")
+        made = F.when((h == 24) & (mi == 0) & (s == 0), midnight).otherwise(made)
+    return F.when(F.length(t) >= 19, made)
 
 
 def mac_epoch_to_seconds(raw: Column) -> Column:
@@ -70,11 +79,11 @@ def safe_pixel(value: Column) -> Column:
     return F.coalesce(F.when(whole.between(1, 1_000_000), whole), F.lit(0)).cast("int")
 
 
-def resolve_capture_time(kind: Column, name: Column, *, exif_original: Column, exif_digitized: Column, tiff: Column, container: Column, created: Column, modified: Column) -> Column:
-    """struct(captured_at, time_source): the first sane candidate in the order of the kind."""
+def resolve_capture_time(kind: Column, name: Column, *, exif_original: Column, exif_digitized: Column, tiff: Column, container: Column, created: Column, modified: Column, end_of_day: bool = False) -> Column:
+    """struct(captured_at, time_source): the first sane candidate in the order of the kind; `end_of_day` as in `parse_exif_ts`."""
     one = lambda ts, source: F.when(ts.isNotNull(), F.struct(ts.alias("captured_at"), F.lit(source).alias("time_source")))
     none = F.struct(F.expr("cast(null as timestamp_ntz)").alias("captured_at"), F.lit("none").alias("time_source"))
     rest = [one(capture_ts_from_name(name), "fileName"), one(sane_year(created), "fileSystem"), one(sane_year(modified), "fileSystem"), none]
-    image = F.coalesce(*[one(parse_exif_ts(x), "exif") for x in (exif_original, exif_digitized, tiff)], *rest)
+    image = F.coalesce(*[one(parse_exif_ts(x, end_of_day), "exif") for x in (exif_original, exif_digitized, tiff)], *rest)
     video = F.coalesce(one(sane_year(container), "container"), *rest)
     return F.when(kind == "video", video).otherwise(image)

@@ -3,10 +3,15 @@ import zlib
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from oracle import check
 from pyspark.sql import functions as F
 
+import shutterloom.function_queries  # noqa: F401 - registers its queries
 from shutterloom.functions import capture, fingerprint, templates, text
+from shutterloom.queries import QUERIES, SQL
 
 
 def one(spark, column, **values):
@@ -154,3 +159,20 @@ def test_exif_times_need_digits_in_their_places(spark):
     rows = [("2023:05:01 12:30:60",), ("2023: 5: 1 12:00:00",), ("2023:+5:01 12:00:00",), ("2023:02:30 12:00:00",), (" 2023-05-01T12:30:00Z ",), ("2023:05:01 12:30",)]
     got = [str(r[0]) for r in spark.createDataFrame(rows, "t string").select(capture.parse_exif_ts(F.col("t"))).collect()]
     assert got == ["2023-05-01 12:30:59", "None", "None", "None", "2023-05-01 12:30:00", "None"]
+
+
+def test_midnight_as_the_end_of_a_day(spark):
+    """Hour 24 is no hour; with `end_of_day` 24:00:00 alone is the next day's midnight, of days that exist."""
+    rows = [("1999:12:31 24:00:00",), ("2023:02:30 24:00:00",), ("2023:05:10 24:00:60",), ("2023:05:10 24:00:01",), ("2023:05:10 24:01:00",), ("2023:05:10 23:00:00",)]
+    df = spark.createDataFrame(rows, "t string")
+    shown = lambda **o: [r[0] for r in df.select(text.captured_label(capture.parse_exif_ts(F.col("t"), **o))).collect()]
+    assert shown() == [None] * 5 + ["2023-05-10 23:00:00"]
+    assert shown(end_of_day=True) == ["2000-01-01 00:00:00", *[None] * 4, "2023-05-10 23:00:00"]
+
+
+@pytest.mark.parametrize("name", ["exif_times"])
+def test_times_of_large_keys_equal_their_sql(spark, tmp_path, name):
+    """Orders whose keys make 24:00:00, which keys below 26474 never do."""
+    keys = [26474, 121024, 26475, 26474 + 94550 * 3, 26474 + 94550 * 17]
+    pq.write_table(pa.table({"o_orderkey": keys, "o_orderdate": pa.array([datetime(1999, 1 + i, 28) for i in range(len(keys))], pa.timestamp("us"))}), tmp_path / "orders.parquet")
+    check(spark, QUERIES[name], SQL[name], str(tmp_path))
