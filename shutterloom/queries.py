@@ -110,8 +110,7 @@ _NEAR = _PHASH + ", links AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_coun
 
 @query(_NEAR + " SELECT a, b, distance FROM links")
 def hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames(spark, sf_dir)
-    return similarity.hamming_pairs(rows, 20, "vec_id").unionByName(similarity.equal_hash_links(rows, "vec_id"))
+    return similarity.all_hamming_pairs(frames(spark, sf_dir), 20, "vec_id")
 
 
 @query(_NEAR.replace("WITH raw", "WITH RECURSIVE raw") + """,
