@@ -171,8 +171,7 @@ def similar_groups_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_NEAR.replace("<= 20", "<= 8").replace(_PHASH, _CLOSE) + " SELECT a, b, distance FROM links")
 def hamming_join_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At the largest threshold that is joined by chunks."""
-    rows = close_frames(spark, sf_dir)
-    return similarity.hamming_pairs(rows, 8, "vec_id").unionByName(similarity.equal_hash_links(rows, "vec_id"))
+    return similarity.all_hamming_pairs(close_frames(spark, sf_dir), 8, "vec_id")
 
 
 _SEQ = _PHASH + ", seqs AS (SELECT video_id, list(h ORDER BY frame_idx) AS f FROM hashed GROUP BY video_id), d AS (SELECT a.video_id AS a, b.video_id AS b, list_transform(range(1, least(len(a.f), len(b.f)) + 1), lambda i: bit_count(CAST(xor(a.f[i], b.f[i]) AS HUGEINT))) AS ds, greatest(len(a.f), len(b.f)) AS n FROM seqs a JOIN seqs b ON b.video_id = a.video_id + 1)"
