@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tables with more rows than this are never broadcast by a guess of their size.
+BROADCAST_ROWS = 1 << 17
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, or the one that the session has set.
@@ -28,9 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared folder and read from there: its lineage is cut, and lost executors lose nothing of it."""
+    """`df`, written to the shared folder and read from there: its lineage is cut, and lost executors lose nothing of it.
+
+    Spark goes on with the size that it guessed for `df`, which knows nothing
+    of what generators, joins or Arrow functions make of their rows, and would
+    send a large table through the driver to broadcast it. So rows are counted
+    on the way, and tables with many ask for joins by sorting.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return out.hint("merge") if seen.get["rows"] > BROADCAST_ROWS else out
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterloom.operators import components, dedup, similarity, views
+from shutterloom.scratch import checkpointed
 
 
 def test_components_against_union_find(spark):
@@ -125,3 +126,11 @@ def test_sort_keeps_unknown_times_last(spark):
     order = lambda by: [r.file_name for r in views.sort(df, by).collect()]
     assert order("capturedDesc") == ["c", "b", "a"] and order("capturedAsc") == ["b", "c", "a"] and order("sizeDesc") == ["c", "a", "b"]
     assert F is not None
+
+
+def test_large_checkpoints_are_not_broadcast(spark):
+    """A table that a generator has made large is not sent through the driver; a small one may be."""
+    grown = lambda n: checkpointed(spark.range(10).select(F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")))
+    plan = lambda n: spark.range(1 << 40).withColumnRenamed("id", "k").join(grown(n), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(20_000)
+    assert "Broadcast" in plan(20)
