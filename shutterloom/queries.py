@@ -201,13 +201,13 @@ def _videos(hashed: DataFrame) -> DataFrame:
 @query(_VIDEO.replace("{t}", "20").replace("{bits}", "3"))
 def video_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos whose first frames share a chunk, of like lengths, that agree in three frames of five."""
-    return similarity.video_links(_videos(frames(spark, sf_dir)), 20)
+    return similarity.video_links(_videos(frames(spark, sf_dir)), 20, all_copies=True)
 
 
 @query(_VIDEO.replace("{t}", "6").replace("{bits}", "9").replace(_PHASH, _CLOSE))
 def video_groups_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As `video_groups` with the usual threshold."""
-    return similarity.video_links(_videos(close_frames(spark, sf_dir)), 6)
+    return similarity.video_links(_videos(close_frames(spark, sf_dir)), 6, all_copies=True)
 
 
 @query(_DOCS + """
