@@ -139,6 +139,7 @@ def recluster(items: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     links = identity_links(items).unionByName(similarity.image_links(items.filter("kind = 'image'"), threshold))
     if "frames" in items.columns:
         links = links.unionByName(similarity.video_links(items.filter("kind = 'video'"), threshold))
+    links = checkpointed(links)
     return groups_and_members(items, clusters(links), links)
 
 
