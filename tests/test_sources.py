@@ -59,6 +59,22 @@ def test_journal_tolerates_bad_lines(spark, tmp_path):
     assert got == {"1": ("trash", "success", 5, True), "2": ("move", "failed", 0, False)}
 
 
+def test_many_sessions_make_few_files(spark, tmp_path, monkeypatch):
+    """A thousand sessions in four buckets; rewritten ones are replaced as a whole, others stay, bad lines too."""
+    monkeypatch.setattr(journal, "BUCKETS", 4)
+    path = str(tmp_path / "j")
+    rows = spark.range(3000).select(F.nullif((F.col("id") % 1000).cast("string"), F.lit("7")).alias("session_id"), F.col("id").cast("string").alias("id"), F.lit("success").alias("result"), F.lit(False).alias("undone")).repartition(8)
+    journal.append(rows, path)
+    assert len(list((tmp_path / "j").glob("*/*.json"))) <= 16
+    next((tmp_path / "j").glob("bucket=*")).joinpath("x.json").write_text('not json\n{"id": "z", "session_id": "new"}\n')
+    changed = rows.filter("id < 1000 AND (session_id < '2' OR session_id IS NULL)").withColumn("undone", F.lit(True))
+    journal.rewrite(changed, path)
+    got = sorted((r.id, r.session_id or "7", r.undone) for r in journal.read(spark, path).collect())
+    hit = lambda i: str(i % 1000) < "2" or i % 1000 == 7
+    assert got == sorted([(str(i), str(i % 1000), hit(i)) for i in range(3000) if i < 1000 or not hit(i)] + [("z", "new", False)])
+    assert "not json" in "".join(f.read_text() for f in (tmp_path / "j").glob("*/*") if f.is_file() and f.suffix != ".crc")
+
+
 def test_exports(spark, tmp_path):
     ops = spark.createDataFrame([(1, True, "move", 'a "b", c.jpg', "/s", None, "r", 5)], "op_ordinal long, selected boolean, op_kind string, file_name string, source_path string, destination_path string, reason string, file_size long")
     journal.export_csv(ops, str(tmp_path / "csv"))
