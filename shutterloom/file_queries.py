@@ -31,10 +31,14 @@ def _with_files(spark: SparkSession, rows: DataFrame, use: Callable[[str], DataF
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = ranges.place(root)
+        made: set[str] = set()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 target = f"{base}/{name}"
-                system.create_dir(target.rpartition("/")[0], recursive=True)
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 # a name of its own for each attempt, then a move, so that a repeated task leaves whole files
                 part = f"{target}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
@@ -42,10 +46,22 @@ def _with_files(spark: SparkSession, rows: DataFrame, use: Callable[[str], DataF
                 system.move(part, target)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = ranges.place(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    system.delete_file(f"{base}/{name}")
+                except FileNotFoundError:
+                    pass  # another attempt has deleted it
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
     rows.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()
     try:
         return checkpointed(use(root))
     finally:
+        # by tasks, as one process would take as long as many tasks wrote; what is left are folders
+        rows.select("name").mapInArrow(delete, "n long").agg(F.sum("n")).first()
         system, base = ranges.place(root)
         if system.get_file_info(base).type == fs.FileType.Directory:
             system.delete_dir(base)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterloom.functions import capture, text
+from shutterloom.scratch import checkpointed
 
 from .ranges import PROBE_BYTES, header_seconds
 
@@ -46,15 +49,59 @@ def outer_roots(paths: DataFrame) -> DataFrame:
     return tidy.join(inside, "path", "left_anti")
 
 
+#: Rows of a batch of a listing.
+_LISTED = 10_000
+
+
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands in each folder (path), without names that Spark's own listing leaves out."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "size", "millis", "is_folder"])
+    rows: list[tuple] = []
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if (e.name[0] in "._" and not (e.name[0] == "_" and "=" in e.name)) or e.name.endswith("._COPYING_"):
+                        continue
+                    stat = e.stat()
+                    rows.append((e.path, stat.st_size, stat.st_mtime_ns // 1_000_000, e.is_dir()))
+                    if len(rows) == _LISTED:
+                        yield batch_of(rows)
+                        rows = []
+    yield batch_of(rows)
+
+
+def _walked(spark: SparkSession, root: str) -> DataFrame:
+    """The files below a local folder, listed by tasks, a level of folders at a time; neither names nor sizes pass the driver."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, files = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        found = checkpointed(folders.repartition(tasks, "path").mapInArrow(_children, "path string, size long, millis long, is_folder boolean"))
+        files.append(found.filter("NOT is_folder"))
+        folders = found.filter("is_folder").select("path")
+        if not folders.take(1):
+            break
+    all_files = files[0]
+    for level in files[1:]:
+        all_files = all_files.unionByName(level)
+    return all_files.select("path", F.col("size").alias("length"), F.timestamp_millis("millis").alias("modificationTime"))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a root: path, file_size, file_modified. The content column isn't read.
+    """Files below a root: path, file_size, file_modified. No content is read.
 
-    Spark itself leaves out files and folders whose names begin with `.` or
-    `_`; a listing made elsewhere can hold them, `scan` then decides.
+    Folders that all machines see under a local path are listed by tasks, other
+    stores by Spark's `binaryFile`, which holds the listing in the driver.
+    Files and folders whose names begin with `.` or `_` are left out, as Spark
+    does; a listing made elsewhere can hold them, `scan` then decides.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    local = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    return files.select(local.alias("path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modified"), F.lit("/" + root.removeprefix("file:").strip("/")).alias("source_root"))
+    local = "/" + root.removeprefix("file:").strip("/")
+    if (root.startswith("/") or root.startswith("file:/")) and not re.search(r"[\\*?\[\]{}]", root) and os.path.isdir(local):
+        files = _walked(spark, local)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.regexp_replace(F.col("path"), "^file:/*", "/").alias("path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modified"), F.lit(local).alias("source_root"))
 
 
 def hidden(relative: Column) -> Column:

@@ -186,3 +186,16 @@ def test_thresholds_by_a_forest(spark):
     for threshold in (6, 20):
         for one, two in zip(dedup.recluster(items, threshold), dedup.recluster_linked(items, linked, threshold), strict=True):
             assert sorted(map(str, one.select(sorted(one.columns)).collect())) == sorted(map(str, two.select(sorted(two.columns)).collect()))
+
+
+def test_tasks_list_what_spark_lists(spark, tmp_path):
+    """Nested folders, hidden names; many files make few tasks."""
+    for name in ("a.jpg", "d/e/f/b c%20.mp4", "d/.h/x.jpg", "_t/x.jpg", "k=1/_p=2/y.jpg", "d/_metadata", "d/.z.jpg", "d/w._COPYING_", *[f"many/{i}.jpg" for i in range(300)]):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "empty").mkdir()
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).selectExpr("regexp_replace(path, '^file:/*', '/') AS path", "length", "modificationTime")
+    for root in (str(tmp_path), f"file:{tmp_path}/", f"file://{tmp_path}"):
+        got = catalogue.list_files(spark, root)
+        assert sorted(map(tuple, got.select("path", "file_size", "file_modified").collect())) == sorted(map(tuple, want.collect()))
+        assert got.rdd.getNumPartitions() < 100
