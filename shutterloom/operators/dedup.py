@@ -136,7 +136,7 @@ def recluster(items: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     Images need phash, width, height and color_sig; videos, if any, frames and
     duration.
     """
-    links = identity_links(items).unionByName(similarity.image_links(items.filter("kind = 'image'"), threshold))
+    links = identity_links(items).unionByName(similarity.image_links(items.filter("kind = 'image'"), threshold, joins_only=True))
     if "frames" in items.columns:
         links = links.unionByName(similarity.video_links(items.filter("kind = 'video'"), threshold))
     links = checkpointed(links)

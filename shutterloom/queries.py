@@ -119,7 +119,7 @@ reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT reach.node, bo
 SELECT min(seen) AS group_id, node AS item_id FROM reach GROUP BY node""")
 def hamming_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames(spark, sf_dir)
-    return dedup.clusters(similarity.hamming_pairs(rows, 20, "vec_id").unionByName(similarity.equal_hash_links(rows, "vec_id")))
+    return dedup.clusters(similarity.hamming_joins(rows, 20, "vec_id").unionByName(similarity.equal_hash_links(rows, "vec_id")))
 
 
 #: Hashes a few bits apart: of every three, the first one's with some bits turned.
