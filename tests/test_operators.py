@@ -28,6 +28,29 @@ def test_components_against_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_few_edges_take_few_tasks(spark, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(components, "FEW_EDGES", 0)
+    edges = spark.createDataFrame([(i * 7 % 307, (i + 1) * 7 % 307) for i in range(306)] + [(900, 901), (5000, 5000), (7, 7)], "src long, dst long").coalesce(1)
+    context, held = spark.sparkContext, {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(held, ("37", "false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        context.setJobGroup(f"components {few}", "")
+        got = {r.node: r.component for r in components.connected_components(edges).collect()}
+        told = context.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup(f"components {few}") for s in told.getJobInfo(j).stageIds}
+        tasks = sum(told.getStageInfo(s).numCompletedTasks for s in stages if told.getStageInfo(s))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(307)} | {900: 900, 901: 900, 5000: 5000}
+    # a round with its shuffles has some 200
+    assert not few or tasks < 300
+
+
 @pytest.mark.parametrize("threshold", [0, 3, 6, 8, 12, 20])
 def test_hamming_pairs_against_brute_force(spark, threshold):
     rng = random.Random(threshold)
